@@ -158,8 +158,8 @@ def qq_points(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -
     chunks = chunks.repartition("value", "chunk")
     first = F.col("chunk") * COPIES + 1
     last = F.least(F.col("n"), first + (COPIES - 1))
-    i = (F.col("before") + F.explode(F.sequence(first, last))).alias("i")
-    rows = chunks.select("value", "total", i)
+    rows = chunks.select("value", "total", "before", F.explode(F.sequence(first, last)).alias("copy"))
+    rows = rows.select("value", "total", (F.col("before") + F.col("copy")).alias("i"))
     n = F.col("total").cast("double")
     edge = F.pow(F.lit(0.5), 1 / n)
     median = (

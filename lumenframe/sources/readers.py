@@ -40,7 +40,7 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line is not valid UTF-8, then Latin-1."""
     text = spark.read.text(path)
-    broken = text.where(F.col("value").contains("�")).limit(1).count()
+    broken = text.where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if broken else "UTF-8"
 
 
@@ -68,21 +68,25 @@ def read_delimited(
     return missing_as_null(reader.csv(path))
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON records: one object per line, a top-level array, a wrapper, or a dict of columns.
+def read_json(spark: SparkSession, path: str, lines: bool = False, shape: str | None = None) -> DataFrame:
+    """JSON records, a wrapper around records, or a dict of columns.
 
-    A wrapper holds its records under ``data``, ``records``, ``rows`` or ``results``. A dict
-    of columns is any other object whose values are all arrays. Large inputs should be line
-    delimited, since a single document cannot be split.
+    A document is recognised by its form: an array of records is rows as it stands; an
+    object with records under ``data``, ``records``, ``rows`` or ``results`` is a wrapper;
+    any other object of arrays only is a dict of columns. ``shape`` (``records``,
+    ``wrapper``, ``columns``) states it instead. With ``lines`` every line is a document of
+    its own, which lets Spark split the input; lines are taken as records unless stated.
     """
     df = spark.read.json(path, multiLine=not lines)
-    if lines:
-        return df
+    shape = shape or ("records" if lines else None)
     types = {f.name: f.dataType for f in df.schema.fields}
-    for key in WRAPPER_KEYS:
-        if isinstance(types.get(key), T.ArrayType) and isinstance(types[key].elementType, T.StructType):
-            return df.select(F.inline(quoted(key)))
-    if types and all(isinstance(t, T.ArrayType) for t in types.values()):
+    if shape in (None, "wrapper"):
+        for key in WRAPPER_KEYS:
+            if isinstance(types.get(key), T.ArrayType) and isinstance(types[key].elementType, T.StructType):
+                return df.select(F.inline(quoted(key)))
+    if shape == "columns" or (
+        shape is None and types and all(isinstance(t, T.ArrayType) for t in types.values())
+    ):
         return df.select(F.inline(F.arrays_zip(*[F.col(quoted(c)) for c in df.columns])))
     return df
 
