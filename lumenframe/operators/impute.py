@@ -17,6 +17,7 @@ from lumenframe.operators.order import ROWS_PER_BUCKET, key_struct, range_bucket
 from lumenframe.operators.quantiles import fit_quantiles
 
 MAX_CELLS = 1024
+CELL_ROWS = 512
 BLOCK_ROWS = 4096
 
 
@@ -28,11 +29,11 @@ def _ranged(df: DataFrame, order_by: list[str], rows_per_bucket: int) -> tuple[D
 
 def _fill(df: DataFrame, order_by: list[str], columns: list[str], forward: bool, rows_per_bucket: int) -> DataFrame:
     ranged, many = _ranged(df, order_by, rows_per_bucket)
-    keys = [F.col(quoted(k)) for k in order_by]
-    here = W.partitionBy("_bucket").orderBy(*keys)
-    frame = here.rowsBetween(W.unboundedPreceding, 0) if forward else here.rowsBetween(0, W.unboundedFollowing)
-    pick = F.last if forward else F.first
-    filled = ranged.withColumns({c: pick(F.col(quoted(c)), ignorenulls=True).over(frame) for c in columns})
+    # Backward fill is forward fill in reversed order: a frame that grows row by row costs
+    # linear time, one that shrinks is evaluated anew for every row.
+    keys = [F.col(quoted(k)) if forward else F.col(quoted(k)).desc() for k in order_by]
+    frame = W.partitionBy("_bucket").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
+    filled = ranged.withColumns({c: F.last(F.col(quoted(c)), ignorenulls=True).over(frame) for c in columns})
     if many:
         # One row per range: its last (first) present value, then the nearest earlier (later) range's.
         by = F.max_by if forward else F.min_by
@@ -43,11 +44,11 @@ def _fill(df: DataFrame, order_by: list[str], columns: list[str], forward: bool,
                 for i, c in enumerate(columns)
             ]
         )
-        span = W.orderBy("_bucket")
-        span = span.rowsBetween(W.unboundedPreceding, -1) if forward else span.rowsBetween(1, W.unboundedFollowing)
+        span = W.orderBy(F.col("_bucket") if forward else F.col("_bucket").desc())
+        span = span.rowsBetween(W.unboundedPreceding, -1)
         carry = ends.select(
             F.col("_bucket").alias("_b"),
-            *[pick(F.col(f"_e{i}.v"), ignorenulls=True).over(span).alias(f"_c{i}") for i in range(len(columns))],
+            *[F.last(F.col(f"_e{i}.v"), ignorenulls=True).over(span).alias(f"_c{i}") for i in range(len(columns))],
         )
         filled = filled.join(F.broadcast(carry), F.col("_bucket") == F.col("_b"))
         filled = filled.withColumns({c: F.coalesce(F.col(quoted(c)), F.col(f"_c{i}")) for i, c in enumerate(columns)})
@@ -162,7 +163,8 @@ def impute_knn(
     xs = [f"x{j}" for j in range(d)]
     donors = vec.dropna("all").groupBy(*xs).agg(F.count(F.lit(1)).alias("w"))
     # Equi-depth cuts per feature; patterns of presence split cells further.
-    per_dim = max(1, int(math.floor(max_cells ** (1.0 / d))))
+    cells = max(1, min(max_cells, donors.count() // CELL_ROWS))
+    per_dim = max(1, int(math.floor(cells ** (1.0 / d))))
     probs = [i / per_dim for i in range(1, per_dim)]
     cuts = fit_quantiles(df, columns, probs) if probs else {}
 
