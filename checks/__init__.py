@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["profile", "cleaning", "relations"]
+MODULES = ["profile", "cleaning", "relations", "distributions", "features", "charting"]
 
 
 def load():

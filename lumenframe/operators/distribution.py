@@ -221,25 +221,39 @@ def _search_lambda(score, lo: float = -6.0, hi: float = 6.0) -> float:
     return mid + 0.5 * (a - c) / bend * (hi - lo) / 2 if bend < 0 else mid
 
 
-def _box_cox(x: Column, lam: float) -> Column:
-    return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / lam
+def _box_cox(x: Column, lam) -> Column:
+    lam = F.lit(lam) if isinstance(lam, float) else lam
+    return F.when(F.abs(lam) < 1e-12, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
-def _yeo_johnson(x: Column, lam: float) -> Column:
+def _yeo_johnson(x: Column, lam) -> Column:
+    lam = F.lit(lam) if isinstance(lam, float) else lam
     up, down = F.greatest(x, F.lit(0.0)) + 1, F.greatest(-x, F.lit(0.0)) + 1
-    high = F.log(up) if abs(lam) < 1e-12 else (F.pow(up, F.lit(lam)) - 1) / lam
-    low = -F.log(down) if abs(lam - 2) < 1e-12 else -(F.pow(down, F.lit(2 - lam)) - 1) / (2 - lam)
+    high = F.when(F.abs(lam) < 1e-12, F.log(up)).otherwise((F.pow(up, lam) - 1) / lam)
+    low = F.when(F.abs(lam - 2) < 1e-12, -F.log(down)).otherwise(-(F.pow(down, 2 - lam) - 1) / (2 - lam))
     return F.when(x >= 0, high).otherwise(low)
 
 
+def _variances(values: DataFrame, x: Column, transform, grid: list[float]) -> list[float]:
+    """Population variance of ``transform(x, λ)`` for every λ of a grid, in one job.
+
+    The grid is a literal array exploded inside the scan stage and merged map-side by λ,
+    so each pass runs the same compiled code and shuffles one row per λ and task.
+    """
+    lam = F.posexplode(F.array(*[F.lit(float(g)) for g in grid])).alias("i", "lam")
+    spread = values.select(x.alias("x"), lam).groupBy("i").agg(F.var_pop(transform(F.col("x"), F.col("lam"))).alias("v"))
+    found = {r["i"]: r["v"] for r in spread.collect()}
+    return [found[i] for i in range(len(grid))]
+
+
 def box_cox_lambda(values: DataFrame) -> float:
     """Maximum-likelihood λ of positive ``value``s, scaled by their geometric mean."""
     row = values.agg(F.count("value").alias("n"), F.avg(F.log("value")).alias("m")).first()
     z = F.col("value") / F.lit(math.exp(row["m"]))
 
     def score(grid):
-        r = values.agg(*[F.var_pop(_box_cox(z, lam)).alias(f"v{i}") for i, lam in enumerate(grid)]).first()
-        return [-row["n"] / 2 * math.log(v) if v else -math.inf for v in r]
+        found = _variances(values, z, _box_cox, grid)
+        return [-row["n"] / 2 * math.log(v) if v and math.isfinite(v) else -math.inf for v in found]
 
     return _search_lambda(score)
 
@@ -247,15 +261,12 @@ def box_cox_lambda(values: DataFrame) -> float:
 def yeo_johnson_lambda(values: DataFrame) -> float:
     """Maximum-likelihood λ of any ``value``s."""
     x = F.col("value")
-    row = values.agg(
-        F.count("value").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j")
-    ).first()
+    row = values.agg(F.count("value").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j")).first()
 
     def score(grid):
-        r = values.agg(*[F.var_pop(_yeo_johnson(x, lam)).alias(f"v{i}") for i, lam in enumerate(grid)]).first()
         return [
             -row["n"] / 2 * math.log(v) + (lam - 1) * row["j"] if v and math.isfinite(v) else -math.inf
-            for v, lam in zip(r, grid)
+            for v, lam in zip(_variances(values, x, _yeo_johnson, grid), grid)
         ]
 
     return _search_lambda(score)
