@@ -283,7 +283,10 @@ def _(spark, sf):
     return recommend.target_candidates(table(spark, sf, "lineitem"))
 
 
-@query("rec4_kpi_candidates", """select * from (values (3::bigint, 'o_totalprice', 'revenue'), (4, 'o_orderdate', 'date')) t(position, "column", kpi_kind) where (select count(*) from orders) > 0""")
+@query("rec4_kpi_candidates", """select * from (select position, "column", case when regexp_matches("column", 'revenue|sales|amount|total|income') then 'revenue' when regexp_matches("column", 'profit|margin|gain|net') then 'profit'
+   when regexp_matches("column", 'cost|expense|spend|price') then 'cost' when regexp_matches("column", 'count|quantity|orders|transactions|units') then 'count' when regexp_matches("column", 'rate|ratio|percent|conversion|growth') then 'rate'
+   when regexp_matches("column", 'customer|user|client|subscriber') then 'customer' when regexp_matches("column", 'date|time|period|month|year|day') then 'date' end as kpi_kind
+  from (select unnest(range(0, 6)) as position, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) as "column") where (select count(*) from orders) > 0) where kpi_kind is not null""")
 def _(spark, sf):
     return tidy(recommend.kpi_candidates(table(spark, sf, "orders")))
 
@@ -323,13 +326,14 @@ INTEL = Fixture("customer", "c_custkey", "c_name", "c_mktsegment", "concat('u',
                 "concat('555-0', cast(100000 + c_custkey as varchar(20))) as phone", "concat('$', cast(c_custkey % 5 as varchar(20))) as fee", "case when c_custkey % 2 = 0 then 'Yes' else 'no' end as opted", "cast(null as varchar(10)) as nothing", "c_acctbal as country_lat")
 
 
-@query("typ6_column_intelligence", f"""with n as (select count(*) as n from {INTEL.sql}) select "column", kind, tags, unique_count, round(100.0 * unique_count / nullif(present, 0), 2) as unique_pct_raw from (
+@query("typ6_column_intelligence", f"""with n as (select count(*) as n from {INTEL.sql}) select "column", kind, tags || case when regexp_matches("column", 'password|ssn|social|credit|card|secret|token|key') then ',sensitive' else '' end
+    || case when regexp_matches("column", 'city|state|country|address|zip|lat|lon|location') then ',location' else '' end as tags, unique_count, round(100.0 * unique_count / nullif(present, 0), 2) as unique_pct_raw from (
    select 'c_custkey' as "column", 'numeric' as kind, 'possible_id,numeric' as tags, count(distinct c_custkey) as unique_count, count(c_custkey) as present from {INTEL.sql}
    union all select 'c_name', 'categorical', 'identifier,high_cardinality', count(distinct c_name), count(c_name) from {INTEL.sql} union all select 'c_mktsegment', 'categorical', 'categorical', count(distinct c_mktsegment), count(c_mktsegment) from {INTEL.sql}
    union all select 'contact', 'categorical', 'identifier,emails,high_cardinality', count(distinct contact), count(contact) from {INTEL.sql} union all select 'link', 'categorical', 'urls,categorical', count(distinct link), count(link) from {INTEL.sql}
    union all select 'phone', 'categorical', 'identifier,phone_numbers,high_cardinality', count(distinct phone), count(phone) from {INTEL.sql} union all select 'fee', 'categorical', 'currency,categorical', count(distinct fee), count(fee) from {INTEL.sql}
    union all select 'opted', 'categorical', 'boolean,categorical', count(distinct opted), count(opted) from {INTEL.sql} union all select 'nothing', 'empty', '', 0, 0
-   union all select 'country_lat', 'numeric', case when count(distinct country_lat) = count(country_lat) then 'possible_id,numeric,location' else 'numeric,location' end, count(distinct country_lat), count(country_lat) from {INTEL.sql})""".replace("as unique_pct_raw", "as unique_pct").replace("round(100.0 * unique_count / nullif(present, 0), 2)", "coalesce(round(100.0 * unique_count / nullif(present, 0), 2), 0.0)"))
+   union all select 'country_lat', 'numeric', case when count(distinct country_lat) = count(country_lat) then 'possible_id,numeric' else 'numeric' end, count(distinct country_lat), count(country_lat) from {INTEL.sql})""".replace("as unique_pct_raw", "as unique_pct").replace("round(100.0 * unique_count / nullif(present, 0), 2)", "coalesce(round(100.0 * unique_count / nullif(present, 0), 2), 0.0)"))
 def _(spark, sf):
     return eda.column_intelligence(INTEL.df(spark, sf))
 
@@ -414,7 +418,7 @@ def _(spark, sf):
 # --- statistical insights and questions --------------------------------------------------------------------
 
 
-INS = Fixture("lineitem", "l_orderkey", "case when l_orderkey % 4 = 0 then null else l_quantity end as quantity", "case when l_orderkey % 3 = 0 then null else l_extendedprice * 2 end as total", "case when l_orderkey % 11 = 0 then l_tax * 1000 else l_tax end as rate", "l_extendedprice as amount", "l_returnflag")
+INS = Fixture("lineitem", "l_orderkey", "case when l_orderkey % 3 = 1 then null else l_quantity end as quantity", "case when l_orderkey % 3 = 0 then null else l_extendedprice * 2 end as total", "case when l_orderkey % 11 = 0 then l_tax * 1000 else l_tax end as rate", "l_extendedprice as amount", "l_returnflag")
 
 
 def _ins(spark, sf):
@@ -451,11 +455,11 @@ def _(spark, sf):
     return tidy(_ins(spark, sf)[0]["totals"].select("score", "status"))
 
 
-@query("flt12_insight_filter", "select 'quality_missing' as id, 'high' as priority from lineitem having count(*) > 0")
+@query("flt12_insight_filter", f"select 'dist_' || \"column\" as id, 'medium' as priority from ({_INS_NUM}) where abs(sk) > 1")
 def _(spark, sf):
     stats, order = _ins(spark, sf)
     found = insights.statistical_insights(stats, order)
-    return filters.filter_insights(found, "missing", "high", "quality").select("id", "priority")
+    return filters.filter_insights(found, "SKEW", "medium", "distribution").select("id", "priority")
 
 
 @query("snk5_insights_export")
