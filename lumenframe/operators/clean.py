@@ -15,6 +15,7 @@ from lumenframe.operators.frequency import distinct_counts, distinct_rows, dupli
 from lumenframe.operators.frequency import numeric_frequencies, numeric_modes
 from lumenframe.operators.order import key_struct
 from lumenframe.operators.quantiles import fences, fit_quantiles
+from lumenframe.plans.rules import pinned
 
 # Numbers commonly used to stand for a missing one.
 SENTINELS = [-999.0, -9999.0, -1.0, 0.0]
@@ -199,7 +200,7 @@ def detect_invalid_values(df: DataFrame) -> DataFrame:
 def detect_outliers(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Columns with IQR or z-score outliers, from at least ten values; z uses the population spread."""
     cols = cols or catalog.numeric_columns(df)
-    stats = numeric_summary(df, cols).where(F.col("count") >= 10)
+    stats = pinned(numeric_summary(df, cols).where(F.col("count") >= 10))
     out = outlier_counts(df, stats, cols, "pop_std")
     return out.where((F.col("iqr_outliers") > 0) | (F.col("zscore_outliers") > 0)).select(
         "column",

@@ -15,6 +15,7 @@ from lumenframe.operators.frequency import numeric_frequencies
 from lumenframe.operators.joins import lookup
 from lumenframe.operators.order import ROWS_PER_BUCKET, range_bucket, rank_values
 from lumenframe.plans.rules import emit, first_names, fixed, pinned
+from lumenframe.session import checkpoint
 
 
 def strength(r: Column) -> Column:
@@ -81,9 +82,11 @@ def kendall_tau(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_B
     value has no pair to count, so one heavy value is never gathered.
     """
     pairs = df.select(number(df, a).alias("x"), number(df, b).alias("y")).dropna()
-    freq = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    # Read about ten times below, so it is written once to the shared folder.
+    freq = checkpoint(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
     xs, ys = freq.groupBy("x").agg(F.sum("w").alias("w")), freq.groupBy("y").agg(F.sum("w").alias("w"))
-    bx, by = (range_bucket(freq, [c], None, rows_per_bucket, isolate=True) for c in ("x", "y"))
+    rows = freq.count()
+    bx, by = (range_bucket(freq, [c], rows, rows_per_bucket, isolate=True) for c in ("x", "y"))
     zero = F.lit(0)
     binned = freq.withColumns({"bx": zero if bx is None else bx, "by": zero if by is None else by})
 
@@ -115,13 +118,9 @@ def kendall_tau(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_B
     def ties(frame: DataFrame, name: str) -> DataFrame:
         return frame.agg(F.coalesce(F.sum(F.col("w") * (F.col("w") - 1) / 2), F.lit(0.0)).alias(name))
 
-    parts = [
-        freq.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("n")),
-        ties(xs, "tx"),
-        ties(ys, "ty"),
-        ties(freq, "txy"),
-        inner,
-    ]
+    total = F.coalesce(F.sum("w"), F.lit(0.0)).alias("n")
+    both = F.coalesce(F.sum(F.col("w") * (F.col("w") - 1) / 2), F.lit(0.0)).alias("txy")
+    parts = [freq.agg(total, both), ties(xs, "tx"), ties(ys, "ty"), inner]
     scalars = {k: v for p in parts for k, v in p.first().asDict().items()}
     n, tx, ty, txy = (scalars[k] for k in ("n", "tx", "ty", "txy"))
     discordant = scalars["d"] + across

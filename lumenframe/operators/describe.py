@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from lumenframe.operators.frequency import (
     value_frequencies,
 )
 from lumenframe.operators.quantiles import INLINE_ROWS, fences, quantile_frame
+from lumenframe.plans.rules import pinned
 
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 
@@ -96,7 +98,8 @@ def moment_frame(
 def numeric_summary(df: DataFrame, cols: list[str] | None = None, approx: bool = False) -> DataFrame:
     """``moment_frame`` of numeric columns with ``q1, median, q3`` spelled out."""
     cols = cols or catalog.numeric_columns(df)
-    out = moment_frame(numeric_long(df, cols), rows=None if approx else df.count(), approx=approx)
+    rows = None if approx else df.count()
+    out = moment_frame(numeric_long(df, cols, rows), rows=rows, approx=approx)
     q = F.col("q")
     return out.withColumns({"q1": q[0], "median": q[1], "q3": q[2]}).drop("q")
 
@@ -124,6 +127,41 @@ def date_ranges(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
+class Facts:
+    """Statistics of one table that several reports read, each computed once and pinned.
+
+    Every frame has one row per column.
+    """
+
+    def __init__(self, df: DataFrame, kinds: dict[str, str] | None = None, approx: bool = False):
+        self.df = catalog.missing_as_null(df)
+        self.kinds = kinds or catalog.column_kinds(self.df)
+        self.approx = approx
+
+    @property
+    def numeric(self) -> list[str]:
+        return catalog.columns_of(self.df, "numeric", self.kinds)
+
+    @cached_property
+    def nulls(self) -> DataFrame:
+        return pinned(null_counts(self.df))
+
+    @cached_property
+    def uniques(self) -> DataFrame:
+        scalar = [c for c in self.df.columns if self.kinds[c] != "complex"]
+        if not scalar:
+            return self.df.sparkSession.createDataFrame([], "column string, unique_count bigint")
+        return pinned(distinct_counts(self.df, scalar, self.approx))
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return pinned(numeric_summary(self.df, self.numeric, self.approx))
+
+    @cached_property
+    def duplicates(self) -> int:
+        return duplicate_rows(self.df)
+
+
 @dataclass
 class Profile:
     """A table's profile: totals, one row per column, and the top values of text columns."""
@@ -134,19 +172,17 @@ class Profile:
     top_values: DataFrame
 
 
-def column_profile(df: DataFrame, kinds: dict[str, str] | None = None, approx: bool = False) -> DataFrame:
+def column_profile(
+    df: DataFrame, kinds: dict[str, str] | None = None, approx: bool = False, facts: Facts | None = None
+) -> DataFrame:
     """One row per column: kind, missing, distinct and type-specific statistics (4 decimals)."""
-    kinds = kinds or catalog.column_kinds(df)
-    numeric = catalog.columns_of(df, "numeric", kinds)
+    facts = facts or Facts(df, kinds, approx)
+    df, kinds, numeric = facts.df, facts.kinds, facts.numeric
     dates = catalog.columns_of(df, "datetime", kinds)
-    scalar = [c for c in df.columns if kinds[c] != "complex"]
-    out = catalog.kind_frame(df, kinds).join(F.broadcast(null_counts(df)), "column", "left")
-    if scalar:
-        out = out.join(F.broadcast(distinct_counts(df, scalar, approx)), "column", "left")
-    else:
-        out = out.withColumn("unique_count", F.lit(None).cast("bigint"))
+    out = catalog.kind_frame(df, kinds).join(F.broadcast(facts.nulls), "column", "left")
+    out = out.join(F.broadcast(facts.uniques), "column", "left")
     if numeric:
-        stats = numeric_summary(df, numeric, approx).select(
+        stats = facts.summary.select(
             "column", *[safe_round(F.col(c)).alias(c) for c in ("min", "max", "mean", "median", "std", "q1", "q3")]
         )
         out = out.join(F.broadcast(stats), "column", "left")
@@ -159,24 +195,26 @@ def column_profile(df: DataFrame, kinds: dict[str, str] | None = None, approx: b
     return out.withColumn("unique_count", unique).orderBy("position")
 
 
-def profile_summary(df: DataFrame) -> DataFrame:
+def profile_summary(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """``n_rows, n_cols, total_nulls, duplicate_rows``."""
-    nulls = null_counts(df).agg(
+    nulls = (facts.nulls if facts else null_counts(df)).agg(
         F.max(F.col("null_count") + F.col("non_null")).alias("n_rows"),
         F.count(F.lit(1)).alias("n_cols"),
         F.sum("null_count").alias("total_nulls"),
     )
-    return nulls.withColumn("duplicate_rows", F.lit(duplicate_rows(df)).cast("bigint"))
+    duplicates = facts.duplicates if facts else duplicate_rows(df)
+    return nulls.withColumn("duplicate_rows", F.lit(duplicates).cast("bigint"))
 
 
 def profile(df: DataFrame, approx: bool = False) -> Profile:
-    df = catalog.missing_as_null(df)
-    kinds = catalog.column_kinds(df)
+    """Totals, columns and top values of a table, over shared statistics."""
+    facts = Facts(df, approx=approx)
+    df, kinds = facts.df, facts.kinds
     texts = catalog.columns_of(df, "categorical", kinds)
     return Profile(
         kinds,
-        profile_summary(df),
-        column_profile(df, kinds, approx),
+        profile_summary(df, facts),
+        column_profile(df, facts=facts),
         top_values(df, texts) if texts else df.sparkSession.createDataFrame(
             [], "column string, rank int, value string, count bigint"
         ),
@@ -234,9 +272,12 @@ def distribution_stats(df: DataFrame, cols: list[str] | None = None, digits: int
     return s.select("column", "count", *[safe_round(v, digits).alias(k) for k, v in values.items()])
 
 
-def report_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """The thirteen statistics of the report table, for columns with at least two values."""
-    s = numeric_summary(df, cols).where(F.col("count") >= 2)
+def report_stats(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """The thirteen statistics of the report table, for columns with at least two values.
+
+    Here and below, ``stats`` is a ``numeric_summary`` already at hand.
+    """
+    s = (numeric_summary(df, cols) if stats is None else stats).where(F.col("count") >= 2)
     values = {
         "mean": F.col("mean"),
         "median": F.col("median"),
@@ -257,7 +298,8 @@ def report_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def percentiles(df: DataFrame, cols: list[str] | None = None, digits: int = 6, approx: bool = False) -> DataFrame:
     """Percentiles 1 to 99 per column."""
     cols = cols or catalog.numeric_columns(df)
-    q = quantile_frame(numeric_long(df, cols), [p / 100 for p in PERCENTILES], approx=approx)
+    rows = None if approx else df.count()
+    q = quantile_frame(numeric_long(df, cols, rows), [p / 100 for p in PERCENTILES], approx=approx, rows=rows)
     return q.select("column", *[safe_round(F.col("q")[i], digits).alias(f"p{p}") for i, p in enumerate(PERCENTILES)])
 
 
@@ -294,9 +336,9 @@ def shape_columns(stats: DataFrame) -> DataFrame:
     )
 
 
-def shapes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def shapes(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """``column, skewness, kurtosis, shape``."""
-    return shape_columns(numeric_summary(df, cols)).select(
+    return shape_columns(numeric_summary(df, cols) if stats is None else stats).select(
         "column", safe_round(F.col("skewness"), 6).alias("skewness"), safe_round(F.col("kurtosis"), 6).alias("kurtosis"), "shape"
     )
 
@@ -322,10 +364,10 @@ def outlier_counts(df: DataFrame, stats: DataFrame, cols: list[str], std: str =
     return stats.join(F.broadcast(counts), "column")
 
 
-def compact_numeric_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def compact_numeric_stats(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Moments, quartiles, outliers, zeros and negatives per numeric column."""
     cols = cols or catalog.numeric_columns(df)
-    s = outlier_counts(df, numeric_summary(df, cols), cols)
+    s = outlier_counts(df, pinned(numeric_summary(df, cols)) if stats is None else stats, cols)
     shown = ("mean", "median", "std", "min", "max", "skewness", "kurtosis", "q1", "q3")
     return s.select(
         "column",

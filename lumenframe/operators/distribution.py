@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,14 @@ from lumenframe.operators.describe import (
     outlier_counts,
     shape_columns,
 )
-from lumenframe.operators.frequency import most_frequent, numeric_frequencies, numeric_long, numeric_modes
+from lumenframe.operators.frequency import (
+    SMALL_ROWS,
+    most_frequent,
+    numeric_frequencies,
+    numeric_long,
+    numeric_modes,
+    spread_small,
+)
 from lumenframe.operators.hypothesis import normality_tests
 from lumenframe.operators.order import ROWS_PER_BUCKET, rank_values
 from lumenframe.operators.quantiles import fences, fit_quantiles, quantile_frame
@@ -202,7 +210,7 @@ def by_category(df: DataFrame, value: str, category: str, k: int = 15) -> DataFr
 
 def _search_lambda(score, lo: float = -6.0, hi: float = 6.0) -> float:
     """Maximise a likelihood over λ by narrowing grids; ``score`` maps λs to values in one job."""
-    steps = 24
+    steps = 12
     for _ in range(8):
         grid = [lo + (hi - lo) * i / steps for i in range(steps + 1)]
         best = int(np.argmax(score(grid)))
@@ -210,7 +218,7 @@ def _search_lambda(score, lo: float = -6.0, hi: float = 6.0) -> float:
             break
         width = hi - lo
         lo, hi = (lo - width, lo + width / steps) if best == 0 else (hi - width / steps, hi + width)
-    for _ in range(4):
+    for _ in range(5):
         values = score(grid)
         best = min(max(int(np.argmax(values)), 1), steps - 1)
         lo, hi = grid[best - 1], grid[best + 1]
@@ -246,8 +254,27 @@ def _variances(values: DataFrame, x: Column, transform, grid: list[float]) -> li
     return [found[i] for i in range(len(grid))]
 
 
+@contextmanager
+def _repeated(values: DataFrame):
+    """Values that several passes read: kept in memory, spread over cores, while they are few."""
+    rows = values.count()
+    if rows > SMALL_ROWS:
+        yield values
+        return
+    held = spread_small(values, rows).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def box_cox_lambda(values: DataFrame) -> float:
     """Maximum-likelihood λ of positive ``value``s, scaled by their geometric mean."""
+    with _repeated(values) as held:
+        return _box_cox_lambda(held)
+
+
+def _box_cox_lambda(values: DataFrame) -> float:
     row = values.agg(F.count("value").alias("n"), F.avg(F.log("value")).alias("m")).first()
     z = F.col("value") / F.lit(math.exp(row["m"]))
 
@@ -260,6 +287,11 @@ def box_cox_lambda(values: DataFrame) -> float:
 
 def yeo_johnson_lambda(values: DataFrame) -> float:
     """Maximum-likelihood λ of any ``value``s."""
+    with _repeated(values) as held:
+        return _yeo_johnson_lambda(held)
+
+
+def _yeo_johnson_lambda(values: DataFrame) -> float:
     x = F.col("value")
     row = values.agg(F.count("value").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j")).first()
 
@@ -354,11 +386,11 @@ def quality_label(score: Column) -> Column:
     return band(score, (90, "Excellent"), (75, "Good"), (50, "Average"), otherwise="Poor")
 
 
-def column_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def column_report(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """One row per numeric column with at least three values: statistics, shape, normality
     votes, outliers and quality score."""
     cols = cols or catalog.numeric_columns(df)
-    stats = pinned(numeric_summary(df, cols).where(F.col("count") >= 3))
+    stats = pinned((numeric_summary(df, cols) if stats is None else stats).where(F.col("count") >= 3))
     base = shape_columns(outlier_counts(df, stats, cols))
     votes = normality_tests(df, cols).groupBy("column").agg(
         F.count_if("is_normal").alias("normal_tests"), F.count(F.lit(1)).alias("total_tests")

@@ -10,9 +10,25 @@ from pyspark.sql import types as T
 from lumenframe.functions.numbers import number, quoted
 
 
-def numeric_long(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Non-missing numbers in long form: ``column, value``."""
-    wide = df.select([number(df, c).alias(c) for c in cols])
+SMALL_ROWS = 4_000_000
+
+
+def spread_small(df: DataFrame, rows: int | None) -> DataFrame:
+    """Spread a small input over all cores; a large one comes in enough splits already.
+
+    ``rows`` is its checked row count, or None to leave it as it is.
+    """
+    if rows is None or rows > SMALL_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def numeric_long(df: DataFrame, cols: list[str], rows: int | None = None) -> DataFrame:
+    """Non-missing numbers in long form: ``column, value``.
+
+    Give the checked row count of a small table to spread the work that follows.
+    """
+    wide = spread_small(df.select([number(df, c).alias(c) for c in cols]), rows)
     return wide.unpivot([], [F.col(quoted(c)) for c in cols], "column", "value").where(
         F.col("value").isNotNull()
     )

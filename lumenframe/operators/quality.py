@@ -10,8 +10,7 @@ from lumenframe.functions import text
 from lumenframe.functions.dates import to_moment
 from lumenframe.functions.numbers import band, number, percent, quoted, ratio, to_number
 from lumenframe.operators import catalog
-from lumenframe.operators.describe import null_counts
-from lumenframe.operators.frequency import distinct_counts, duplicate_rows
+from lumenframe.operators.describe import Facts
 from lumenframe.plans.rules import emit, first_names, pinned
 
 CHECKS = [
@@ -74,12 +73,12 @@ def quality_score(nulls: Column, unique: Column, invalid: Column, rows: Column)
     return F.when(rows == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.round(score, 1)))
 
 
-def column_quality(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+def column_quality(df: DataFrame, kinds: dict[str, str] | None = None, facts: Facts | None = None) -> DataFrame:
     """Full quality row per column. ``kinds`` may declare a text column numeric or datetime."""
-    kinds = kinds or catalog.column_kinds(df)
-    scalar = [c for c in df.columns if kinds[c] != "complex"]
+    facts = facts or Facts(df, kinds)
+    df, kinds = facts.df, facts.kinds
     frame = catalog.kind_frame(df, kinds)
-    for part in (null_counts(df), distinct_counts(df, scalar), value_checks(df), catalog.suggested_types(df, kinds).drop("kind")):
+    for part in (facts.nulls, facts.uniques, value_checks(df), catalog.suggested_types(df, kinds).drop("kind")):
         frame = frame.join(F.broadcast(part), "column", "left")
     rows = F.col("null_count") + F.col("non_null")
     unique = F.coalesce(F.col("unique_count"), F.lit(0))
@@ -256,12 +255,14 @@ def recommendations(columns: DataFrame, duplicate_cols: DataFrame, score: float)
     return emit(facts, rules)
 
 
-def quality_report(df: DataFrame, kinds: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def quality_report(
+    df: DataFrame, kinds: dict[str, str] | None = None, facts: Facts | None = None
+) -> dict[str, DataFrame]:
     """All sections of the quality report over one pinned column frame."""
-    df = catalog.missing_as_null(df)
-    kinds = kinds or catalog.column_kinds(df)
-    columns = pinned(column_quality(df, kinds))
-    totals = pinned(dataset_totals(columns, duplicate_rows(df)))
+    facts = facts or Facts(df, kinds)
+    df = facts.df
+    columns = pinned(column_quality(df, facts=facts))
+    totals = pinned(dataset_totals(columns, facts.duplicates))
     copies = duplicate_columns(df)
     scores = pinned(health(totals))
     c = F.col

@@ -15,24 +15,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenframe.operators.frequency import numeric_long
+from lumenframe.operators.frequency import SMALL_ROWS, numeric_long
 
-INLINE_ROWS = 4_000_000
+INLINE_ROWS = SMALL_ROWS
 SKETCH = 10_000
 
 
 def quantile_frame(
-    long: DataFrame, probs: list[float], key: str = "column", inline_rows: int = INLINE_ROWS, approx: bool = False
+    long: DataFrame,
+    probs: list[float],
+    key: str = "column",
+    inline_rows: int = INLINE_ROWS,
+    approx: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """``key, q`` with ``q`` an array of quantiles in the order of ``probs``.
 
     ``long`` has columns ``key`` and ``value``; keys must be few (columns or top categories).
+    ``rows``, where known, is a checked upper bound of rows per key and saves a count.
     """
     if approx:
         return long.groupBy(key).agg(F.percentile_approx("value", probs, SKETCH).alias("q"))
+    exact = F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("q")
+    if rows is not None and rows <= inline_rows:
+        return long.groupBy(key).agg(exact)
     counts = {r[key]: r["n"] for r in long.groupBy(key).agg(F.count("value").alias("n")).collect()}
     if not counts or max(counts.values()) <= inline_rows:
-        return long.groupBy(key).agg(F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("q"))
+        return long.groupBy(key).agg(exact)
     return _selected(long, probs, key, counts, inline_rows)
 
 
@@ -127,7 +136,8 @@ def _selected(long, probs, key, counts, inline_rows) -> DataFrame:
 
 def fit_quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool = False) -> dict[str, list[float]]:
     """Quantiles per numeric column as driver scalars, for fitted parameters."""
-    frame = quantile_frame(numeric_long(df, cols), probs, approx=approx)
+    rows = None if approx else df.count()
+    frame = quantile_frame(numeric_long(df, cols, rows), probs, approx=approx, rows=rows)
     return {r["column"]: list(r["q"]) for r in frame.collect()}
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import types as T
 from lumenframe.functions import text
 from lumenframe.functions.numbers import band, number, percent, quoted, ratio, safe_round
 from lumenframe.operators import catalog, correlation, distribution, quality
-from lumenframe.operators.describe import column_profile, numeric_summary, outlier_counts, percentiles, report_stats
-from lumenframe.operators.frequency import distinct_counts
+from lumenframe.operators.describe import Facts, column_profile, numeric_summary, outlier_counts, percentiles, report_stats
 from lumenframe.plans.rules import emit, first_names, fixed, pinned
 
 # Sections each report profile asks for.
@@ -28,12 +27,15 @@ SENSITIVE_NAMES = ["password", "ssn", "social", "credit", "card", "secret", "tok
 LOCATION_NAMES = ["city", "state", "country", "address", "zip", "lat", "lon", "location"]
 
 
-def column_intelligence(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+def column_intelligence(
+    df: DataFrame, kinds: dict[str, str] | None = None, facts: Facts | None = None
+) -> DataFrame:
     """``column, kind, tags, unique_count, unique_pct``: semantic tags, comma separated.
 
     Format shares are taken over all present values.
     """
-    kinds = kinds or catalog.column_kinds(df)
+    facts = facts or Facts(df, kinds)
+    df, kinds = facts.df, facts.kinds
     scalar = [f for f in df.schema.fields if kinds[f.name] != "complex"]
     aggs, cells = [], []
     formats = {"emails": text.EMAIL, "urls": text.URL, "phone_numbers": text.PHONE_LONG, "currency": text.CURRENCY}
@@ -56,11 +58,11 @@ def column_intelligence(df: DataFrame, kinds: dict[str, str] | None = None) -> D
             else:
                 cell.append(F.lit(0).cast("bigint").alias(tag))
         cells.append(F.struct(*cell))
-    facts = df.agg(*aggs).select(F.inline(F.array(*cells)))
+    found = df.agg(*aggs).select(F.inline(F.array(*cells)))
     base = (
         catalog.kind_frame(df, kinds)
-        .join(F.broadcast(facts), "column")
-        .join(F.broadcast(distinct_counts(df, [f.name for f in scalar])), "column", "left")
+        .join(F.broadcast(found), "column")
+        .join(F.broadcast(facts.uniques), "column", "left")
         .fillna(0, ["unique_count"])
     )
     n, u = F.col("n"), F.col("unique_count")
@@ -94,10 +96,11 @@ def column_intelligence(df: DataFrame, kinds: dict[str, str] | None = None) -> D
     )
 
 
-def outlier_analysis(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def outlier_analysis(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """IQR and z-score outliers (sample spread) with severity, from four values on."""
     cols = cols or catalog.numeric_columns(df)
-    s = outlier_counts(df, numeric_summary(df, cols).where("count >= 4"), cols)
+    stats = pinned(numeric_summary(df, cols)) if stats is None else stats
+    s = outlier_counts(df, stats.where("count >= 4"), cols)
     pct = percent(F.col("iqr_outliers"), F.col("count"))
     return s.select(
         "column",
@@ -241,13 +244,12 @@ def column_details(profile: DataFrame, intelligence: DataFrame) -> DataFrame:
 
 def eda_report(df: DataFrame, report_type: str = "full") -> dict[str, DataFrame]:
     """Every section of a report as a frame. Correlation and distribution only where asked for."""
-    df = catalog.missing_as_null(df)
     wanted = PROFILES.get(report_type, PROFILES["full"])
-    kinds = catalog.column_kinds(df)
-    numeric = catalog.columns_of(df, "numeric", kinds)
-    report = quality.quality_report(df, kinds)
+    shared = Facts(df)
+    df, numeric = shared.df, shared.numeric
+    report = quality.quality_report(df, facts=shared)
     q = report["overview"].first()
-    profile = pinned(column_profile(df, kinds))
+    profile = pinned(column_profile(df, facts=shared))
     dup, gaps = report["duplicates"].first(), report["missing_total"].first()
     report["overview"] = df.sparkSession.createDataFrame(
         [(
@@ -258,14 +260,14 @@ def eda_report(df: DataFrame, report_type: str = "full") -> dict[str, DataFrame]
         "boolean_columns bigint, missing_pct double, duplicate_pct double",
     )
     if numeric:
-        report["statistics"] = pinned(report_stats(df, numeric))
-        report["outliers"] = pinned(outlier_analysis(df, numeric))
+        report["statistics"] = report_stats(df, numeric, shared.summary)
+        report["outliers"] = pinned(outlier_analysis(df, numeric, shared.summary))
     if len(numeric) >= 2 and (wanted == "all" or "correlation" in wanted):
         report["correlation"] = pinned(correlation.pair_report(df, "pearson", numeric))
     if numeric and (wanted == "all" or "distribution" in wanted):
-        report["distribution"] = pinned(distribution.column_report(df, numeric))
+        report["distribution"] = pinned(distribution.column_report(df, numeric, shared.summary))
         report["percentiles"] = pinned(percentiles(df, numeric))
-    report["intelligence"] = pinned(column_intelligence(df, kinds))
+    report["intelligence"] = pinned(column_intelligence(df, facts=shared))
     facts = pinned(ml_facts(profile, dup["duplicate_rows"]))
     report["ml_readiness"] = ml_readiness(facts)
     report["ml_recommendations"] = ml_recommendations(facts)

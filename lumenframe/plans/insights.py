@@ -8,15 +8,7 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.numbers import band, percent
 from lumenframe.operators import catalog, correlation
-from lumenframe.operators.describe import (
-    compact_numeric_stats,
-    compact_text_stats,
-    date_ranges,
-    missing_summary,
-    null_counts,
-    shapes,
-)
-from lumenframe.operators.frequency import duplicate_rows
+from lumenframe.operators.describe import Facts, compact_numeric_stats, compact_text_stats, date_ranges, shapes
 from lumenframe.plans.recommend import boolean_like, kpi_candidates, target_candidates
 from lumenframe.plans.rules import emit, fixed, pinned
 
@@ -28,10 +20,10 @@ def quality_score(missing_pct: Column, duplicate_pct: Column) -> Column:
     return F.greatest(F.lit(0.0), 100 - missing_pct * 2 - duplicate_pct)
 
 
-def totals(df: DataFrame) -> DataFrame:
+def totals(facts: Facts) -> DataFrame:
     """``rows, columns, total_missing_pct, duplicate_rows, duplicate_pct, score, status``."""
-    d = duplicate_rows(df)
-    n = null_counts(df).agg(
+    d = facts.duplicates
+    n = facts.nulls.agg(
         F.max(F.col("null_count") + F.col("non_null")).alias("rows"),
         F.count(F.lit(1)).alias("columns"),
         percent(F.sum("null_count"), F.sum(F.col("null_count") + F.col("non_null"))).alias("total_missing_pct"),
@@ -47,15 +39,18 @@ def dataset_statistics(df: DataFrame, max_numeric: int | None = None, max_text:
     numeric = catalog.numeric_columns(df)[:max_numeric]
     texts = catalog.text_columns(df)[:max_text]
     dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
-    out = {"totals": pinned(totals(df)), "missing": pinned(missing_summary(df)), "kpis": kpi_candidates(df)}
+    facts = Facts(df)
+    missing = facts.nulls.where("null_count > 0").select("column", "null_count", "null_pct")
+    out = {"totals": pinned(totals(facts)), "missing": missing, "kpis": kpi_candidates(df)}
     out["booleans"] = pinned(boolean_like(df))
     out["dates"] = pinned(date_ranges(df, dates))
     if texts:
         out["text"] = pinned(compact_text_stats(df, texts))
     if numeric:
-        out["numeric"] = pinned(compact_numeric_stats(df, numeric))
-        out["shapes"] = pinned(shapes(df, numeric))
-        out["targets"] = pinned(target_candidates(df, numeric))
+        stats = facts.summary.where(F.col("column").isin(numeric))
+        out["numeric"] = pinned(compact_numeric_stats(df, numeric, stats))
+        out["shapes"] = shapes(df, numeric, stats)
+        out["targets"] = pinned(target_candidates(df, numeric, facts.uniques))
     if len(numeric) >= 2:
         out["pairs"] = pinned(correlation.pair_report(df, "pearson", numeric))
     return out

@@ -84,13 +84,14 @@ def recommend_charts(df: DataFrame, kinds: dict[str, str] | None = None) -> Data
     )
 
 
-def target_candidates(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def target_candidates(df: DataFrame, cols: list[str] | None = None, uniques: DataFrame | None = None) -> DataFrame:
     """``column, unique_values, task``: classification for few values, regression for many."""
     cols = cols or catalog.numeric_columns(df)
     n = df.count()
     u = F.col("unique_count")
     task = F.when(u.between(2, min(20, n * 0.05)), "classification").when((u > 20) & (u > n * 0.05), "regression")
-    return distinct_counts(df, cols).select("column", u.alias("unique_values"), task.alias("task")).where("task is not null")
+    counts = distinct_counts(df, cols) if uniques is None else uniques.where(F.col("column").isin(cols))
+    return counts.select("column", u.alias("unique_values"), task.alias("task")).where("task is not null")
 
 
 def kpi_kind(name: Column) -> Column:
