@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import special
+from lumenframe.functions.special import normal_cdf, normal_ppf
 from lumenframe.functions.numbers import band, number, quoted, ratio, safe_round
 from lumenframe.operators import catalog
 from lumenframe.operators.correlation import average_ranks
 from lumenframe.operators.frequency import numeric_frequencies, numeric_long
 from lumenframe.operators.order import ROWS_PER_BUCKET, rank_values
 from lumenframe.operators.quantiles import quantile_frame
+from lumenframe.plans.rules import pinned
 
 SHAPIRO_LIMIT = 5000
 
@@ -50,7 +52,7 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     spread = float(((x - x.mean()) ** 2).sum())
     if spread == 0:
         return 1.0, 1.0
-    m = special.normal_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
+    m = normal_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
     norm = float(m @ m)
     if n == 3:
         a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
@@ -82,7 +84,7 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         mean, sd = _poly("small_mean", n), math.exp(_poly("small_log_sd", n))
     else:
         mean, sd = _poly("large_mean", math.log(n)), math.exp(_poly("large_log_sd", math.log(n)))
-    return w, float(special.normal_cdf(-(y - mean) / sd))
+    return w, float(normal_cdf(-(y - mean) / sd))
 
 
 def shapiro(df: DataFrame, cols: list[str] | None = None, limit: int = SHAPIRO_LIMIT) -> DataFrame:
@@ -215,8 +217,8 @@ def normality_tests(df: DataFrame, cols: list[str] | None = None, suite: str = "
     """
     cols = cols or catalog.numeric_columns(df)
     floor = 20 if suite == "distribution" else 8
-    d = _distance_tests(df, cols)
-    m = _moments(df, cols)
+    d = pinned(_distance_tests(df, cols))
+    m = pinned(_moments(df, cols))
     no_p = F.lit(None).cast("double")
 
     def row(frame, test, stat, p, normal) -> DataFrame:
@@ -401,7 +403,7 @@ def mann_whitney(df: DataFrame, a: str, b: str) -> DataFrame:
     else:
         sd = math.sqrt(na * nb / 12 * (total + 1 - row["ties"] / (total * (total - 1))))
         top = max(u, na * nb - u)
-        p = min(1.0, 2 * float(special.normal_cdf(-(top - na * nb / 2 - 0.5) / sd))) if sd else 1.0
+        p = min(1.0, 2 * float(normal_cdf(-(top - na * nb / 2 - 0.5) / sd))) if sd else 1.0
     return df.sparkSession.createDataFrame(
         [(u, p, medians.get("a"), int(na), medians.get("b"), int(nb))], schema
     )
