@@ -87,7 +87,7 @@ def _pattern(c, kind):
       case when nulls = n then 'all_missing' when last_null < first_ok then 'top_rows' when first_null > last_ok then 'bottom_rows' else 'random' end as pattern,
       {advice} as recommendation from (select count(*) as n, count(*) - count({c}) as nulls, round(100.0 * (count(*) - count({c})) / count(*), 2) as p,
       max(event_id) filter ({c} is null) as last_null, min(event_id) filter ({c} is null) as first_null,
-      max(event_id) filter ({c} is not null) as last_ok, min(event_id) filter ({c} is not null) as first_ok from {EV_ENDS.sql}) where nulls > 0"""
+      max(event_id) filter ({c} is not null) as last_ok, min(event_id) filter ({c} is not null) as first_ok from {EV_ENDS.sql})"""
 
 
 EV_ENDS_SQL = " union all ".join(
@@ -95,7 +95,7 @@ EV_ENDS_SQL = " union all ".join(
 )
 
 
-@query("cln6_analyze_missing", EV_ENDS_SQL)
+@query("cln6_analyze_missing", f"select * from ({EV_ENDS_SQL}) where null_count > 0")
 def _(spark, sf):
     return clean.analyze_missing(EV_ENDS.df(spark, sf), ["event_id"])
 
