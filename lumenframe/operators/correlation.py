@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,17 +34,37 @@ def zero_filled(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select([number(df, c).alias(c) for c in cols]).dropna("all").fillna(0.0)
 
 
+PAIRS_PER_JOB = 300
+
+
+def _per_pair(df: DataFrame, cols: list[str], aggregate) -> DataFrame:
+    """``feature_a, feature_b, r`` with one aggregate for every few hundred pairs of columns.
+
+    ``aggregate(i, j)`` gives the named aggregates of a pair and the expression of r on them.
+    """
+    pairs = list(combinations(range(len(cols)), 2))
+    parts = []
+    for start in range(0, len(pairs), PAIRS_PER_JOB):
+        aggs, cells = {}, []
+        for i, j in pairs[start : start + PAIRS_PER_JOB]:
+            named, r = aggregate(i, j)
+            aggs.update(named)
+            cells.append(
+                F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"), r.alias("r"))
+            )
+        parts.append(df.agg(*[v.alias(k) for k, v in aggs.items()]).select(F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pairwise_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``feature_a, feature_b, r`` of complete numeric columns, all from one aggregate."""
-    aggs = [F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    cells = []
-    for i, j in combinations(range(len(cols)), 2):
-        aggs.append(F.covar_pop(quoted(cols[i]), quoted(cols[j])).alias(f"c{i}_{j}"))
-        r = ratio(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}"))
-        cells.append(
-            F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"), r.alias("r"))
-        )
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    """``feature_a, feature_b, r`` of complete numeric columns."""
+
+    def aggregate(i: int, j: int):
+        named = {f"s{k}": F.stddev_pop(quoted(cols[k])) for k in (i, j)}
+        named[f"c{i}_{j}"] = F.covar_pop(quoted(cols[i]), quoted(cols[j]))
+        return named, ratio(F.col(f"c{i}_{j}"), F.col(f"s{i}") * F.col(f"s{j}"))
+
+    return _per_pair(df, cols, aggregate)
 
 
 def average_ranks(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -212,19 +233,19 @@ def matrix(pairs: DataFrame, cols: list[str]) -> DataFrame:
 
 def complete_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     """``feature_a, feature_b, r`` over the rows where both columns are present."""
-    aggs, cells = [], []
-    for i, j in combinations(range(len(cols)), 2):
+
+    def aggregate(i: int, j: int):
         x, y = number(df, cols[i]), number(df, cols[j])
         both = x.isNotNull() & y.isNotNull()
         x, y = F.when(both, x), F.when(both, y)
-        aggs += [
-            F.covar_pop(x, y).alias(f"c{i}_{j}"),
-            F.stddev_pop(x).alias(f"x{i}_{j}"),
-            F.stddev_pop(y).alias(f"y{i}_{j}"),
-        ]
-        r = ratio(F.col(f"c{i}_{j}"), F.col(f"x{i}_{j}") * F.col(f"y{i}_{j}"))
-        cells.append(F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"), r.alias("r")))
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+        named = {
+            f"c{i}_{j}": F.covar_pop(x, y),
+            f"x{i}_{j}": F.stddev_pop(x),
+            f"y{i}_{j}": F.stddev_pop(y),
+        }
+        return named, ratio(F.col(f"c{i}_{j}"), F.col(f"x{i}_{j}") * F.col(f"y{i}_{j}"))
+
+    return _per_pair(df, cols, aggregate)
 
 
 def trend_fit(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from lumenframe.functions.dates import to_moment
 from lumenframe.functions.numbers import is_numeric, number, quoted
 
-MOMENTS = (T.DateType, T.TimestampType, T.TimestampNTZType)
-
 
 def _as_number(v) -> float | None:
     try:
@@ -22,12 +20,20 @@ def _as_number(v) -> float | None:
         return None
 
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    """A number to compare: numeric columns as they are, so that scans can use the filter."""
+    dtype = df.schema[name].dataType
+    return F.col(quoted(name)) if is_numeric(dtype) else number(df, name)
+
+
 def _equals(df: DataFrame, name: str, value) -> Column:
     """Equality by number or moment where the column has that type, by text otherwise."""
     c, dtype = F.col(quoted(name)), df.schema[name].dataType
     if is_numeric(dtype) and _as_number(value) is not None:
-        return number(df, name) == F.lit(float(value))
-    if isinstance(dtype, MOMENTS):
+        return _comparable(df, name) == F.lit(float(value))
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return c == to_moment(F.lit(str(value)), T.StringType()).cast(dtype)
+    if isinstance(dtype, T.DateType):
         return to_moment(c, dtype) == to_moment(F.lit(str(value)), T.StringType())
     return c.cast("string") == F.lit(str(value))
 
@@ -42,8 +48,11 @@ def predicate(df: DataFrame, column: str, operator: str, value) -> Column | None
     if operator == "neq":
         return ~F.coalesce(_equals(df, column, value), F.lit(False))
     if operator in ("gt", "gte", "lt", "lte"):
-        x, v = number(df, column), F.lit(float(value))
-        return {"gt": x > v, "gte": x >= v, "lt": x < v, "lte": x <= v}[operator]
+        x, v = _comparable(df, column), F.lit(float(value))
+        hit = {"gt": x > v, "gte": x >= v, "lt": x < v, "lte": x <= v}[operator]
+        # NaN is missing, but sorts above every number.
+        floating = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+        return hit & ~F.isnan(c) if floating and operator in ("gt", "gte") else hit
     if operator == "contains":
         return c.cast("string").rlike("(?i)" + str(value))
     if operator == "in" and isinstance(value, (list, tuple)):

@@ -24,6 +24,7 @@ from lumenframe.operators.quantiles import quantile_frame
 from lumenframe.plans.rules import pinned
 
 SHAPIRO_LIMIT = 5000
+HASH_RANGE = 1 << 40
 
 # Normal-case Anderson-Darling points at 15, 10, 5, 2.5 and 1 percent (Stephens).
 ANDERSON_POINTS = {"15": 0.576, "10": 0.656, "5": 0.787, "2.5": 0.918, "1": 1.092}
@@ -91,15 +92,21 @@ def shapiro(df: DataFrame, cols: list[str] | None = None, limit: int = SHAPIRO_L
     """``column, statistic, p_value, sample_size`` over all values, or a sample of ``limit``.
 
     The sample is the test's own limit: rows with the smallest hash, so it does not depend
-    on file order. Each task keeps at most ``limit`` candidates.
+    on file order. On a long column only hashes below a threshold that leaves a few times
+    ``limit`` rows are sorted, so that tasks do not all send ``limit`` candidates.
     """
     cols = cols or catalog.numeric_columns(df)
     scalars = [f.name for f in df.schema.fields if not isinstance(f.dataType, catalog.COMPLEX)]
-    row_hash = F.xxhash64(*[F.col(quoted(c)) for c in scalars])
+    row_hash = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in scalars]), F.lit(HASH_RANGE))
+    sizes = df.agg(*[F.count(number(df, c)) for c in cols]).first()
     parts = None
-    for c in cols:
+    for c, n in zip(cols, sizes):
         one = df.select(F.lit(c).alias("column"), number(df, c).alias("value"), row_hash.alias("h"))
-        one = one.where(F.col("value").isNotNull()).orderBy("h", "value").limit(limit).drop("h")
+        one = one.where(F.col("value").isNotNull())
+        if n > 10 * limit:
+            low = one.where(F.col("h") < int(HASH_RANGE * 4 * limit / n))
+            one = low if low.limit(limit).count() == limit else one
+        one = one.orderBy("h", "value").limit(limit).drop("h")
         parts = one if parts is None else parts.unionByName(one)
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -17,6 +17,7 @@ from lumenframe.operators.order import ROWS_PER_BUCKET, key_struct, range_bucket
 from lumenframe.operators.quantiles import fit_quantiles
 
 MAX_CELLS = 1024
+MAX_DIRECTORY = 16_384
 CELL_ROWS = 512
 BLOCK_ROWS = 4096
 
@@ -182,6 +183,16 @@ def impute_knn(
         *[F.min(x).alias(f"lo{j}") for j, x in enumerate(xs)],
         *[F.max(x).alias(f"hi{j}") for j, x in enumerate(xs)],
     )
+    # With very many missing patterns the directory would not be small: then nothing is pruned
+    # and the blocks alone bound the work per task.
+    loose = boxes.limit(MAX_DIRECTORY + 1).count() > MAX_DIRECTORY
+    if loose:
+        donors = donors.withColumn("cell", F.lit("all"))
+        boxes = donors.groupBy("cell").agg(
+            F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"),
+            *[F.min(x).alias(f"lo{j}") for j, x in enumerate(xs)],
+            *[F.max(x).alias(f"hi{j}") for j, x in enumerate(xs)],
+        )
     directory = boxes.toPandas()
     lo = directory[[f"lo{j}" for j in range(d)]].to_numpy(dtype=float)
     hi = directory[[f"hi{j}" for j in range(d)]].to_numpy(dtype=float)
@@ -204,6 +215,8 @@ def impute_knn(
             ]
             near = np.concatenate([p[0] for p in parts] or [np.empty((0, len(lo)))])
             far = np.concatenate([p[1] for p in parts] or [np.empty((0, len(lo)))])
+            if loose:
+                near, far = np.zeros_like(near), np.full_like(far, np.inf)
             slices = pd.util.hash_array(pdf["id"].to_numpy(dtype=object)) % n_slices
             out = []
             for i in range(len(pdf)):

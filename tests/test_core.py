@@ -79,9 +79,10 @@ def brute_knn(rows, cols, k):
     return out
 
 
-@pytest.mark.parametrize("cells,per_cell", [(1, 512), (64, 5)])
-def test_knn_matches_brute_force_with_copies(spark, monkeypatch, cells, per_cell):
+@pytest.mark.parametrize("cells,per_cell,directory", [(1, 512, 99), (64, 5, 10**6), (64, 5, 3)])
+def test_knn_matches_brute_force_with_copies(spark, monkeypatch, cells, per_cell, directory):
     monkeypatch.setattr(impute, "CELL_ROWS", per_cell)
+    monkeypatch.setattr(impute, "MAX_DIRECTORY", directory)
     monkeypatch.setattr(impute, "BLOCK_ROWS", 20)
     rng = np.random.default_rng(5)
     rows = [(1.0, 2.0, 3.0)] * 40  # a third of the table is copies
@@ -144,6 +145,27 @@ def test_top_values_and_modes_break_ties_by_value(spark):
     assert frequency.modes(df, ["t", "v"]) == {"t": "a", "v": 1.0}
 
 
+def test_pair_aggregates_in_several_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    data = pd.DataFrame(rng.normal(size=(60, 5)), columns=list("abcde"))
+    want = data.corr()
+    df = spark.createDataFrame(data)
+    monkeypatch.setattr(correlation, "PAIRS_PER_JOB", 3)
+    for fn in (correlation.pairwise_pearson, correlation.complete_pearson):
+        rows = fn(df, list("abcde")).collect()
+        assert len(rows) == 10
+        for r in rows:
+            assert r["r"] == pytest.approx(want.loc[r["feature_a"], r["feature_b"]], abs=1e-12)
+
+
+def test_shapiro_sample_is_the_limit(spark):
+    from lumenframe.operators import hypothesis
+
+    df = spark.range(2000).select(F.col("id"), F.randn(3).alias("v"))
+    row = hypothesis.shapiro(df, ["v"], limit=100).first()
+    assert row["sample_size"] == 100 and 0 < row["statistic"] <= 1
+
+
 def test_kde_and_histogram_against_numpy(spark):
     rng = np.random.default_rng(8)
     data = rng.gamma(2.0, 3.0, 500)
