@@ -91,11 +91,12 @@ def test_filters_skip_unknown_columns_and_null_values(spark, odd):
     assert filters.apply_filters(odd, [{"column": "b", "operator": "neq", "value": "true"}]).count() == 1
 
 
-def test_filters_reach_the_scan(spark, sf):
+def test_filters_reach_the_scan(spark, sf, capsys):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     spec = [{"column": "l_quantity", "operator": "gt", "value": 10}, {"column": "l_returnflag", "operator": "eq", "value": "A"}]
-    plan = filters.apply_filters(li, spec).select("l_orderkey")._jdf.queryExecution().toString()
-    pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
+    filters.apply_filters(li, spec).select("l_orderkey").explain()
+    pushed = re.search(r"PushedFilters: \[(.*?)\], ReadSchema", capsys.readouterr().out).group(1)
     assert "GreaterThan(l_quantity,10.0)" in pushed and "EqualTo(l_returnflag,A)" in pushed
     nan = spark.createDataFrame([(float("nan"),), (11.0,), (None,)], "v double")
     assert filters.apply_filters(nan, [{"column": "v", "operator": "gte", "value": 10}]).count() == 1
