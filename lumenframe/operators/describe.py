@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -162,14 +161,31 @@ class Facts:
         return duplicate_rows(self.df)
 
 
-@dataclass
 class Profile:
-    """A table's profile: totals, one row per column, and the top values of text columns."""
+    """A table's profile: totals, one row per column, and the top values of text columns.
 
-    kinds: dict[str, str]
-    summary: DataFrame
-    columns: DataFrame
-    top_values: DataFrame
+    Each part is computed when first asked for, over shared statistics.
+    """
+
+    def __init__(self, df: DataFrame, approx: bool = False):
+        self.facts = Facts(df, approx=approx)
+        self.kinds = self.facts.kinds
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return profile_summary(self.facts.df, self.facts)
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        return column_profile(self.facts.df, facts=self.facts)
+
+    @cached_property
+    def top_values(self) -> DataFrame:
+        texts = catalog.columns_of(self.facts.df, "categorical", self.kinds)
+        if not texts:
+            schema = "column string, rank int, value string, count bigint"
+            return self.facts.df.sparkSession.createDataFrame([], schema)
+        return top_values(self.facts.df, texts)
 
 
 def column_profile(
@@ -207,18 +223,8 @@ def profile_summary(df: DataFrame, facts: Facts | None = None) -> DataFrame:
 
 
 def profile(df: DataFrame, approx: bool = False) -> Profile:
-    """Totals, columns and top values of a table, over shared statistics."""
-    facts = Facts(df, approx=approx)
-    df, kinds = facts.df, facts.kinds
-    texts = catalog.columns_of(df, "categorical", kinds)
-    return Profile(
-        kinds,
-        profile_summary(df, facts),
-        column_profile(df, facts=facts),
-        top_values(df, texts) if texts else df.sparkSession.createDataFrame(
-            [], "column string, rank int, value string, count bigint"
-        ),
-    )
+    """Profile of a table; ``approx`` uses sketches for distinct counts and quantiles."""
+    return Profile(df, approx)
 
 
 def _with_mode(df: DataFrame, cols: list[str] | None) -> DataFrame:
