@@ -237,9 +237,7 @@ def _(spark, sf):
 def _(spark, sf):
     ev = EV_GAPS.df(spark, sf).select("event_id", "value")
     ranked = select.sorted_rows(ev, "value", descending=True)
-    top = select.sorted_rows(ev.orderBy("event_id"), "value", True)
-    first = ev.orderBy(F.col("value").desc_nulls_last(), "event_id").limit(10).select(F.col("event_id").alias("k"))
-    del top
+    first = ranked.orderBy(F.col("value").desc_nulls_last(), "event_id").limit(10).select(F.col("event_id").alias("k"))
     return ranked.join(F.broadcast(first), F.col("event_id") == F.col("k"), "left").select(
         "event_id", "value", F.col("k").isNotNull().alias("top10")
     )

@@ -102,6 +102,14 @@ def test_filters_reach_the_scan(spark, sf, capsys):
     assert filters.apply_filters(nan, [{"column": "v", "operator": "gte", "value": 10}]).count() == 1
 
 
+def test_sorted_rows_put_missing_last_both_ways(spark):
+    from lumenframe.operators.select import sorted_rows
+
+    df = spark.createDataFrame([(None,), (2.0,), (1.0,)], "v double")
+    assert [r["v"] for r in sorted_rows(df, "v").collect()] == [1.0, 2.0, None]
+    assert [r["v"] for r in sorted_rows(df, "v", descending=True).collect()] == [2.0, 1.0, None]
+
+
 def test_short_series(spark):
     three = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 4.0)], "x int, y double")
     assert charts.forecast(three, "x", "y").count() == 0
