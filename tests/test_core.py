@@ -28,6 +28,20 @@ def test_quantiles_do_not_depend_on_the_bracket_limit(spark, inline_rows):
     np.testing.assert_allclose(got["b"], np.quantile([v for k, v in rows if k == "b"], probs), rtol=1e-12)
 
 
+def test_summary_is_the_same_beyond_the_inline_limit(spark, sf, monkeypatch):
+    from lumenframe.operators import describe
+
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice"]
+    want = {r["column"]: r.asDict() for r in describe.numeric_summary(li, cols).collect()}
+    monkeypatch.setattr(describe, "INLINE_ROWS", 10)
+    got = {r["column"]: r.asDict() for r in describe.numeric_summary(li, cols).collect()}
+    assert got.keys() == want.keys()
+    for c in cols:
+        for k in ("count", "mean", "q1", "median", "q3", "kurtosis"):
+            assert got[c][k] == pytest.approx(want[c][k], rel=1e-9)
+
+
 def test_row_numbers_with_a_hot_first_key(spark):
     rows = [(7 if i % 3 else i, i) for i in range(3000)]
     df = spark.createDataFrame(rows, "a int, b int").repartition(5)
