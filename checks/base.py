@@ -6,13 +6,14 @@ so the same nulls, duplicates and outliers are injected on either side.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.session import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -72,8 +73,7 @@ def union_all(items, template: Callable[[str], str]) -> str:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for files written by a query, in the shared folder the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenframe-")
-    return f"{root}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 LI_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

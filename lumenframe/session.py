@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,14 +27,36 @@ def local_session(cores: str = "8", app: str = "lumenframe") -> SparkSession:
     return spark
 
 
-def checkpoint(df):
-    """Cut lineage through reliable storage.
+def shared_folder(spark) -> str:
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir`` when the cluster names one. A
-    private folder is used only when the session has none, as in tests.
+    Only a local master, where one machine is everything, gets a folder of its own
+    when the setting is missing; a cluster without the setting is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumenframe-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="lumenframe-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df):
+    """Cut lineage through reliable storage in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def settle(df):
+    """Write ``df`` once as Parquet in the shared folder and return a reader of it.
+
+    Lineage is cut, columns and row groups can be pruned when it is read again, and
+    losing an executor loses nothing. The folder's owner clears it, as with checkpoints.
+    """
+    path = f"{shared_folder(df.sparkSession)}/lumenframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

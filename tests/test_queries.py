@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks import load
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SAMPLE = [
@@ -40,7 +41,7 @@ def con(sf):
 
 def test_registry():
     assert set(oracle_sql()) <= set(queries())
-    assert all(re.fullmatch(r"[a-z]{3}[0-9]*_[a-z0-9_]+", n) for n in queries())
+    assert all(re.fullmatch(r"[a-z]{3}[0-9]*_[a-z0-9_]+", n) for n in load()[0])
 
 
 def test_entry(spark):
