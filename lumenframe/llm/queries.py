@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import mixing
-from lumenframe.llm.common import ORACLE, QUERIES, query, table
+from lumenframe.llm import langid, mixing, warc
+from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
+from lumenframe.session import settle, shared_folder
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -20,3 +23,35 @@ def op1_source_mixing(spark, sf_dir) -> DataFrame:
     return rows.join(sources, F.col("source").eqNullSafe(F.col("name"))).select(
         "doc_id", "source", "size", "source_size", "target", "taken"
     )
+
+
+@query(
+    "op2_warc_chunks",
+    """
+    with p as (
+        select page_id, coalesce(html, '') as body, url from pages
+    ), d as (
+        select page_id, strlen(body) as payload_bytes, sha256(body) as payload_digest from p
+    ), f as (
+        select *, min(page_id) over (partition by payload_digest) as first_id from d
+    )
+    select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+           case when payload_bytes >= 100 and page_id is distinct from first_id then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= 100 and page_id is distinct from first_id then first_id end as refers_to
+    from f
+    """,
+)
+def op2_warc_chunks(spark, sf_dir) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records = warc.mark_revisits(pages, "page_id", F.col("html"), F.col("url"))
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    files = settle(warc.write_archives(warc.chunk_payloads(records), folder))
+    return warc.summarize(warc.read_archives(files.repartition(max(1, files.count()), "file")))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("fold", fold("doc_id", 4))
+    model = langid.train(docs.where("fold <> 2"), F.col("text"), F.col("lang"))
+    held_out = F.coalesce(F.col("fold") == 2, F.lit(False))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
