@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import langid, mixing, warc
+from lumenframe.llm import langid, mixing, packing, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -55,3 +56,13 @@ def op4_language_id(spark, sf_dir) -> DataFrame:
     model = langid.train(docs.where("fold <> 2"), F.col("text"), F.col("lang"))
     held_out = F.coalesce(F.col("fold") == 2, F.lit(False))
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = settle(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packing.place(pieces).select(
+        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
+    )
