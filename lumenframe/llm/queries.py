@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import langid, mixing, packing, warc
+from lumenframe.llm import langid, mixing, packing, topk, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -66,3 +66,25 @@ def op5_best_fit_packing(spark, sf_dir) -> DataFrame:
     return packing.place(pieces).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"
     )
+
+
+@query(
+    "op3_pivot_top_k",
+    """
+    with v as (
+        select vec_id, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), s as (
+        select q.vec_id as query_id, c.vec_id,
+               cast(list_dot_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+        from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+    ), r as (
+        select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+    )
+    select query_id, rank, vec_id, score from r where rank <= 5
+    """,
+)
+def op3_pivot_top_k(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    vector = F.when(topk.valid(F.col("embedding")), topk.scaled(F.col("embedding")))
+    return topk.top_k(rows, "vec_id", vector, F.col("vec_id") % 50 == 0)
