@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import langid, mixing, packing, topk, warc
+from lumenframe.llm import fingerprint, langid, mixing, packing, topk, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -88,3 +88,20 @@ def op3_pivot_top_k(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     vector = F.when(topk.valid(F.col("embedding")), topk.scaled(F.col("embedding")))
     return topk.top_k(rows, "vec_id", vector, F.col("vec_id") % 50 == 0)
+
+
+@query("op7_bottom_k_fingerprints")
+def op7_bottom_k_fingerprints(spark, sf_dir) -> DataFrame:
+    prints = fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    rows = fingerprint.with_next(prints, "doc_id", ["text", "sketch"])
+    rows = rows.withColumn("edited", fingerprint.spliced(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_sketch", fingerprint.sketch(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.to_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
