@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import fingerprint, langid, mixing, packing, topk, warc
+from lumenframe.llm import chat, fingerprint, langid, mixing, packing, topk, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -105,3 +105,37 @@ def op7_bottom_k_fingerprints(spark, sf_dir) -> DataFrame:
         fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
     )
+
+
+@query(
+    "op8_perspective_rotation",
+    """
+    with t as (
+        select conv_id, cast(floor(turn / 256) as bigint) as part, turn,
+               replace(replace(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(13), ' '), chr(10), ' ') as speaker,
+               replace(coalesce(text, ''), '<|', '< |') as body
+        from conversations
+    ), p as (
+        select distinct conv_id, speaker as perspective from t where speaker <> 'system'
+    ), r as (
+        select t.*, perspective, speaker = perspective as own,
+               '<|im_start|>' || case when speaker = perspective then 'assistant' when speaker = 'system' then 'system'
+                                      else 'user name=' || speaker end || chr(10) as head
+        from t join p on t.conv_id is not distinct from p.conv_id
+    ), s as (
+        select *, cast(sum(length(head) + length(body) + 11) over (
+                   partition by conv_id, part, perspective order by turn nulls first, speaker, body rows unbounded preceding
+               ) as bigint) - length(body) - 11 as start
+        from r
+    )
+    select conv_id, part, perspective, count(*) as n_turns,
+           string_agg(head || body || '<|im_end|>' || chr(10), '' order by turn nulls first, speaker, body) as rendered,
+           coalesce(string_agg(case when own then start || '-' || (start + length(body) + 10) end, ','
+                    order by turn nulls first, speaker, body), '') as target_spans
+    from s group by conv_id, part, perspective
+    """,
+)
+def op8_perspective_rotation(spark, sf_dir) -> DataFrame:
+    views = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("targets", lambda t: F.concat(t["start"].cast("string"), F.lit("-"), t["end"].cast("string")))
+    return views.withColumn("target_spans", F.array_join(spans, ",")).drop("targets")
