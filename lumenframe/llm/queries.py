@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, fingerprint, langid, mixing, packing, topk, warc
+from lumenframe.llm import chat, fingerprint, hmm, langid, mixing, packing, topk, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -139,3 +139,11 @@ def op8_perspective_rotation(spark, sf_dir) -> DataFrame:
     views = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.transform("targets", lambda t: F.concat(t["start"].cast("string"), F.lit("-"), t["end"].cast("string")))
     return views.withColumn("target_spans", F.array_join(spans, ",")).drop("targets")
+
+
+@query("op10_hidden_markov_scores")
+def op10_hidden_markov_scores(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = fold("doc_id", 7)
+    counted = hmm.count_words(settle(hmm.blocks(docs, "doc_id", F.col("text"), rest != 2, rest == 2)))
+    return hmm.score(counted, hmm.train(counted))
