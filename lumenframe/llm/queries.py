@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, fingerprint, hmm, langid, mixing, packing, topk, warc
+from lumenframe.llm import chat, fingerprint, hmm, langid, mixing, neardup, packing, topk, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -147,3 +147,8 @@ def op10_hidden_markov_scores(spark, sf_dir) -> DataFrame:
     rest = fold("doc_id", 7)
     counted = hmm.count_words(settle(hmm.blocks(docs, "doc_id", F.col("text"), rest != 2, rest == 2)))
     return hmm.score(counted, hmm.train(counted))
+
+
+@query("op9_tensored_minhash")
+def op9_tensored_minhash(spark, sf_dir) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
