@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, fingerprint, hmm, langid, mixing, neardup, packing, topk, warc
+from lumenframe.llm import chat, fingerprint, hmm, langid, lines, mixing, neardup, packing, topk, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -152,3 +152,57 @@ def op10_hidden_markov_scores(spark, sf_dir) -> DataFrame:
 @query("op9_tensored_minhash")
 def op9_tensored_minhash(spark, sf_dir) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+@query(
+    "op6_line_templates",
+    """
+    with rows as (
+        select distinct doc_id, text from documents where text is not null
+    ), split as (
+        select doc_id, text, string_split(text, chr(10)) as lines from rows
+    ), each as (
+        select doc_id, text, i as pos, list_filter(regexp_split_to_array(lines[i + 1], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
+        from (select *, unnest(range(len(lines))) as i from split)
+    ), masked as (
+        select doc_id, text, pos, len(words) as n,
+               list_transform(words, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as words
+        from each where len(words) >= 4
+    ), thin as (
+        select doc_id, text, pos, n, words, n || ' ' || array_to_string(words[1:3], ' ') as leaf, array_to_string(words, ' ') as content from masked
+    ), by_line as (
+        select leaf, content, any_value(n) as n, any_value(words) as words, count(distinct (doc_id, text)) as docs from thin group by leaf, content
+    ), varied as (
+        select leaf from by_line where docs < 3 group by leaf having sum(docs) >= 3
+    ), placed as (
+        select leaf, content, n, docs, i as place, words[i] as word
+        from (select *, unnest(range(1, n + 1)) as i from by_line where leaf in (from varied))
+    ), support as (
+        select leaf, place, word from placed where word <> '<*>' group by all having sum(docs) >= 3
+    ), general as (
+        select p.leaf, p.content, any_value(p.n) as n, any_value(p.docs) as docs, count(s.word) as constants,
+               string_agg(coalesce(s.word, '<*>'), ' ' order by p.place) as template
+        from placed p left join support s using (leaf, place, word) group by p.leaf, p.content
+    ), templates as (
+        select leaf, content, 'line ' || content as template from by_line where docs >= 3
+        union all
+        select leaf, content, 'general ' || leaf || ' ' || template from general where docs < 3 and constants >= 0.8 * n
+    ), occurring as (
+        select template, doc_id, text, pos from thin join templates using (leaf, content)
+    ), recurring as (
+        select template from occurring group by template having count(distinct (doc_id, text)) >= 3
+    ), numbered as (
+        select *, row_number() over (partition by template order by doc_id nulls last, pos) as nth from occurring where template in (from recurring)
+    ), drops as (
+        select doc_id, text, list(pos) as drops from numbered where nth > 1 group by doc_id, text
+    )
+    select d.doc_id, cast(coalesce(len(string_split(d.text, chr(10))), 0) as bigint) as n_lines,
+           cast(coalesce(len(drops), 0) as bigint) as n_dropped,
+           case when drops is null then d.text else coalesce(array_to_string(
+               list_filter(string_split(d.text, chr(10)), lambda x, i: not list_contains(drops, i - 1)), chr(10)), '') end as text
+    from documents d left join drops x on d.doc_id is not distinct from x.doc_id and d.text = x.text
+    """,
+)
+def op6_line_templates(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_recurring_lines(docs)
