@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm import wordhash
+from lumenframe.llm.common import WORD
 from lumenframe.llm.components import components
 from lumenframe.session import settle
 
@@ -114,8 +115,25 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return pairs.select("a", "b").join(two, "b").join(one, "a").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80) -> DataFrame:
-    """Per row: ``id_column, n_shingles, component_id, kept``.
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of near-duplicates, and all without words.
+
+    Of a group's rows with its smallest id the one with the smallest text hash stays, once. Columns pass through.
+    """
+    found = near_duplicates(docs, id_column, text, width, percent, with_hash=True).where("kept")
+    own = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_hash").alias("__hash"))
+    own = own.withColumnRenamed("component_id", "__id")
+    hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    some = hashed.where(~wordless).join(own, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
+    some = some.dropDuplicates(["__id", "__hash"])
+    return some.select(*docs.columns).unionByName(docs.where(wordless))
+
+
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, with_hash: bool = False,
+) -> DataFrame:
+    """Per row: ``id_column, n_shingles, component_id, kept``, and ``text_hash`` where asked for.
 
     ``component_id`` is the smallest id among the rows reachable over links, ``kept`` whether the row has that id. Rows without
     words (or text) have an empty set, link with nothing and are kept. Rows that repeat an id are members of one component where
@@ -190,14 +208,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     lowest = component.groupBy("component").agg(F.min("least").alias("component_id"))
     of_class = component.join(lowest, "component").select("class", "component_id")
     out = (
-        found.select("row_key", "n", "class").join(of_class, "class").select(F.col("row_key.doc").alias("doc"), "n", "component_id")
+        found.select("row_key", "n", "class").join(of_class, "class").select("row_key.doc", "row_key.hash", "n", "component_id")
     )
-    empty = signed.where("n = 0").select(F.col("row_key.doc").alias("doc"), "n", F.col("row_key.doc").alias("component_id"))
+    empty = signed.where("n = 0").select("row_key.doc", "row_key.hash", "n", F.col("row_key.doc").alias("component_id"))
     return out.unionByName(empty).select(
         F.col("doc").alias(id_column),
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
+        *([F.col("hash").alias("text_hash")] if with_hash else []),
     )
 
 
