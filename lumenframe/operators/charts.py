@@ -14,9 +14,13 @@ from lumenframe.operators import catalog, distribution
 from lumenframe.operators.correlation import complete_pearson
 from lumenframe.operators.frequency import most_frequent, numeric_long
 from lumenframe.operators.joins import keep_top
-from lumenframe.operators.order import ROWS_PER_BUCKET, number_rows
+from lumenframe.operators.order import number_rows
 from lumenframe.operators.quantiles import fit_quantiles, quantile_frame
 from lumenframe.operators.select import data_table
+from lumenframe.session import settle
+
+#: Consecutive points of a series in one window partition.
+BLOCK_ROWS = 1_000_000
 
 
 @dataclass
@@ -240,7 +244,7 @@ def kpi_trend(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return s.withColumn("trend", trend)
 
 
-def _numbered(df: DataFrame, x: str, y: str, tie: list[str], rows_per_bucket: int) -> DataFrame:
+def _numbered(df: DataFrame, x: str, y: str, tie: list[str], rows_per_bucket: int | None) -> DataFrame:
     """Complete points ``x, y`` with their position; ``tie`` columns order equal x."""
     cx = to_moment(F.col(quoted(x)), df.schema[x].dataType) if x in catalog.columns_of(
         df.select(F.col(quoted(x))), "datetime"
@@ -252,18 +256,19 @@ def _numbered(df: DataFrame, x: str, y: str, tie: list[str], rows_per_bucket: in
 
 
 def time_series(
-    df: DataFrame, x: str, y: str, tie: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, x: str, y: str, tie: list[str] | None = None, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """``i, x, y, trend``: the ordered series with its rolling mean of min(10, n//3 + 1) points.
 
     The rolling frame runs inside blocks of consecutive positions; each block also gets
     the few rows before it, so no window spans the table.
     """
-    points = _numbered(df, x, y, tie or [y], rows_per_bucket)
+    points = settle(_numbered(df, x, y, tie or [y], rows_per_bucket))
     n = points.count()
     w = min(10, n // 3 + 1)
-    block = F.floor((F.col("i") - 1) / rows_per_bucket)
-    ahead = F.floor((F.col("i") - 1 + w - 1) / rows_per_bucket)
+    length = rows_per_bucket or BLOCK_ROWS
+    block = F.floor((F.col("i") - 1) / length)
+    ahead = F.floor((F.col("i") - 1 + w - 1) / length)
     spread = points.withColumn("home", block).withColumn("block", F.explode(F.sequence(block, ahead)))
     frame = W.partitionBy("block").orderBy("i").rowsBetween(-(w - 1), 0)
     rolled = spread.withColumn("mean", F.avg("y").over(frame)).where(F.col("block") == F.col("home"))
@@ -272,7 +277,7 @@ def time_series(
 
 
 def forecast(
-    df: DataFrame, x: str, y: str, periods: int = 10, tie: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, x: str, y: str, periods: int = 10, tie: list[str] | None = None, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """``step, value``: the line through the last third's ends, continued for ``periods`` steps.
 

@@ -14,9 +14,9 @@ from lumenframe.functions.numbers import band, number, quoted, ratio
 from lumenframe.operators import catalog
 from lumenframe.operators.frequency import numeric_frequencies
 from lumenframe.operators.joins import lookup
-from lumenframe.operators.order import ROWS_PER_BUCKET, range_bucket, rank_values
+from lumenframe.operators.order import rank_values, value_ranges
 from lumenframe.plans.rules import emit, first_names, fixed, pinned
-from lumenframe.session import checkpoint
+from lumenframe.session import checkpoint, settle
 
 
 def strength(r: Column) -> Column:
@@ -67,10 +67,11 @@ def pairwise_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
     return _per_pair(df, cols, aggregate)
 
 
-def average_ranks(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def average_ranks(df: DataFrame, cols: list[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Replace numbers by their average rank, through one frequency table for all columns."""
     ranked = rank_values(numeric_frequencies(df, cols), "column", rows_per_bucket=rows_per_bucket)
-    ranked = ranked.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    # Written once; every column then looks its ranks up in the same table.
+    ranked = settle(ranked.select("column", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")))
     out = df
     for c in cols:
         out = lookup(out, ranked.where(F.col("column") == c), c, "value", "rank", c)
@@ -93,7 +94,7 @@ def _inversions(y: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def kendall_tau(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_BUCKET // 4) -> DataFrame:
+def kendall_tau(df: DataFrame, a: str, b: str, rows_per_bucket: int | None = None) -> DataFrame:
     """Exact tau-b of two columns: ``tau, n, concordant, discordant``.
 
     Discordant pairs are counted without forming pairs. Both columns are cut into ranges;
@@ -106,16 +107,15 @@ def kendall_tau(df: DataFrame, a: str, b: str, rows_per_bucket: int = ROWS_PER_B
     # Read about ten times below, so it is written once to the shared folder.
     freq = checkpoint(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
     xs, ys = freq.groupBy("x").agg(F.sum("w").alias("w")), freq.groupBy("y").agg(F.sum("w").alias("w"))
-    rows = freq.count()
-    bx, by = (range_bucket(freq, [c], rows, rows_per_bucket, isolate=True) for c in ("x", "y"))
-    zero = F.lit(0)
-    binned = freq.withColumns({"bx": zero if bx is None else bx, "by": zero if by is None else by})
+    binned = settle(value_ranges(value_ranges(freq, "x", "bx", rows_per_bucket), "y", "by", rows_per_bucket))
 
+    # One cell per pair of ranges: as many ranges as partitions, whatever the rows.
     grid = binned.groupBy("bx", "by").agg(F.sum("w").alias("w")).toPandas()
     across = 0.0
     if len(grid) > 1:
-        m = np.zeros((grid["bx"].max() + 1, grid["by"].max() + 1))
-        m[grid["bx"], grid["by"]] = grid["w"]
+        at_x, at_y = (np.unique(grid[c], return_inverse=True)[1] for c in ("bx", "by"))
+        m = np.zeros((at_x.max() + 1, at_y.max() + 1))
+        m[at_x, at_y] = grid["w"]
         earlier = np.cumsum(m, axis=0) - m
         above = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier
         across = float((m * above).sum())

@@ -27,7 +27,7 @@ from lumenframe.operators.frequency import (
     spread_small,
 )
 from lumenframe.operators.hypothesis import normality_tests
-from lumenframe.operators.order import ROWS_PER_BUCKET, rank_values
+from lumenframe.operators.order import rank_values
 from lumenframe.operators.quantiles import fences, fit_quantiles, quantile_frame
 from lumenframe.plans.rules import emit, fixed, pinned
 
@@ -142,7 +142,7 @@ def outlier_points(df: DataFrame, col: str) -> DataFrame:
     return x.where((F.col("value") < lo) | (F.col("value") > hi))
 
 
-def ecdf(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def ecdf(df: DataFrame, col: str, rows_per_bucket: int | None = None) -> DataFrame:
     """``value, proportion``: share of rows at or below each distinct value."""
     ranked = rank_values(numeric_frequencies(df, [col]), "column", rows_per_bucket=rows_per_bucket)
     return ranked.select("value", ((F.col("before") + F.col("n")) / F.col("total")).alias("proportion"))
@@ -155,7 +155,7 @@ def quartile_markers(df: DataFrame, col: str) -> DataFrame:
     return q.select(F.inline(rows)).toDF("proportion", "value")
 
 
-def qq_points(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def qq_points(df: DataFrame, col: str, rows_per_bucket: int | None = None) -> DataFrame:
     """``i, theoretical, sample`` for every row, with Filliben's order-statistic medians.
 
     Copies of one value are written out in chunks that spread over tasks.

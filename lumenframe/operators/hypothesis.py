@@ -19,7 +19,7 @@ from lumenframe.functions.numbers import band, number, quoted, ratio, safe_round
 from lumenframe.operators import catalog
 from lumenframe.operators.correlation import average_ranks
 from lumenframe.operators.frequency import numeric_frequencies, numeric_long
-from lumenframe.operators.order import ROWS_PER_BUCKET, rank_values
+from lumenframe.operators.order import rank_values
 from lumenframe.operators.quantiles import quantile_frame
 from lumenframe.plans.rules import pinned
 
@@ -119,7 +119,7 @@ def shapiro(df: DataFrame, cols: list[str] | None = None, limit: int = SHAPIRO_L
     )
 
 
-def _distance_tests(df: DataFrame, cols: list[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def _distance_tests(df: DataFrame, cols: list[str], rows_per_bucket: int | None = None) -> DataFrame:
     """``column, n, ks, ad``: both empirical-distribution statistics from the ranked table."""
     freq = numeric_frequencies(df, cols)
     fit = numeric_long(df, cols).groupBy("column").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))

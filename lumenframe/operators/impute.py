@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from lumenframe.functions.numbers import number, quoted
 from lumenframe.operators import catalog
-from lumenframe.operators.order import ROWS_PER_BUCKET, key_struct, range_bucket
+from lumenframe.operators.order import key_struct, lay_out, number_rows
 from lumenframe.operators.quantiles import fit_quantiles
+from lumenframe.session import settle
 
 MAX_CELLS = 1024
 MAX_DIRECTORY = 16_384
@@ -22,42 +23,41 @@ CELL_ROWS = 512
 BLOCK_ROWS = 4096
 
 
-def _ranged(df: DataFrame, order_by: list[str], rows_per_bucket: int) -> tuple[DataFrame, bool]:
-    df = catalog.missing_as_null(df)
-    bucket = range_bucket(df, order_by, rows_per_bucket=rows_per_bucket)
-    return df.withColumn("_bucket", F.lit(0) if bucket is None else bucket), bucket is not None
+def _carry(laid: DataFrame, order_by: list[str], columns: list[str], forward: bool) -> DataFrame:
+    """A laid-out table whose missing cells of ``columns`` take the nearest earlier (later) present one."""
+    # Backward is forward in reversed order: a frame that grows row by row costs
+    # linear time, one that shrinks is evaluated anew for every row.
+    ordered = [*[F.col(quoted(k)) for k in order_by], F.col("_tie")]
+    frame = W.partitionBy("_bucket").orderBy(*[k if forward else k.desc() for k in ordered])
+    frame = frame.rowsBetween(W.unboundedPreceding, 0)
+    filled = laid.withColumns({c: F.last(F.col(quoted(c)), ignorenulls=True).over(frame) for c in columns})
+    # One row per range: its last (first) present value, then the nearest earlier (later) range's.
+    by = F.max_by if forward else F.min_by
+    key = key_struct([*order_by, "_tie"])
+    ends = laid.groupBy("_bucket").agg(
+        *[
+            by(F.struct(F.col(quoted(c)).alias("v")), F.when(F.col(quoted(c)).isNotNull(), key)).alias(f"_e{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    span = W.orderBy(F.col("_bucket") if forward else F.col("_bucket").desc())
+    span = span.rowsBetween(W.unboundedPreceding, -1)
+    carry = ends.select(
+        F.col("_bucket").alias("_b"),
+        *[F.last(F.col(f"_e{i}.v"), ignorenulls=True).over(span).alias(f"_c{i}") for i in range(len(columns))],
+    )
+    filled = filled.join(F.broadcast(carry), F.col("_bucket") == F.col("_b"))
+    filled = filled.withColumns({c: F.coalesce(F.col(quoted(c)), F.col(f"_c{i}")) for i, c in enumerate(columns)})
+    return filled.drop("_b", *[f"_c{i}" for i in range(len(columns))])
 
 
-def _fill(df: DataFrame, order_by: list[str], columns: list[str], forward: bool, rows_per_bucket: int) -> DataFrame:
-    ranged, many = _ranged(df, order_by, rows_per_bucket)
-    # Backward fill is forward fill in reversed order: a frame that grows row by row costs
-    # linear time, one that shrinks is evaluated anew for every row.
-    keys = [F.col(quoted(k)) if forward else F.col(quoted(k)).desc() for k in order_by]
-    frame = W.partitionBy("_bucket").orderBy(*keys).rowsBetween(W.unboundedPreceding, 0)
-    filled = ranged.withColumns({c: F.last(F.col(quoted(c)), ignorenulls=True).over(frame) for c in columns})
-    if many:
-        # One row per range: its last (first) present value, then the nearest earlier (later) range's.
-        by = F.max_by if forward else F.min_by
-        key = key_struct(order_by)
-        ends = ranged.groupBy("_bucket").agg(
-            *[
-                by(F.struct(F.col(quoted(c)).alias("v")), F.when(F.col(quoted(c)).isNotNull(), key)).alias(f"_e{i}")
-                for i, c in enumerate(columns)
-            ]
-        )
-        span = W.orderBy(F.col("_bucket") if forward else F.col("_bucket").desc())
-        span = span.rowsBetween(W.unboundedPreceding, -1)
-        carry = ends.select(
-            F.col("_bucket").alias("_b"),
-            *[F.last(F.col(f"_e{i}.v"), ignorenulls=True).over(span).alias(f"_c{i}") for i in range(len(columns))],
-        )
-        filled = filled.join(F.broadcast(carry), F.col("_bucket") == F.col("_b"))
-        filled = filled.withColumns({c: F.coalesce(F.col(quoted(c)), F.col(f"_c{i}")) for i, c in enumerate(columns)})
-    return filled.select([F.col(quoted(c)) for c in df.columns])
+def _fill(df: DataFrame, order_by: list[str], columns: list[str], forward: bool, rows_per_bucket: int | None) -> DataFrame:
+    laid = lay_out(catalog.missing_as_null(df), order_by, rows_per_bucket)
+    return _carry(laid, order_by, columns, forward).select([F.col(quoted(c)) for c in df.columns])
 
 
 def forward_fill(
-    df: DataFrame, order_by: list[str], columns: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, order_by: list[str], columns: list[str] | None = None, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Previous present value in the stated order."""
     columns = columns or [c for c in df.columns if c not in order_by]
@@ -65,7 +65,7 @@ def forward_fill(
 
 
 def backward_fill(
-    df: DataFrame, order_by: list[str], columns: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, order_by: list[str], columns: list[str] | None = None, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Next present value in the stated order."""
     columns = columns or [c for c in df.columns if c not in order_by]
@@ -73,22 +73,20 @@ def backward_fill(
 
 
 def interpolate(
-    df: DataFrame, order_by: list[str], columns: list[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame, order_by: list[str], columns: list[str] | None = None, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Linear interpolation by position; values beyond the ends repeat the nearest one."""
-    from lumenframe.operators.order import number_rows
-
     columns = columns or [c for c in catalog.numeric_columns(df) if c not in order_by]
     plain = df.withColumns({c: number(df, c) for c in columns})
-    numbered = number_rows(plain, order_by, "_i", rows_per_bucket=rows_per_bucket)
-    marks = {}
+    numbered = number_rows(plain, order_by, "_i", rows_per_bucket, keep_layout=True)
+    points = {}
     for i, c in enumerate(columns):
         point = F.when(F.col(quoted(c)).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(quoted(c)).alias("v")))
-        marks[f"_p{i}"] = point
-        marks[f"_n{i}"] = point
-    marked = numbered.withColumns(marks)
-    marked = _fill(marked, order_by, [f"_p{i}" for i in range(len(columns))], True, rows_per_bucket)
-    marked = _fill(marked, order_by, [f"_n{i}" for i in range(len(columns))], False, rows_per_bucket)
+        points |= {f"_p{i}": point, f"_n{i}": point}
+    # Written once more with positions, so that both directions read it instead of numbering again.
+    marked = settle(numbered.withColumns(points))
+    marked = _carry(marked, order_by, [f"_p{i}" for i in range(len(columns))], True)
+    marked = _carry(marked, order_by, [f"_n{i}" for i in range(len(columns))], False)
     out = {}
     for i, c in enumerate(columns):
         p, n = F.col(f"_p{i}"), F.col(f"_n{i}")
