@@ -58,5 +58,5 @@ def settle(df):
     losing an executor loses nothing. The folder's owner clears it, as with checkpoints.
     """
     path = f"{shared_folder(df.sparkSession)}/lumenframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
