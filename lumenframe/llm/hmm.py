@@ -10,19 +10,20 @@ which grow with the corpus, stay in Spark and meet the texts by joins.
 Texts travel as blocks: a bounded number of tokens with the block's own dictionary of distinct words.
 
 1. ``blocks``: texts to blocks. Words are hashed and replaced by their number in the block's dictionary.
-2. ``count_words``: dictionaries are exploded, counted over all blocks, and the counts gathered back per block.
+2. ``count_words``: dictionaries are exploded and summed over all blocks in one shuffle, and the sums go back to their blocks.
 3. ``train``: every pass sends expected counts of each partition (fixed size) to a sum; the sum makes the next model.
 4. ``score``: scaled forward recursion over the whole text, all texts of a block side by side.
 """
 
 from __future__ import annotations
 
+import zlib
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm import wordhash
@@ -39,8 +40,8 @@ WINDOW = 64
 END_HASH = 0x5EED0F7E47A11D0E
 
 _BLOCK = (
-    "block long, doc_ids array<string>, held_out array<boolean>, learn array<boolean>, offsets binary, tokens binary, hashes array<long>, "
-    "classes binary, train_counts array<long>"
+    "block long, doc_ids array<string>, held_out array<boolean>, learn array<boolean>, offsets binary, tokens binary, hashes binary, "
+    "classes binary, train_counts binary"
 )
 
 
@@ -61,6 +62,17 @@ def _classes(w: wordhash.Words) -> np.ndarray:
     return (wordhash.mix(code) % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.uint16)  # class 0 is the end's
 
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Small 32-bit numbers, compressed byte plane by byte plane."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _stretch(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def blocks(docs: DataFrame, id_column: str, text: Column, learn: Column, held_out: Column, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Texts as blocks. ``learn`` marks the texts to learn from, ``held_out`` is passed through."""
     rows = docs.select(
@@ -78,14 +90,18 @@ def blocks(docs: DataFrame, id_column: str, text: Column, learn: Column, held_ou
             number += 1
             ids, flags, learn, hashes, classes = zip(*held)
             sizes = np.array([len(h) for h in hashes])
-            every, first, at = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            every, first, at, often = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            every, first, at = every[order], first[order], place[at]
             from_all = np.repeat(np.array(learn), sizes)
             counts = np.bincount(at[from_all], minlength=len(every))
             row = ((part << 32) + number, list(ids), list(flags), list(learn), np.cumsum([0, *sizes]).astype("<i8").tobytes(),
-                   at.astype("<u4").tobytes(), every.view(np.int64).tolist(),
-                   np.concatenate(classes)[first].astype("<u2").tobytes(), counts.tolist())
+                   _squeeze(at), every.astype("<u8").tobytes(), np.concatenate(classes)[first].astype("<u2").tobytes(),
+                   _squeeze(counts))
             kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary(), pa.binary(),
-                     pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+                     pa.binary(), pa.binary(), pa.binary()]
             names = ["block", "doc_ids", "held_out", "learn", "offsets", "tokens", "hashes", "classes", "train_counts"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
 
@@ -110,7 +126,8 @@ def blocks(docs: DataFrame, id_column: str, text: Column, learn: Column, held_ou
 
 
 class Counted(NamedTuple):
-    blocks: DataFrame  # with ``counts``: the training count of each dictionary word over the whole corpus
+    blocks: DataFrame
+    counts: DataFrame  # per block: the training count of each dictionary word over the whole corpus
     tokens: int  # training tokens
     words: int  # distinct training tokens
     class_words: np.ndarray  # distinct training words per class
@@ -120,46 +137,80 @@ class Counted(NamedTuple):
 def count_words(table: DataFrame) -> Counted:
     """Count every word over all blocks and bring the counts back to the blocks' dictionaries.
 
-    A word costs one row per block it occurs in. Counts are summed per word, never gathered; the driver gets sums per class.
+    A word costs one row per block it occurs in, moved once by word and once back by block. The driver gets sums per class.
     """
 
     def listed(batches):
         for batch in batches:
-            for b in range(batch.num_rows):
-                hashes = batch.column(1)[b].values
-                n = len(hashes)
-                block = pa.array(np.full(n, batch.column(0)[b].as_py()), pa.int64())
-                classes = pa.array(np.frombuffer(batch.column(2)[b].as_py(), "<u2").astype(np.int32))
-                numbers = pa.array(np.arange(n, dtype=np.int32))
-                for at in range(0, n, 100_000):
+            for block, hashes, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                words, n = np.frombuffer(hashes, "<i8"), _stretch(counts).astype(np.int32)
+                for at in range(0, len(words), 100_000):
+                    some = words[at : at + 100_000]
                     yield pa.RecordBatch.from_arrays(
-                        [c.slice(at, 100_000) for c in (block, numbers, hashes, classes, batch.column(3)[b].values)],
-                        names=["block", "number", "hash", "class", "n"],
-                    )
+                        [pa.array(np.full(len(some), block)), pa.array(np.arange(at, at + len(some), dtype=np.int32)),
+                         pa.array(some), pa.array(n[at : at + 100_000])],
+                        names=["block", "number", "hash", "n"],
+                    )
+
+    def packed(batches):
+        """Rows in order of block and number, as one row per block."""
+        own, held = None, []
+
+        def out():
+            totals, firsts = (np.concatenate(c) for c in zip(*held))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([own], pa.int64()), pa.array([totals.astype("<i8").tobytes()], pa.binary()), pa.array([np.packbits(firsts).tobytes()], pa.binary())],
+                names=["block", "totals", "firsts"],
+            )
 
-    seen = table.select("block", "hashes", "classes", "train_counts").mapInArrow(
-        listed, "block long, number int, hash long, class int, n long"
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            totals, firsts = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(block)) + 1
+            for a, b in zip([0, *edges], [*edges, len(block)]):
+                if a == b:
+                    continue
+                if held and block[a] != own:
+                    yield out()
+                    held = []
+                own = int(block[a])
+                held.append((totals[a:b].copy(), firsts[a:b].copy()))
+        if held:
+            yield out()
+
+    seen = table.select("block", "hashes", "train_counts").mapInArrow(listed, "block long, number int, hash long, n int")
+    word = Window.partitionBy("hash")
+    totals = seen.select(
+        "block", "number", F.sum("n").over(word).alias("total"), (F.min("block").over(word) == F.col("block")).alias("first")
     )
-    totals = seen.groupBy("hash").agg(F.sum("n").alias("total"), F.first("class").alias("class"))
-    totals = settle(totals)
-    per_class = totals.where("total > 0").groupBy("class").agg(F.count(F.lit(1)).alias("words"), F.sum("total").alias("tokens"))
+    counts = settle(totals.repartition("block").sortWithinPartitions("block", "number").mapInArrow(packed, "block long, totals binary, firsts binary"))
+
+    def by_class(batches):
+        """Every word counts in the first block that has it."""
+        words, tokens = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+        for batch in batches:
+            for classes, totals, firsts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                of, n = np.frombuffer(classes, "<u2"), np.frombuffer(totals, "<i8")
+                once = np.unpackbits(np.frombuffer(firsts, np.uint8), count=len(n)).astype(bool) & (n > 0)
+                words += np.bincount(of[once], minlength=CLASSES)
+                np.add.at(tokens, of[once], n[once])
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)), pa.array(words[some]), pa.array(tokens[some])], names=["class", "words", "tokens"]
+        )
+
+    found = table.select("block", "classes").join(counts, "block").select("classes", "totals", "firsts")
+    sums = found.mapInArrow(by_class, "class int, words long, tokens long").groupBy("class").agg(F.sum("words"), F.sum("tokens"))
     class_words, class_tokens = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in per_class.collect():  # one row per class
-        class_words[r["class"]], class_tokens[r["class"]] = r["words"], r["tokens"]
-    back = (
-        seen.select("block", "number", "hash")
-        .join(totals.select("hash", "total").hint("merge"), "hash")
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("number", "total")))["total"].alias("counts"))  # one block's dictionary
-    )
-    joined = table.drop("hashes", "train_counts").join(back.hint("merge"), "block")
-    return Counted(settle(joined), int(class_tokens.sum()), int(class_words.sum()), class_words, class_tokens)
+    for of, words, tokens in sums.collect():  # one row per class
+        class_words[of], class_tokens[of] = words, tokens
+    return Counted(table, counts.select("block", "totals"), int(class_tokens.sum()), int(class_words.sum()), class_words, class_tokens)
 
 
 def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Token classes of a block and the offsets of its texts."""
     classes = np.frombuffer(row["classes"], "<u2")
-    return classes[np.frombuffer(row["tokens"], "<u4")], np.frombuffer(row["offsets"], "<i8")
+    return classes[_stretch(row["tokens"])], np.frombuffer(row["offsets"], "<i8")
 
 
 def _expect(model: Model, seen: np.ndarray, lengths: np.ndarray):
@@ -288,7 +339,7 @@ def score(counted: Counted, model: Model, id_type: str = "long", id_column: str
         for batch in batches:
             for row in batch.to_pylist():
                 classes, offsets = _sequences(row)
-                counts = np.array(row["counts"], dtype=np.int64)[np.frombuffer(row["tokens"], "<u4")]
+                counts = np.frombuffer(row["totals"], "<i8")[_stretch(row["tokens"])]
                 base = np.add.reduceat(np.log10((counts + 1) / size), offsets[:-1])
                 known = np.add.reduceat((counts > 0).astype(np.int64), offsets[:-1])
                 full = base + (_likelihood(own, emit, classes, offsets) if trained else 0.0)
@@ -299,7 +350,7 @@ def score(counted: Counted, model: Model, id_type: str = "long", id_column: str
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    rows = counted.blocks.select("doc_ids", "held_out", "offsets", "tokens", "classes", "counts")
+    rows = counted.blocks.select("block", "doc_ids", "held_out", "offsets", "tokens", "classes").join(counted.counts, "block")
     scored = rows.mapInArrow(
         run, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
