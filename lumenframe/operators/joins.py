@@ -7,51 +7,74 @@ from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.numbers import quoted
+from lumenframe.session import settle
+
+#: Bytes of a table (measured, not estimated) up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Rows of one key that one task should meet; a key with more is spread.
+ROWS_PER_TASK = 1_000_000
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of all cells, text by its length and everything else as its JSON text or eight bytes."""
+    cells = []
+    for f in df.schema.fields:
+        c = F.col(quoted(f.name))
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            cells.append(F.octet_length(c))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            cells.append(F.octet_length(F.to_json(F.struct(c))))
+        else:
+            cells.append(F.lit(8))
+    width = reduce(lambda x, y: x + y, [F.coalesce(c, F.lit(0)).cast("long") + 8 for c in cells])
+    return df.agg(F.sum(width)).first()[0] or 0
 
-BROADCAST_ROWS = 100_000
-HOT_SHARE = 64
-SALTS = 32
 
+def spread_counts(df: DataFrame, on: list[str], name: str, rows_per_task: int) -> DataFrame:
+    """Non-null keys with more rows than a task should meet, and into how many parts to spread them.
 
-def hot_keys(df: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:
-    """Non-null keys that hold more than ``1/share`` of the rows: fewer than ``share`` rows."""
+    At most ``rows / rows_per_task`` keys.
+    """
     counts = df.dropna(subset=on).groupBy(*[F.col(quoted(c)) for c in on]).agg(F.count(F.lit(1)).alias("_n"))
-    limit = df.count() / share
-    return counts.where(F.col("_n") > limit).drop("_n")
+    return counts.where(F.col("_n") > rows_per_task).select(*[F.col(quoted(c)) for c in on], F.ceil(F.col("_n") / rows_per_task).alias(name))
 
 
-def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Equi-join whose left side may have hot keys; result of the plain join.
+def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Equi-join in which either side may have hot keys; result of the plain join.
 
-    Rows of hot keys are split off. They meet a broadcast of the right rows of those keys
-    when that is small, and otherwise are spread over ``salts`` copies of them. Rows with
-    a missing key match nothing and are not shuffled. For inner, left, semi and anti.
+    Rows of keys hot on either side are split off. The left rows of such a key are dealt to as many parts as its left count asks for,
+    the right rows to as many as theirs; every left part meets every right part once. Parts are dealt by position, not content,
+    so equal rows are spread too. Rows with a missing key match nothing and are not shuffled. For inner, left, semi and anti; a left join is
+    the inner one and the left rows without a match, a semi or anti join needs each right key once.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how!r}")
-    hot = hot_keys(left, on).collect()
-    whole = left.dropna(subset=on)
     out_columns = left.join(right, on, how).columns
-    if not hot:
+    whole = left.dropna(subset=on)
+    if how in ("left_semi", "left_anti"):
+        right = right.select([F.col(quoted(c)) for c in on]).distinct()  # one row of a key says as much as all
+    keys = [F.col(quoted(c)) for c in on]
+    hot = spread_counts(left, on, "_l", rows_per_task).join(spread_counts(right, on, "_r", rows_per_task), on, "full")
+    hot = settle(hot.select(*keys, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r")))
+    if hot.isEmpty():
         parts = [whole.join(right, on, how)]
     else:
-        schema = left.select([F.col(quoted(c)) for c in on]).schema
-        hot_frame = F.broadcast(left.sparkSession.createDataFrame(hot, schema))
-        hot_left, cold_left = whole.join(hot_frame, on, "left_semi"), whole.join(hot_frame, on, "left_anti")
-        hot_right = right.join(hot_frame, on, "left_semi")
-        if hot_right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            hot_part = hot_left.join(F.broadcast(hot_right), on, how)
-        else:
-            salt = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in left.columns]), F.lit(salts)).cast("int")
-            copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-            hot_part = (
-                hot_left.withColumn("_salt", salt)
-                .join(hot_right.withColumn("_salt", copies), [*on, "_salt"], how)
-                .drop("_salt")
-            )
-        parts = [hot_part, cold_left.join(right, on, how)]
+        def deal(df: DataFrame, own: str, other: str) -> DataFrame:
+            """Rows of hot keys with their own part, once for each part of the other side."""
+            dealt = df.join(F.broadcast(hot), on)
+            dealt = dealt.withColumn(f"_p{own}", F.pmod(F.monotonically_increasing_id(), F.col(own)).cast("int"))
+            dealt = dealt.withColumn(f"_p{other}", F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1)))
+            return dealt.drop("_l", "_r")
+
+        marks = [*on, "_p_l", "_p_r"]
+        matched = deal(whole, "_l", "_r").join(deal(right, "_r", "_l"), marks, "inner" if how == "left" else how)
+        hot_keys = F.broadcast(hot.select(*keys))
+        parts = [matched.drop("_p_l", "_p_r"), whole.join(hot_keys, on, "left_anti").join(right, on, how)]
+        if how == "left":
+            parts.append(whole.join(hot_keys, on, "left_semi").join(right.select(*keys).distinct(), on, "left_anti"))
     if how in ("left", "left_anti"):
         missing = reduce(or_, [F.col(quoted(c)).isNull() for c in on])
         parts.append(left.where(missing))
@@ -65,7 +88,7 @@ def lookup(df: DataFrame, table: DataFrame, col: str, key: str, value: str, out:
     ``table`` has one row per key. It is broadcast only when its checked size is small.
     """
     small = table.select(F.col(quoted(key)).alias("_key"), F.col(quoted(value)).alias("_value"))
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if measured_bytes(small) <= BROADCAST_BYTES:
         joined = df.join(F.broadcast(small), F.col(quoted(col)) == F.col("_key"), "left")
     else:
         joined = skew_join(df.withColumn("_key", F.col(quoted(col))), small, ["_key"], "left")
@@ -99,7 +122,7 @@ def merge_datasets(
         return out.select(*[F.col(quoted(c)) for c in (*left.columns, *[c for c in right.columns if c not in on])])
     if how in ("full", "outer"):
         matched = skew_join(left, right, on, "left")
-        unmatched = skew_join(right, left.select([F.col(quoted(c)) for c in on]), on, "left_anti")
+        unmatched = skew_join(right, left, on, "left_anti")
         return matched.unionByName(unmatched, allowMissingColumns=True)
     raise ValueError(f"unknown join type {how!r}")
 
