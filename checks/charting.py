@@ -221,6 +221,15 @@ def _(spark, sf):
     return tidy(charts.forecast(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", 5, ["o_orderkey"]))
 
 
+@query("cht20_forecast_chart", """with r as (select epoch_us(o_orderdate) as x, o_totalprice as v, row_number() over (order by o_orderdate, o_orderkey) as i, count(*) over () as n from orders),
+  e as (select max(v) filter (i = n) as b, max(v) filter (i = n - n // 3 + 1) as a, max(n // 3) as k, max(n) as n, max(x) filter (i = n) as xn, max(x) filter (i = 1) as x1 from r)
+  select i, x // 1000000 as seconds, round(v, 4) as y, false as is_forecast from r
+  union all select n + s, cast(floor((xn + (xn - x1) / (n - 1) * s) / 1000000) as bigint), round(b + (b - a) / k * s, 4), true from e, range(1, 6) t(s)""")
+def _(spark, sf):
+    out = charts.forecast_chart(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", 5, ["o_orderkey"])
+    return tidy(out.select("i", F.unix_seconds(F.col("x").cast("timestamp")).alias("seconds"), "y", "is_forecast"))
+
+
 @query("cht21_outlier", "select value, not (value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as is_outlier from events, (select quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from events)")
 def _(spark, sf):
     return charts.chart_data(table(spark, sf, "events"), ChartSpec("outlier", {"x": "value"}))
@@ -423,13 +432,13 @@ INS = Fixture("lineitem", "l_orderkey", "case when l_orderkey % 3 = 1 then null
 
 def _ins(spark, sf):
     df = INS.df(spark, sf)
-    return insights.dataset_statistics(df), ["l_orderkey", "quantity", "total", "rate", "amount"]
+    return insights.dataset_statistics(df)
 
 
 @query("ins1_totals", f"""select count(*) as rows, 6::bigint as columns, round(100.0 * (2 * count(*) - count(quantity) - count(total)) / (6 * count(*)), 2) as total_missing_pct,
   count(*) - (select count(*) from (select distinct * from {INS.sql})) as duplicate_rows, round(100.0 * (count(*) - (select count(*) from (select distinct * from {INS.sql}))) / count(*), 2) as duplicate_pct from {INS.sql}""")
 def _(spark, sf):
-    return _ins(spark, sf)[0]["totals"].drop("score", "status")
+    return _ins(spark, sf)["totals"].drop("score", "status")
 
 
 _INSQ = {c: _fenced(c, INS.sql) for c in ("l_orderkey", "quantity", "total", "rate", "amount")}
@@ -445,27 +454,51 @@ _INS_NUM = union_all(list(_INSQ), lambda c: f"""select '{c}' as "column", round(
   union all select 'corr_' || a || '_' || b, 'correlation', 'high', 7 from (select * from k order by abs(r) desc limit 5) where abs(r) > 0.7
   union all select 'kpi_' || c, 'kpi', 'medium', 6 from (values ('l_orderkey'), ('quantity'), ('total'), ('rate'), ('amount')) t(c) where c <> 'l_orderkey'""")
 def _(spark, sf):
-    stats, order = _ins(spark, sf)
-    return tidy(insights.statistical_insights(stats, order).select("id", "category", "priority", "impact_score"))
+    stats = _ins(spark, sf)
+    return tidy(insights.statistical_insights(stats).select("id", "category", "priority", "impact_score"))
+
+
+# Five text and date columns come before the first numeric one.
+INS_MIXED = Fixture(
+    "lineitem", "l_returnflag as f1", "l_linestatus as f2", "l_shipdate as d1", "concat(l_returnflag, l_linestatus) as f3", "l_shipdate as d2",
+    "l_quantity * l_quantity * l_quantity * l_quantity as weight", "l_tax as rate",
+)
+
+
+@query("ins2_skew_behind_text_columns", f"""select 'dist_' || c as id, round(sk, 4) as skewness from (
+  select 'weight' as c, skewness(weight) as sk from {INS_MIXED.sql} union all select 'rate', skewness(rate) from {INS_MIXED.sql}) where abs(sk) > 1""")
+def _(spark, sf):
+    stats = insights.dataset_statistics(INS_MIXED.df(spark, sf))
+    found = insights.statistical_insights(stats).where("category = 'distribution'").select("id")
+    shapes = stats["shapes"].select(F.concat(F.lit("dist_"), "column").alias("id"), "skewness")
+    return tidy(found.join(shapes, "id"))
+
+
+@query("ins1_collinear_pairs", f"""with f as (select coalesce(quantity, 0.0) as quantity, coalesce(total, 0.0) as total, rate, amount, l_orderkey::double as l_orderkey from {INS.sql}),
+   k as ({union_all([("l_orderkey", "quantity"), ("l_orderkey", "total"), ("l_orderkey", "rate"), ("l_orderkey", "amount"), ("quantity", "total"), ("quantity", "rate"), ("quantity", "amount"), ("total", "rate"), ("total", "amount"), ("rate", "amount")], lambda p: f"select '{p[0]}' as a, '{p[1]}' as b, corr({p[0]}, {p[1]}) as r from f")})
+  select count(*) filter (abs(r) > 0.9) as collinear, count(*) filter (abs(r) > 0.7) as strong, count(*) as pairs from k""")
+def _(spark, sf):
+    stats = _ins(spark, sf)
+    return tidy(stats["pairs"].agg(F.count_if(F.col("abs_value") > 0.9).alias("collinear"), F.count_if(F.col("abs_value") > 0.7).alias("strong"), F.count("*").alias("pairs")))
 
 
 @query("ins3_quality_score", f"""select score, case when score >= 90 then 'excellent' when score >= 70 then 'good' when score >= 50 then 'fair' else 'poor' end as status from (
   select round(greatest(0, 100 - 2 * round(100.0 * (2 * count(*) - count(quantity) - count(total)) / (6 * count(*)), 2) - round(100.0 * (count(*) - (select count(*) from (select distinct * from {INS.sql}))) / count(*), 2)), 4) as score from {INS.sql})""")
 def _(spark, sf):
-    return tidy(_ins(spark, sf)[0]["totals"].select("score", "status"))
+    return tidy(_ins(spark, sf)["totals"].select("score", "status"))
 
 
 @query("flt12_insight_filter", f"select 'dist_' || \"column\" as id, 'medium' as priority from ({_INS_NUM}) where abs(sk) > 1")
 def _(spark, sf):
-    stats, order = _ins(spark, sf)
-    found = insights.statistical_insights(stats, order)
+    stats = _ins(spark, sf)
+    found = insights.statistical_insights(stats)
     return filters.filter_insights(found, "SKEW", "medium", "distribution").select("id", "priority")
 
 
 @query("snk5_insights_export")
 def _(spark, sf):
-    stats, order = _ins(spark, sf)
-    rows = insights.export_rows(insights.statistical_insights(stats, order), insights.risks(stats), insights.kpi_rows(stats))
+    stats = _ins(spark, sf)
+    rows = insights.export_rows(insights.statistical_insights(stats), insights.risks(stats), insights.kpi_rows(stats))
     path = scratch(spark)
     writers.write_csv(rows, path)
     return spark.read.csv(path, header=True, escape='"')

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenframe.functions.dates import to_moment
 from lumenframe.functions.numbers import number, quoted, ratio, sample_skewness
@@ -283,18 +284,43 @@ def forecast(
 
     Empty for fewer than four points.
     """
-    points = _numbered(df, x, y, tie or [y], rows_per_bucket)
+    full = forecast_chart(df, x, y, periods, tie, rows_per_bucket)
+    return full.where("is_forecast").select("step", F.col("y").alias("value"))
+
+
+def forecast_chart(
+    df: DataFrame, x: str, y: str, periods: int = 10, tie: list[str] | None = None, rows_per_bucket: int | None = None
+) -> DataFrame:
+    """``i, x, y, is_forecast, step``: the ordered points, then the forecast.
+
+    The forecast continues the line through the first and last point of the last third. Its ``x`` goes on in steps of the mean
+    distance between points when ``x`` is a number or a time, and is NULL otherwise. Fewer than four points
+    stay a plain line.
+    """
+    points = settle(_numbered(df, x, y, tie or [y], rows_per_bucket))
+    kind = points.schema["x"].dataType
+    timed = isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    place = F.unix_micros(F.col("x").cast("timestamp")).cast("double") if timed else F.col("x").try_cast("double")
     n = points.count()
+    actual = points.select("i", "x", "y", F.lit(False).alias("is_forecast"), F.lit(None).cast("int").alias("step"))
     if n < 4:
-        return df.sparkSession.createDataFrame([], "step int, value double")
+        return actual
     k = max(1, n // 3)
-    ends = points.where(F.col("i").isin(n, n - k + 1)).agg(
-        F.max_by("y", "i").alias("last"), F.min_by("y", "i").alias("first")
+    ends = points.where(F.col("i").isin(1, n, n - k + 1)).select("i", "y", place.alias("place")).agg(
+        *[F.max(F.when(F.col("i") == at, F.col(c))).alias(f"{c}{name}") for c in ("y", "place") for name, at in (("1", 1), ("a", n - k + 1), ("n", n))]
     )
-    step = F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step")
-    return ends.select("last", "first", step).select(
-        "step", (F.col("last") + (F.col("last") - F.col("first")) / k * F.col("step")).alias("value")
+    ahead = ends.select("*", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("step"))
+    onward = F.col("placen") + (F.col("placen") - F.col("place1")) / (n - 1) * F.col("step")
+    if timed:
+        onward = F.timestamp_micros(F.round(onward).cast("long"))
+    added = ahead.select(
+        (F.lit(n) + F.col("step")).cast("long").alias("i"),
+        onward.cast(kind).alias("x"),
+        (F.col("yn") + (F.col("yn") - F.col("ya")) / k * F.col("step")).alias("y"),
+        F.lit(True).alias("is_forecast"),
+        F.col("step").cast("int").alias("step"),
     )
+    return actual.unionByName(added)
 
 
 def outlier(df: DataFrame, x: str) -> DataFrame:

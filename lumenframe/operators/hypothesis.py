@@ -22,9 +22,12 @@ from lumenframe.operators.frequency import numeric_frequencies, numeric_long
 from lumenframe.operators.order import rank_values
 from lumenframe.operators.quantiles import quantile_frame
 from lumenframe.plans.rules import pinned
+from lumenframe.session import settle
 
-SHAPIRO_LIMIT = 5000
-HASH_RANGE = 1 << 40
+#: The p-value of Shapiro-Wilk was fitted for up to so many values.
+ROYSTON_LIMIT = 5000
+#: Positions of one value whose normal scores are added in one row.
+RUN = 65_536
 
 # Normal-case Anderson-Darling points at 15, 10, 5, 2.5 and 1 percent (Stephens).
 ANDERSON_POINTS = {"15": 0.576, "10": 0.656, "5": 0.787, "2.5": 0.918, "1": 1.092}
@@ -46,34 +49,36 @@ def _poly(name: str, x: float) -> float:
     return sum(c * x**i for i, c in enumerate(ROYSTON[name]))
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and its p-value for 3 to 5000 values (Royston 1995)."""
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    spread = float(((x - x.mean()) ** 2).sum())
+def _normal_scores(at: np.ndarray, n) -> np.ndarray:
+    """Expected order statistics of n normal values at the positions ``at`` (from 1)."""
+    return normal_ppf((at - 0.375) / (n + 0.25))
+
+
+def _w_and_p(n: int, spread: float, norm: float, scored: float, ends: list[float]) -> tuple[float, float]:
+    """W and its p-value (Royston 1995) from sums over the ordered values.
+
+    ``spread``: squared deviations. ``norm``: squared normal scores. ``scored``: scores times deviations. ``ends``:
+    deviations of the first, second, last but one and last value.
+    """
     if spread == 0:
         return 1.0, 1.0
-    m = normal_ppf((np.arange(1, n + 1) - 0.375) / (n + 0.25))
-    norm = float(m @ m)
-    if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
-    else:
-        u = 1 / math.sqrt(n)
-        a = m.copy()
-        last = m[-1] / math.sqrt(norm) + _poly("last_weight", u)
-        if n > 5:
-            nxt = m[-2] / math.sqrt(norm) + _poly("next_weight", u)
-            phi = (norm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * nxt**2)
-            a = m / math.sqrt(phi)
-            a[-2], a[1] = nxt, -nxt
-        else:
-            phi = (norm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = m / math.sqrt(phi)
-        a[-1], a[0] = last, -last
-    w = min(1.0, float(a @ x) ** 2 / spread)
+    low, low2, high2, high = ends
+    top, second = (float(x) for x in _normal_scores(np.array([n, n - 1.0]), n))
     if n == 3:
+        w = min(1.0, (math.sqrt(0.5) * (high - low)) ** 2 / spread)
         p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
         return w, min(1.0, max(0.0, p))
+    u = 1 / math.sqrt(n)
+    last = top / math.sqrt(norm) + _poly("last_weight", u)
+    inner = scored - top * (high - low)
+    if n > 5:
+        nxt = second / math.sqrt(norm) + _poly("next_weight", u)
+        phi = (norm - 2 * top**2 - 2 * second**2) / (1 - 2 * last**2 - 2 * nxt**2)
+        total = (inner - second * (high2 - low2)) / math.sqrt(phi) + nxt * (high2 - low2) + last * (high - low)
+    else:
+        phi = (norm - 2 * top**2) / (1 - 2 * last**2)
+        total = inner / math.sqrt(phi) + last * (high - low)
+    w = min(1.0, total**2 / spread)
     if w >= 1.0:
         return w, 1.0
     y = math.log(1 - w)
@@ -88,34 +93,80 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
     return w, float(normal_cdf(-(y - mean) / sd))
 
 
-def shapiro(df: DataFrame, cols: list[str] | None = None, limit: int = SHAPIRO_LIMIT) -> DataFrame:
-    """``column, statistic, p_value, sample_size`` over all values, or a sample of ``limit``.
+def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
+    """W and its p-value for three or more values in memory."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n, d = len(x), x - x.mean()
+    m = _normal_scores(np.arange(1.0, n + 1), n)
+    return _w_and_p(n, float(d @ d), float(m @ m), float(m @ d), [d[0], d[1], d[-2], d[-1]])
+
+
+def shapiro(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """``column, statistic, p_value, sample_size, p_extrapolated`` over all values; NULLs below three values.
 
-    The sample is the test's own limit: rows with the smallest hash, so it does not depend
-    on file order. On a long column only hashes below a threshold that leaves a few times
-    ``limit`` rows are sorted, so that tasks do not all send ``limit`` candidates.
+    Sums run over the ranked table of distinct values: a value's copies fill a run of positions, whose normal scores are
+    added up. A run of many copies is cut, so that a value of a third of the rows is spread over tasks. The p-value's
+    fit was published for up to 5000 values; beyond, ``p_extrapolated`` says that it continues that fit.
     """
     cols = cols or catalog.numeric_columns(df)
-    scalars = [f.name for f in df.schema.fields if not isinstance(f.dataType, catalog.COMPLEX)]
-    row_hash = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in scalars]), F.lit(HASH_RANGE))
-    sizes = df.agg(*[F.count(number(df, c)) for c in cols]).first()
-    parts = None
-    for c, n in zip(cols, sizes):
-        one = df.select(F.lit(c).alias("column"), number(df, c).alias("value"), row_hash.alias("h"))
-        one = one.where(F.col("value").isNotNull())
-        if n > 10 * limit:
-            low = one.where(F.col("h") < int(HASH_RANGE * 4 * limit / n))
-            one = low if low.limit(limit).count() == limit else one
-        one = one.orderBy("h", "value").limit(limit).drop("h")
-        parts = one if parts is None else parts.unionByName(one)
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        w, p = shapiro_wilk(pdf["value"].to_numpy()) if n >= 3 else (None, None)
-        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "statistic": [w], "p_value": [p], "sample_size": [n]})
-
-    return parts.groupBy("column").applyInPandas(
-        test, "column string, statistic double, p_value double, sample_size long"
+    ranked = settle(rank_values(numeric_frequencies(df, cols), "column").select("column", "value", "n", "before", "total"))
+    means = ranked.groupBy("column").agg((F.sum(F.col("value") * F.col("n")) / F.max("total")).alias("mean"))
+    centred = ranked.join(F.broadcast(means), "column").withColumn("d", F.col("value") - F.col("mean"))
+
+    def at(position: Column, name: str) -> Column:
+        here = (F.col("before") < position) & (position <= F.col("before") + F.col("n"))
+        return F.max(F.when(here, F.col("d"))).alias(name)
+
+    last = F.col("total")
+    fit = centred.groupBy("column").agg(
+        F.max("total").alias("total"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("spread"),
+        at(F.lit(1), "e1"), at(F.lit(2), "e2"), at(last - 1, "e3"), at(last, "e4"),
+    )
+
+    def add(batches):
+        for pdf in batches:
+            out = []
+            lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
+            until = np.cumsum(hi - lo)
+            start = 0
+            while start < len(pdf):
+                done = until[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(until, done + RUN)))
+                part = slice(start, stop)
+                sizes = (hi - lo)[part]
+                first = np.cumsum(sizes) - sizes
+                positions = np.arange(sizes.sum()) - np.repeat(first, sizes) + np.repeat(lo[part], sizes) + 1.0
+                m = _normal_scores(positions, np.repeat(pdf["total"].to_numpy()[part], sizes))
+                run = pd.DataFrame({"column": pdf["column"].to_numpy()[part], "scored": np.add.reduceat(m, first) * pdf["d"].to_numpy()[part],
+                                    "norm": np.add.reduceat(m * m, first)})
+                out.append(run.groupby("column", as_index=False).sum())
+                start = stop
+            if out:
+                yield pd.concat(out)
+
+    wide = F.col("n") > RUN
+    runs = centred.where(~wide).select("column", "d", "total", F.col("before").alias("lo"), (F.col("before") + F.col("n")).alias("hi"))
+    cuts = centred.where(wide).select(
+        "column", "d", "total", (F.col("before") + F.col("n")).alias("end"),
+        F.explode(F.sequence("before", F.col("before") + F.col("n") - 1, F.lit(RUN).cast("long"))).alias("lo"),
+    )
+    cuts = cuts.repartition("column", "lo").select("column", "d", "total", "lo", F.least(F.col("lo") + RUN, "end").alias("hi"))
+    sums = runs.unionByName(cuts).mapInPandas(add, "column string, scored double, norm double")
+    sums = sums.groupBy("column").agg(F.sum("scored").alias("scored"), F.sum("norm").alias("norm"))
+
+    def test(batches):
+        for pdf in batches:  # one row per column
+            found = [
+                _w_and_p(int(r.total), r.spread, r.norm, r.scored, [r.e1, r.e2, r.e3, r.e4]) if r.total >= 3 else (None, None)
+                for r in pdf.itertuples()
+            ]
+            yield pd.DataFrame({
+                "column": pdf["column"], "statistic": [w for w, _ in found], "p_value": [p for _, p in found],
+                "sample_size": pdf["total"].astype("int64"), "p_extrapolated": pdf["total"] > ROYSTON_LIMIT,
+            })
+
+    return fit.join(sums, "column").mapInPandas(
+        test, "column string, statistic double, p_value double, sample_size long, p_extrapolated boolean"
     )
 
 

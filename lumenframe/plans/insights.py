@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.numbers import band, percent
-from lumenframe.operators import catalog, correlation
+from lumenframe.operators import catalog, correlation, distribution
 from lumenframe.operators.describe import Facts, compact_numeric_stats, compact_text_stats, date_ranges, shapes
 from lumenframe.plans.recommend import boolean_like, kpi_candidates, target_candidates
 from lumenframe.plans.rules import emit, fixed, pinned
@@ -49,13 +49,22 @@ def dataset_statistics(df: DataFrame, max_numeric: int | None = None, max_text:
     if numeric:
         stats = facts.summary.where(F.col("column").isin(numeric))
         out["numeric"] = pinned(compact_numeric_stats(df, numeric, stats))
-        out["shapes"] = shapes(df, numeric, stats)
+        places = df.sparkSession.createDataFrame(list(enumerate(numeric)), "position int, column string")
+        out["shapes"] = pinned(shapes(df, numeric, stats).join(F.broadcast(places), "column"))
         out["targets"] = pinned(target_candidates(df, numeric, facts.uniques))
     if len(numeric) >= 2:
         out["pairs"] = pinned(correlation.pair_report(df, "pearson", numeric))
+        out["collinear"] = correlation.multicollinear(out["pairs"])
     return out
 
 
+def distribution_summary(df: DataFrame) -> DataFrame:
+    """The distribution report of all numeric columns with shape and quality score, in column order."""
+    numeric = catalog.numeric_columns(df)
+    places = df.sparkSession.createDataFrame(list(enumerate(numeric)), "position int, column string")
+    return distribution.column_report(df, numeric).join(F.broadcast(places), "column").orderBy("position")
+
+
 def _record(category, id_, title, detail, priority, impact, evidence, action) -> dict:
     values = (id_, category, title, detail, priority, impact, evidence, action)
     return dict(zip(FIELDS, values))
@@ -65,8 +74,11 @@ def _join(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def statistical_insights(stats: dict[str, DataFrame], column_order: list[str]) -> DataFrame:
-    """Insights from thresholds on missing data, duplicates, outliers, correlation, skew and KPIs."""
+def statistical_insights(stats: dict[str, DataFrame]) -> DataFrame:
+    """Insights from thresholds on missing data, duplicates, outliers, correlation, skew and KPIs.
+
+    Skew is looked at in the first five columns of the distribution summary, which holds numeric columns only.
+    """
     c = F.col
     out = []
     affected = stats["missing"].count()
@@ -100,7 +112,6 @@ def statistical_insights(stats: dict[str, DataFrame], column_order: list[str]) -
             "Decide whether they are errors.",
         ))
         out.append(emit(stats["numeric"], [rule]))
-        first = column_order[:5]
         skew = c("skewness")
         rule = (F.abs(skew) > 1, _record(
             "distribution", _join("dist_", c("column")), _join("Heavily Skewed Distribution: ", c("column")),
@@ -108,7 +119,7 @@ def statistical_insights(stats: dict[str, DataFrame], column_order: list[str]) -
             "medium", F.lit(5), _join("Skewness ", fixed(skew, 4), ", kurtosis ", fixed(c("kurtosis"), 4), "."),
             "Try a log or Box-Cox transform.",
         ))
-        out.append(emit(stats["shapes"].where(c("column").isin(first)), [rule]))
+        out.append(emit(stats["shapes"].where(c("position") < 5), [rule]))
         kpis = stats["kpis"].orderBy("position").limit(5).join(stats["numeric"], "column")
         rule = (F.lit(True), _record(
             "kpi", _join("kpi_", c("column")), _join("Key Metric Detected: ", c("column")),

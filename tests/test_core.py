@@ -127,12 +127,15 @@ def test_kendall_with_heavy_values(spark, per):
     assert got["tau"] == pytest.approx(brute_tau(x, y), abs=1e-12)
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
+@pytest.mark.parametrize("hot", ["left", "right", "both", "none"])
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full", "semi", "anti"])
-def test_merge_equals_plain_join(spark, monkeypatch, limit, how):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
-    left = spark.createDataFrame([(None if i % 10 == 0 else 1 if i % 3 == 0 else i, i) for i in range(200)], "k int, a int")
-    right = spark.createDataFrame([(i % 40, i) for i in range(80)] + [(None, -1), (500, 5)], "k int, b int")
+def test_merge_equals_plain_join(spark, monkeypatch, hot, how):
+    """Keys hot on either side, with repeated rows, are spread; the result stays that of the plain join."""
+    many = [(1, 5)] * 40 + [(1, 6)] * 3 + [(77, 1)] * 30
+    left = [(None if i % 10 == 0 else i, i) for i in range(60)] + (many if hot in ("left", "both") else [])
+    right = [(i % 40, i) for i in range(50)] + [(None, -1), (500, 5)] + (many if hot in ("right", "both") else [])
+    left, right = spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int")
+    monkeypatch.setattr(joins.skew_join, "__defaults__", ("inner", 7 if hot != "none" else 10**6))
     got = joins.merge_datasets(left, right, ["k"], how)
     spark_how = {"semi": "left_semi", "anti": "left_anti"}.get(how, how)
     expect = left.join(right, ["k"], spark_how).select(got.columns)
@@ -145,7 +148,7 @@ def test_merge_equals_plain_join(spark, monkeypatch, limit, how):
 
 @pytest.mark.parametrize("limit", [100_000, 2])
 def test_lookup_keeps_rows_and_nulls(spark, monkeypatch, limit):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     df = spark.createDataFrame([("a", 1)] * 50 + [("b", 2), (None, 3), ("z", 4)], "k string, v int")
     table = spark.createDataFrame([("a", 10), ("b", 20), ("c", 30)], "key string, code int")
     got = sorted((tuple(r) for r in joins.lookup(df, table, "k", "key", "code", "k").collect()), key=str)
@@ -172,12 +175,24 @@ def test_pair_aggregates_in_several_jobs(spark, monkeypatch):
             assert r["r"] == pytest.approx(want.loc[r["feature_a"], r["feature_b"]], abs=1e-12)
 
 
-def test_shapiro_sample_is_the_limit(spark):
+def test_shapiro_uses_every_value(spark, monkeypatch):
     from lumenframe.operators import hypothesis
 
-    df = spark.range(2000).select(F.col("id"), F.randn(3).alias("v"))
-    row = hypothesis.shapiro(df, ["v"], limit=100).first()
-    assert row["sample_size"] == 100 and 0 < row["statistic"] <= 1
+    monkeypatch.setattr(hypothesis, "RUN", 50)
+    rng = np.random.default_rng(3)
+    data = {"v": rng.gamma(4.0, size=900), "w": rng.integers(0, 6, 900).astype(float), "flat": np.ones(900)}
+    df = spark.createDataFrame(pd.DataFrame(data)).repartition(5)
+    for r in hypothesis.shapiro(df).collect():
+        w, p = hypothesis.shapiro_wilk(data[r["column"]])
+        assert (r["sample_size"], r["p_extrapolated"]) == (900, False)
+        assert r["statistic"] == pytest.approx(w, rel=1e-9) and r["p_value"] == pytest.approx(p, rel=1e-6, abs=1e-12)
+    for n in (3, 4, 5, 6, 12):
+        small = df.limit(n)
+        values = [r["v"] for r in small.collect()]
+        got = hypothesis.shapiro(spark.createDataFrame([(x,) for x in values], "v double")).first()
+        assert got["statistic"] == pytest.approx(hypothesis.shapiro_wilk(np.array(values))[0], rel=1e-9)
+    two = hypothesis.shapiro(spark.createDataFrame([(1.0,), (2.0,)], "v double")).first()
+    assert two["statistic"] is None and two["sample_size"] == 2
 
 
 def test_kde_and_histogram_against_numpy(spark):
