@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -19,17 +18,16 @@ from lumenframe.operators.describe import (
     shape_columns,
 )
 from lumenframe.operators.frequency import (
-    SMALL_ROWS,
     most_frequent,
     numeric_frequencies,
     numeric_long,
     numeric_modes,
-    spread_small,
 )
 from lumenframe.operators.hypothesis import normality_tests
 from lumenframe.operators.order import rank_values
 from lumenframe.operators.quantiles import fences, fit_quantiles, quantile_frame
 from lumenframe.plans.rules import emit, fixed, pinned
+from lumenframe.session import settle
 
 GRID = 200
 COPIES = 65_536
@@ -242,63 +240,70 @@ def _yeo_johnson(x: Column, lam) -> Column:
     return F.when(x >= 0, high).otherwise(low)
 
 
-def _variances(values: DataFrame, x: Column, transform, grid: list[float]) -> list[float]:
-    """Population variance of ``transform(x, λ)`` for every λ of a grid, in one job.
+def _box_cox_batch(x: np.ndarray, lam: float) -> np.ndarray:
+    return np.log(x) if abs(lam) < 1e-12 else (x**lam - 1) / lam
 
-    The grid is a literal array exploded inside the scan stage and merged map-side by λ,
-    so each pass runs the same compiled code and shuffles one row per λ and task.
+
+def _yeo_johnson_batch(x: np.ndarray, lam: float) -> np.ndarray:
+    up, down = np.maximum(x, 0.0) + 1, np.maximum(-x, 0.0) + 1
+    high = np.log(up) if abs(lam) < 1e-12 else (up**lam - 1) / lam
+    low = -np.log(down) if abs(lam - 2) < 1e-12 else -(down ** (2 - lam) - 1) / (2 - lam)
+    return np.where(x >= 0, high, low)
+
+
+def _variances(counted: DataFrame, transform, grid: list[float], centre: float) -> list[float]:
+    """Population variance of ``transform(x, λ)`` for every λ of a grid, in one pass over the distinct ``x, n``.
+
+    A batch of values is transformed by every λ in place, and a task sends one row per λ. Sums are taken around the
+    transform of ``centre``, so that large values do not cancel.
     """
-    lam = F.posexplode(F.array(*[F.lit(float(g)) for g in grid])).alias("i", "lam")
-    spread = values.select(x.alias("x"), lam).groupBy("i").agg(F.var_pop(transform(F.col("x"), F.col("lam"))).alias("v"))
-    found = {r["i"]: r["v"] for r in spread.collect()}
-    return [found[i] for i in range(len(grid))]
-
-
-@contextmanager
-def _repeated(values: DataFrame):
-    """Values that several passes read: kept in memory, spread over cores, while they are few."""
-    rows = values.count()
-    if rows > SMALL_ROWS:
-        yield values
-        return
-    held = spread_small(values, rows).persist()
-    try:
-        yield held
-    finally:
-        held.unpersist()
+    middle = [float(transform(np.array([centre]), g)[0]) for g in grid]
 
+    def partial(batches):
+        sums = np.zeros((len(grid), 3))
+        for pdf in batches:
+            x, n = pdf["x"].to_numpy(), pdf["n"].to_numpy(dtype=float)
+            with np.errstate(all="ignore"):
+                for i, g in enumerate(grid):
+                    t = transform(x, g) - middle[i]
+                    sums[i] += n.sum(), (n * t).sum(), (n * t * t).sum()
+        yield pd.DataFrame({"i": range(len(grid)), "n": sums[:, 0], "s": sums[:, 1], "q": sums[:, 2]})
 
-def box_cox_lambda(values: DataFrame) -> float:
-    """Maximum-likelihood λ of positive ``value``s, scaled by their geometric mean."""
-    with _repeated(values) as held:
-        return _box_cox_lambda(held)
+    parts = counted.mapInPandas(partial, "i int, n double, s double, q double").groupBy("i").agg(F.sum("n"), F.sum("s"), F.sum("q"))
+    found = {i: q / n - (s / n) ** 2 if n else None for i, n, s, q in parts.collect()}
+    return [found.get(i) for i in range(len(grid))]
 
 
-def _box_cox_lambda(values: DataFrame) -> float:
-    row = values.agg(F.count("value").alias("n"), F.avg(F.log("value")).alias("m")).first()
-    z = F.col("value") / F.lit(math.exp(row["m"]))
+def _distinct_counts(values: DataFrame) -> DataFrame:
+    """``x, n``: the distinct ``value``s with their counts, written once for all passes."""
+    return settle(values.where("value is not null").groupBy(F.col("value").alias("x")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def box_cox_lambda(values: DataFrame) -> float:
+    """Maximum-likelihood λ of positive ``value``s, scaled by their geometric mean."""
+    counted = _distinct_counts(values)
+    row = counted.agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.log("x")) / F.sum("n")).alias("m")).first()
+    scaled = counted.select((F.col("x") / F.lit(math.exp(row["m"]))).alias("x"), "n")
 
     def score(grid):
-        found = _variances(values, z, _box_cox, grid)
-        return [-row["n"] / 2 * math.log(v) if v and math.isfinite(v) else -math.inf for v in found]
+        found = _variances(scaled, _box_cox_batch, grid, 1.0)
+        return [-row["n"] / 2 * math.log(v) if v and v > 0 and math.isfinite(v) else -math.inf for v in found]
 
     return _search_lambda(score)
 
 
 def yeo_johnson_lambda(values: DataFrame) -> float:
     """Maximum-likelihood λ of any ``value``s."""
-    with _repeated(values) as held:
-        return _yeo_johnson_lambda(held)
-
-
-def _yeo_johnson_lambda(values: DataFrame) -> float:
-    x = F.col("value")
-    row = values.agg(F.count("value").alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("j")).first()
+    counted = _distinct_counts(values)
+    x = F.col("x")
+    row = counted.agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.signum(x) * F.log1p(F.abs(x))).alias("j"), (F.sum(F.col("n") * x) / F.sum("n")).alias("m")
+    ).first()
 
     def score(grid):
         return [
-            -row["n"] / 2 * math.log(v) + (lam - 1) * row["j"] if v and math.isfinite(v) else -math.inf
-            for v, lam in zip(_variances(values, x, _yeo_johnson, grid), grid)
+            -row["n"] / 2 * math.log(v) + (lam - 1) * row["j"] if v and v > 0 and math.isfinite(v) else -math.inf
+            for v, lam in zip(_variances(counted, _yeo_johnson_batch, grid, row["m"]), grid)
         ]
 
     return _search_lambda(score)

@@ -15,9 +15,6 @@ from lumenframe.operators.joins import lookup
 from lumenframe.operators.order import number_rows
 from lumenframe.operators.quantiles import fit_quantiles
 
-MAX_ONE_HOT = 1000
-
-
 def _text(name: str) -> Column:
     return F.col(quoted(name)).cast("string")
 
@@ -26,16 +23,18 @@ def _categories(df: DataFrame, col: str) -> DataFrame:
     return df.select(_text(col).alias("value")).where("value is not null").distinct()
 
 
-def encode_onehot(df: DataFrame, columns: list[str], max_categories: int = MAX_ONE_HOT) -> DataFrame:
+def encode_onehot(df: DataFrame, columns: list[str], max_categories: int | None = None) -> DataFrame:
     """One 0/1 column ``col_value`` per value, sorted; the source column is dropped.
 
-    A column with more than ``max_categories`` values is refused rather than cut short.
+    As many columns as values; where that is too wide a table, ``onehot_long`` has the same content in rows. A caller may set
+    ``max_categories``; a column with more values is then refused rather than cut short.
     """
     flags = []
     for c in columns:
-        values = [r["value"] for r in _categories(df, c).limit(max_categories + 1).collect()]
-        if len(values) > max_categories:
-            raise ValueError(f"{c} has more than {max_categories} values; use label or frequency encoding")
+        found = _categories(df, c)
+        values = [r["value"] for r in (found if max_categories is None else found.limit(max_categories + 1)).collect()]
+        if max_categories is not None and len(values) > max_categories:
+            raise ValueError(f"{c} has more than {max_categories} values; use onehot_long, label or frequency encoding")
         flags += [
             F.coalesce((_text(c) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in sorted(values)
         ]
@@ -43,6 +42,15 @@ def encode_onehot(df: DataFrame, columns: list[str], max_categories: int = MAX_O
     return df.select(*kept, *flags)
 
 
+def onehot_long(df: DataFrame, id_columns: list[str], columns: list[str]) -> DataFrame:
+    """One-hot encoding in long form: ``id_columns, feature`` of the ones; every other pair is zero.
+
+    ``feature`` is ``col_value`` as in the wide form; missing values have no row. Any number of values.
+    """
+    cells = F.array(*[F.when(_text(c).isNotNull(), F.concat(F.lit(f"{c}_"), _text(c))) for c in columns])
+    return df.select(*[F.col(quoted(c)) for c in id_columns], F.explode(F.array_compact(cells)).alias("feature"))
+
+
 def encode_label(df: DataFrame, columns: list[str]) -> DataFrame:
     """Index of each value in sorted text order; missing stays missing."""
     for c in columns:

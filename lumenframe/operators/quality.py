@@ -115,30 +115,29 @@ def column_quality(df: DataFrame, kinds: dict[str, str] | None = None, facts: Fa
 def duplicate_columns(df: DataFrame) -> DataFrame:
     """``column1, column2``: columns whose text equals that of an earlier column in every row.
 
-    A digest per column that ignores row order proposes pairs; a second pass confirms each
-    proposal value by value. Each column is paired with the first equal one.
+    A digest per column proposes groups: the sum of hashes of the cells, each with its whole row, so that neither row order nor
+    repeated rows matter. A second pass compares every column with the first of its group, value by value.
     """
     schema = "column1 string, column2 string"
     names = [f.name for f in df.schema.fields if not isinstance(f.dataType, catalog.COMPLEX)]
     as_text = {c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit("\u0000null")) for c in names}
     row = F.xxhash64(*as_text.values())
-    digests = df.agg(*[F.bit_xor(F.xxhash64(row, as_text[c])).alias(f"d{i}") for i, c in enumerate(names)]).first()
-    proposals = [
-        (a, b)
-        for j, b in enumerate(names)
-        for i, a in enumerate(names[:j])
-        if digests[f"d{i}"] == digests[f"d{j}"]
-    ]
-    if not proposals:
-        return df.sparkSession.createDataFrame([], schema)
-    confirmed = df.agg(
-        *[F.bool_and(as_text[a] == as_text[b]).alias(f"e{i}") for i, (a, b) in enumerate(proposals)]
-    ).first()
+    wide = "decimal(38,0)"
+    digests = df.agg(*[F.sum(F.xxhash64(row, as_text[c]).cast(wide)).alias(f"d{i}") for i, c in enumerate(names)]).first()
+    groups: dict[object, list[str]] = {}
+    for i, c in enumerate(names):
+        groups.setdefault(digests[f"d{i}"], []).append(c)
     first_of: dict[str, str] = {}
-    for i, (a, b) in enumerate(proposals):
-        if confirmed[f"e{i}"] and a not in first_of:
-            first_of.setdefault(b, a)
-    rows = [(a, b) for b, a in first_of.items()]
+    # Columns that turn out different although their digests agree start a group of their own.
+    waiting = [g for g in groups.values() if len(g) > 1]
+    while waiting:
+        pairs = [(g[0], c) for g in waiting for c in g[1:]]
+        same = df.agg(*[F.bool_and(as_text[a] == as_text[b]).alias(f"e{i}") for i, (a, b) in enumerate(pairs)]).first()
+        equal = {pair: same[f"e{i}"] is not False for i, pair in enumerate(pairs)}
+        first_of.update({b: a for (a, b), yes in equal.items() if yes})
+        left = [[c for c in g[1:] if not equal[g[0], c]] for g in waiting]
+        waiting = [g for g in left if len(g) > 1]
+    rows = [(first_of[c], c) for c in names if c in first_of]
     return df.sparkSession.createDataFrame(rows, schema)
 
 

@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIN_ROWS = 200_000
+from lumenframe.session import settle
 
+#: Rows that a report frame may hold in the plan itself.
+PAGE = 10_000
 
 def pinned(frame: DataFrame) -> DataFrame:
-    """Hold a report frame (one row per column or column pair) as literal rows.
+    """Write a report frame (one row per column or column pair) once, so that several rules read it without running the statistics again.
 
-    Several rules then read it without running the statistics again. A frame that turns
-    out larger than a report stays lazy.
+    What fits a first page of rows stays in the plan as literals; a larger frame goes to the shared folder.
     """
-    rows = frame.limit(PIN_ROWS + 1).collect()
-    if len(rows) > PIN_ROWS:
-        return frame
-    return frame.sparkSession.createDataFrame(rows, frame.schema)
+    rows = frame.limit(PAGE + 1).collect()
+    return settle(frame) if len(rows) > PAGE else frame.sparkSession.createDataFrame(rows, frame.schema)
 
 
 def emit(frame: DataFrame, rules: list[tuple[Column, dict]], keep: list[str] = ()) -> DataFrame:
