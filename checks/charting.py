@@ -292,10 +292,10 @@ def _(spark, sf):
     return recommend.target_candidates(table(spark, sf, "lineitem"))
 
 
-@query("rec4_kpi_candidates", """select * from (select position, "column", case when regexp_matches("column", 'revenue|sales|amount|total|income') then 'revenue' when regexp_matches("column", 'profit|margin|gain|net') then 'profit'
+@query("rec4_kpi_candidates", """select position, "column", kpi_kind, non_null from (select position, "column", (select count(*) from orders) as non_null, case when regexp_matches("column", 'revenue|sales|amount|total|income') then 'revenue' when regexp_matches("column", 'profit|margin|gain|net') then 'profit'
    when regexp_matches("column", 'cost|expense|spend|price') then 'cost' when regexp_matches("column", 'count|quantity|orders|transactions|units') then 'count' when regexp_matches("column", 'rate|ratio|percent|conversion|growth') then 'rate'
    when regexp_matches("column", 'customer|user|client|subscriber') then 'customer' when regexp_matches("column", 'date|time|period|month|year|day') then 'date' end as kpi_kind
-  from (select unnest(range(0, 6)) as position, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) as "column") where (select count(*) from orders) > 0) where kpi_kind is not null""")
+  from (select unnest(range(0, 6)) as position, unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) as "column") where (select count(*) from orders) > 0) where kpi_kind is not null""")  # orders has no nulls
 def _(spark, sf):
     return tidy(recommend.kpi_candidates(table(spark, sf, "orders")))
 

@@ -486,3 +486,34 @@ def _(spark, sf):
   select round(r, 4) as rho, round(r * r, 4) as r_squared, {_lab}, n from (select corr(x, y) as r, count(*) as n from r)""")
 def _(spark, sf):
     return tidy(hypothesis.spearman_test(TT.df(spark, sf), "before", "after").drop("p_value"))
+
+
+# Columns whose statistics are moderate, so that the p-values are neither 0 nor 1.
+PV = Fixture("lineitem", "l_quantity as a", "l_quantity + (l_tax - 0.04) * 2 + l_discount - 0.05 as b", "l_tax as c")
+
+
+def _r_p(r):
+    return f"select {sqlmath.student_two_sided('t', 'dof')} as p from (select r * sqrt((n - 2) / (1 - r * r)) as t, n - 2 as dof from (select {r}))"
+
+
+@query("stt7_student_p_value", f"select round({sqlmath.student_two_sided('t', 'dof')}, 6) as p_value from (select (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1 / na + 1 / nb)) as t, na + nb - 2 as dof from {_tt})")
+def _(spark, sf):
+    return tidy(hypothesis.t_test(TT.df(spark, sf), "a", "b", True).select("p_value"), 6)
+
+
+@query("stt8_paired_p_value", f"select round({sqlmath.student_two_sided('t', 'dof')}, 6) as p_value from (select avg(a - b) / (stddev(a - b) / sqrt(count(*))) as t, count(*) - 1 as dof from {PV.sql})")
+def _(spark, sf):
+    return tidy(hypothesis.paired_t_test(PV.df(spark, sf), "a", "b").select("p_value"), 6)
+
+
+@query("stt12_pearson_p_value", f"select round(p, 6) as p_value from ({_r_p(f'corr(a, c) as r, count(*)::double as n from {PV.sql}')})")
+def _(spark, sf):
+    return tidy(hypothesis.pearson_test(PV.df(spark, sf), "a", "c").select("p_value"), 6)
+
+
+_PV_RANKS = f"(select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as x, rank() over (order by c) + (count(*) over (partition by c) - 1) / 2.0 as y from {PV.sql})"
+
+
+@query("stt13_spearman_p_value", f"select round(p, 6) as p_value from ({_r_p(f'corr(x, y) as r, count(*)::double as n from {_PV_RANKS}')})")
+def _(spark, sf):
+    return tidy(hypothesis.spearman_test(PV.df(spark, sf), "a", "c").select("p_value"), 6)

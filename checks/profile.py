@@ -96,8 +96,7 @@ def _(spark, sf):
     lines = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 10 == 0, bad).otherwise(line).alias("value"))
     lines.write.text(path)
     schema = "o_orderkey bigint, o_orderpriority string"
-    reader = spark.read.schema(schema).option("mode", "DROPMALFORMED").csv(path)
-    return reader.where("o_orderkey is not null")
+    return readers.read_delimited(spark, path, ",", schema, header=False)
 
 
 @query("src8_incremental_ingest", "select o_orderkey, o_custkey, o_orderpriority from orders")

@@ -117,9 +117,10 @@ def _(spark, sf):
     return tidy(correlation.network_edges(_pairs(spark, sf)))
 
 
-@query("cor8_network_nodes", union_all(COLS, lambda c: f"select '{c}' as id"))
+@query("cor8_network_nodes", f"""select id, count(*) filter (abs_value >= 0.3) as degree from (
+  select feature_a as id, abs_value from ({PEARSON}) union all select feature_b, abs_value from ({PEARSON})) group by id""")
 def _(spark, sf):
-    return correlation.network_nodes(COR.df(spark, sf))
+    return correlation.network_nodes(_pairs(spark, sf))
 
 
 @query("cor9_matrix", f"""select "column", {', '.join(f"max(value) filter (other = '{c}') as {c}" for c in COLS)} from (

@@ -217,9 +217,10 @@ def network_edges(pairs: DataFrame) -> DataFrame:
     )
 
 
-def network_nodes(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    rows = [(c,) for c in cols or catalog.numeric_columns(df)]
-    return df.sparkSession.createDataFrame(rows, "id string")
+def network_nodes(pairs: DataFrame) -> DataFrame:
+    """``id, degree``: the features of the pairs and how many edges each has."""
+    ends = pairs.select(F.explode(F.array("feature_a", "feature_b")).alias("id"), (F.col("abs_value") >= 0.3).alias("edge"))
+    return ends.groupBy("id").agg(F.count_if("edge").alias("degree"))
 
 
 def matrix(pairs: DataFrame, cols: list[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def dataset_statistics(df: DataFrame, max_numeric: int | None = None, max_text:
     dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     facts = Facts(df)
     missing = facts.nulls.where("null_count > 0").select("column", "null_count", "null_pct")
-    out = {"totals": pinned(totals(facts)), "missing": missing, "kpis": kpi_candidates(df)}
+    out = {"totals": pinned(totals(facts)), "missing": missing, "kpis": pinned(kpi_candidates(df, facts.nulls))}
     out["booleans"] = pinned(boolean_like(df))
     out["dates"] = pinned(date_ranges(df, dates))
     if texts:

@@ -103,10 +103,15 @@ def kpi_kind(name: Column) -> Column:
     return expr
 
 
-def kpi_candidates(df: DataFrame) -> DataFrame:
-    """``position, column, kpi_kind`` of the columns whose name marks a key figure."""
+def kpi_candidates(df: DataFrame, nulls: DataFrame | None = None) -> DataFrame:
+    """``position, column, kpi_kind, non_null`` of the columns whose name marks a key figure and that have values.
+
+    ``nulls`` is the table's ``null_counts`` where it is known already.
+    """
     names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(df.columns)], "position int, column string")
-    return names.withColumn("kpi_kind", kpi_kind(F.col("column"))).where("kpi_kind is not null")
+    marked = names.withColumn("kpi_kind", kpi_kind(F.col("column"))).where("kpi_kind is not null")
+    present = (null_counts(df) if nulls is None else nulls).select("column", "non_null").where("non_null > 0")
+    return marked.join(F.broadcast(present), "column").select("position", "column", "kpi_kind", "non_null")
 
 
 def boolean_like(df: DataFrame) -> DataFrame:

@@ -51,14 +51,15 @@ def read_delimited(
     schema: T.StructType | str | None = None,
     encoding: str | None = None,
     skip_bad_lines: bool = True,
+    header: bool = True,
 ) -> DataFrame:
-    """Delimited text with a header, read in splits of any number of rows.
+    """Delimited text, with a header unless stated, read in splits of any number of rows.
 
     Without ``schema`` the types are inferred from the data; a line with too many fields
     is dropped (or kept with NULLs when ``skip_bad_lines`` is off).
     """
     reader = (
-        spark.read.option("header", True)
+        spark.read.option("header", header)
         .option("sep", sep or sniff_delimiter(spark, path))
         .option("encoding", encoding or detect_encoding(spark, path))
         .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
