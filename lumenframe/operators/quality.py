@@ -254,6 +254,13 @@ def recommendations(columns: DataFrame, duplicate_cols: DataFrame, score: float)
     return emit(facts, rules)
 
 
+#: Names of the sections of a quality report.
+SECTIONS = (
+    "columns", "overview", "missing", "missing_total", "duplicates", "duplicate_columns", "datatypes", "unique_values", "invalid",
+    "invalid_totals", "health", "recommendations",
+)
+
+
 def quality_report(
     df: DataFrame, kinds: dict[str, str] | None = None, facts: Facts | None = None
 ) -> dict[str, DataFrame]:

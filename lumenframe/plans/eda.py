@@ -11,6 +11,7 @@ from lumenframe.functions.numbers import band, number, percent, quoted, ratio, s
 from lumenframe.operators import catalog, correlation, distribution, quality
 from lumenframe.operators.describe import Facts, column_profile, numeric_summary, outlier_counts, percentiles, report_stats
 from lumenframe.plans.rules import emit, first_names, fixed, pinned
+from lumenframe.plans.sections import Sections
 
 # Sections each report profile asks for.
 PROFILES = {
@@ -242,36 +243,50 @@ def column_details(profile: DataFrame, intelligence: DataFrame) -> DataFrame:
     )
 
 
-def eda_report(df: DataFrame, report_type: str = "full") -> dict[str, DataFrame]:
-    """Every section of a report as a frame. Correlation and distribution only where asked for."""
+def overview(shared: Facts) -> DataFrame:
+    """One row of counts: rows, columns by kind, and the shares of missing cells and repeated rows."""
+    df, kinds = shared.df, list(shared.kinds.values())
+    cells = F.col("null_count") + F.col("non_null")
+    booleans = sum(isinstance(f.dataType, T.BooleanType) for f in df.schema.fields)
+    counts = {
+        "columns": len(df.columns), "numeric_columns": kinds.count("numeric"), "categorical_columns": kinds.count("categorical"),
+        "datetime_columns": kinds.count("datetime"), "boolean_columns": booleans,
+    }
+    base = shared.nulls.agg(F.max(cells).alias("rows"), percent(F.sum("null_count"), F.sum(cells)).alias("missing_pct"))
+    return base.select(
+        "rows", *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()], "missing_pct",
+        percent(F.lit(shared.duplicates), F.col("rows")).alias("duplicate_pct"),
+    )
+
+
+def eda_report(df: DataFrame, report_type: str = "full") -> Sections:
+    """The sections of a report by name; each is computed when it is asked for.
+
+    Correlation and distribution exist only where the report type has them.
+    """
     wanted = PROFILES.get(report_type, PROFILES["full"])
     shared = Facts(df)
     df, numeric = shared.df, shared.numeric
-    report = quality.quality_report(df, facts=shared)
-    q = report["overview"].first()
-    profile = pinned(column_profile(df, facts=shared))
-    dup, gaps = report["duplicates"].first(), report["missing_total"].first()
-    report["overview"] = df.sparkSession.createDataFrame(
-        [(
-            q["total_rows"], q["total_columns"], q["numeric_columns"], q["categorical_columns"], q["datetime_columns"],
-            q["boolean_columns"], gaps["overall_null_pct"], dup["duplicate_pct"],
-        )],
-        "rows bigint, columns bigint, numeric_columns bigint, categorical_columns bigint, datetime_columns bigint, "
-        "boolean_columns bigint, missing_pct double, duplicate_pct double",
-    )
+    shared_parts = Sections()
+    shared_parts.add("quality", lambda: quality.quality_report(df, facts=shared))
+    shared_parts.add("profile", lambda: pinned(column_profile(df, facts=shared)))
+    shared_parts.add("facts", lambda: pinned(ml_facts(shared_parts["profile"], shared.duplicates)))
+    report = Sections()
+    for name in quality.SECTIONS:
+        report.add(name, lambda name=name: shared_parts["quality"][name])
+    report.add("overview", lambda: pinned(overview(shared)))
     if numeric:
-        report["statistics"] = report_stats(df, numeric, shared.summary)
-        report["outliers"] = pinned(outlier_analysis(df, numeric, shared.summary))
+        report.add("statistics", lambda: report_stats(df, numeric, shared.summary))
+        report.add("outliers", lambda: pinned(outlier_analysis(df, numeric, shared.summary)))
     if len(numeric) >= 2 and (wanted == "all" or "correlation" in wanted):
-        report["correlation"] = pinned(correlation.pair_report(df, "pearson", numeric))
+        report.add("correlation", lambda: pinned(correlation.pair_report(df, "pearson", numeric)))
     if numeric and (wanted == "all" or "distribution" in wanted):
-        report["distribution"] = pinned(distribution.column_report(df, numeric, shared.summary))
-        report["percentiles"] = pinned(percentiles(df, numeric))
-    report["intelligence"] = pinned(column_intelligence(df, facts=shared))
-    facts = pinned(ml_facts(profile, dup["duplicate_rows"]))
-    report["ml_readiness"] = ml_readiness(facts)
-    report["ml_recommendations"] = ml_recommendations(facts)
-    report["insights"] = report_insights(report)
-    report["business"] = business_summary(report)
-    report["column_details"] = column_details(profile, report["intelligence"])
+        report.add("distribution", lambda: pinned(distribution.column_report(df, numeric, shared.summary)))
+        report.add("percentiles", lambda: pinned(percentiles(df, numeric)))
+    report.add("intelligence", lambda: pinned(column_intelligence(df, facts=shared)))
+    report.add("ml_readiness", lambda: ml_readiness(shared_parts["facts"]))
+    report.add("ml_recommendations", lambda: ml_recommendations(shared_parts["facts"]))
+    report.add("insights", lambda: report_insights(report))
+    report.add("business", lambda: business_summary(report))
+    report.add("column_details", lambda: column_details(shared_parts["profile"], report["intelligence"]))
     return report
