@@ -154,24 +154,27 @@ def impute_knn(
     vec = base.select(*[F.col(quoted(c)).alias(f"x{j}") for j, c in enumerate(columns)])
     complete = vec.dropna().limit(n_neighbors).count()
     k = min(n_neighbors, complete)
-    means = base.agg(*[F.avg(F.col(quoted(c))).alias(f"m{j}") for j, c in enumerate(columns)]).first()
+    each = enumerate(columns)
+    means = base.agg(*[f(F.col(quoted(c))).alias(f"{n}{j}") for j, c in each for n, f in (("m", F.avg), ("v", F.var_pop))]).first()
     if k == 0:
         return base.withColumns(
             {c: F.coalesce(F.col(quoted(c)), F.lit(means[f"m{j}"])) for j, c in enumerate(columns)}
         )
     xs = [f"x{j}" for j in range(d)]
     donors = vec.dropna("all").groupBy(*xs).agg(F.count(F.lit(1)).alias("w"))
-    # Equi-depth cuts per feature; patterns of presence split cells further.
+    # Equi-depth cuts of the features that vary most, as many as can be cut in two at least: they weigh most in the
+    # distance, and with all features cut none would be. Patterns of presence split cells further.
     cells = max(1, min(max_cells, donors.count() // CELL_ROWS))
-    per_dim = max(1, int(math.floor(cells ** (1.0 / d))))
+    cut_features = sorted(range(d), key=lambda j: -(means[f"v{j}"] or 0.0))[: max(1, cells.bit_length() - 1)]
+    per_dim = max(1, int(math.floor(cells ** (1.0 / len(cut_features)) + 1e-9)))
     probs = [i / per_dim for i in range(1, per_dim)]
-    cuts = fit_quantiles(df, columns, probs) if probs else {}
+    cuts = fit_quantiles(df, [columns[j] for j in cut_features], probs) if probs else {}
 
     def bin_of(j: int):
         step = F.lit(0)
         for cut in sorted(set(cuts.get(columns[j], []))):
             step = step + (F.col(f"x{j}") > cut).cast("int")
-        return F.coalesce(step.cast("string"), F.lit("-"))
+        return F.when(F.col(f"x{j}").isNotNull(), step.cast("string")).otherwise("-")
 
     cell = F.concat_ws("|", *[bin_of(j) for j in range(d)])
     donors = donors.withColumn("cell", cell)
