@@ -8,11 +8,11 @@ with chance ``2 * (1 - s**small)**side``, at most: 9e-5 at s = 0.8.
 1. One pass per text computes the set of shingles, its size, a digest of the set, and the small keys. Equal sets
    are one class; only a representative of each goes on.
 2. Small keys that occur once can't be part of a shared table key and go before the pairs are formed.
-3. In each bucket every member is compared with the smallest one, never all with all. Verification is on full sets.
-4. Links give components. A bucket whose members fell into one component is settled. In the others, members of different
-   components that were not compared yet are compared directly when the bucket is small; the members
-   of larger ones meet through their rarest shingles: of two similar sets, the first ``n - ceil(0.8 n) + 1``
-   shingles in order of rarity share one. Links from both give the final components.
+3. In each bucket every member is compared with the most typical one (that with the most bucket mates), never all with
+   all. Verification is on full sets.
+4. Links give components. A bucket whose members fell into one component is settled. Members of the others that are in
+   different components meet through their rarest shingles: of two similar sets, the first ``n - ceil(0.8 n) + 1`` shingles in order of
+   rarity share one, and so early that enough shingles are left behind it. This is exact. Both kinds of links give the final components.
 
 Nothing is capped: a group of any size costs rows in proportion to it in step 3, and only pairs across components after that.
 """
@@ -31,8 +31,6 @@ from lumenframe.session import settle
 
 SIDE = 14
 SMALL = 3
-#: Buckets of at most so many members are finished by direct comparison of what the first round left.
-SMALL_BUCKET = 16
 
 
 def signatures(docs: DataFrame, key: str, text: str, width: int, side: int = SIDE, small: int = SMALL) -> DataFrame:
@@ -167,8 +165,11 @@ def near_duplicates(
         .select("class", F.xxhash64("l", "r").alias("bucket"))
     )
     tensored = settle(tensored)
-    buckets = tensored.groupBy("bucket").agg(F.min("class").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = settle(tensored.join(buckets, "bucket"))
+    buckets = tensored.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowded = settle(tensored.join(buckets, "bucket"))
+    typical = crowded.groupBy("class").agg(F.sum("members").alias("mates"))
+    hubs = crowded.join(typical, "class").groupBy("bucket").agg(F.max(F.struct("mates", "class"))["class"].alias("hub"))
+    members = settle(crowded.join(hubs, "bucket"))
     sizes = classes.select(F.col("class"), F.col("n"))
 
     def comparable(pairs: DataFrame) -> DataFrame:
@@ -193,13 +194,8 @@ def near_duplicates(
         labelled.where("members > 2").groupBy("bucket")
         .agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     )
-    left = settle(labelled.join(open_buckets, "bucket").select("bucket", "class", "component", "members", "hub"))
-    few = left.where((F.col("members") <= SMALL_BUCKET) & (F.col("class") != F.col("hub")))
-    one = few.select("bucket", F.col("class").alias("a"), F.col("component").alias("ca"))
-    two = few.select("bucket", F.col("class").alias("b"), F.col("component").alias("cb"))
-    direct = one.join(two, "bucket").where("a < b and ca <> cb").select("a", "b")
-    many = left.where(F.col("members") > SMALL_BUCKET).select("class", "component").distinct()
-    rest = settle(comparable(direct.unionByName(_through_rare_shingles(many, texts, sizes, width, percent)).distinct()))
+    unsettled = labelled.join(open_buckets, "bucket").select("class", "component").distinct()
+    rest = settle(_through_rare_shingles(unsettled, texts, width, percent))
     more = settle(verify(rest, texts, width, percent))
     final = components(links.unionByName(more))
 
@@ -220,7 +216,7 @@ def near_duplicates(
     )
 
 
-def _through_rare_shingles(many: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+def _through_rare_shingles(many: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` of classes of different components that share one of their rarest shingles (exact prefix filter)."""
 
     def listed(batches):
@@ -245,12 +241,14 @@ def _through_rare_shingles(many: DataFrame, texts: DataFrame, sizes: DataFrame,
     ranked = known.groupBy("class", "component").agg(F.array_sort(F.collect_list(F.struct("n_sets", "shingle"))).alias("sorted"))
     n = F.size("sorted")
     prefix = F.slice("sorted", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
-    posted = ranked.select("class", "component", F.explode(prefix).alias("s")).where("s.n_sets > 1")
-    posted = settle(posted.select("class", "component", F.col("s.shingle").alias("shingle")))
+    posted = ranked.select("class", "component", n.alias("n"), F.posexplode(prefix).alias("pos", "s")).where("s.n_sets > 1")
+    # From its place on, a set has so many shingles that may be common.
+    posted = settle(posted.select("class", "component", "n", (F.col("n") - F.col("pos")).alias("ahead"), F.col("s.shingle").alias("shingle")))
     # Lists whose sets are all of one component need no comparison.
     crossing = posted.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    posted = posted.join(crossing.select("shingle"), "shingle").join(sizes, "class")
-    one = posted.select("shingle", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    two = posted.select("shingle", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    posted = posted.join(crossing.select("shingle"), "shingle")
+    one = posted.select("shingle", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("ahead").alias("ha"))
+    two = posted.select("shingle", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("ahead").alias("hb"))
+    # At their first common shingle, similar sets still have as many ahead as they must have in common.
+    enough = (100 + percent) * F.least("ha", "hb") >= percent * (F.col("na") + F.col("nb"))
+    return one.join(two, "shingle").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()

@@ -45,9 +45,8 @@ def run(spark, rows, width=4, percent=80):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_equals_all_pairs(spark, seed, monkeypatch):
-    """Chains of edits, a passage that many share, copies, and a limit so low that large buckets take the exact way."""
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
+def test_equals_all_pairs(spark, seed):
+    """Chains of edits, a passage that many share, and copies."""
     rnd = random.Random(seed)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
     passage = [word() for _ in range(60)]
