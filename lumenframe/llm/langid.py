@@ -121,7 +121,7 @@ def train(docs: DataFrame, text: Column, lang: Column, buckets: int = BUCKETS, s
     if languages:
         sums = rows.mapInPandas(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
         packed = sums.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"))
-        for row in packed.toLocalIterator():
+        for row in packed.collect():
             pairs = np.array([(c["bucket"], c["n"]) for c in row["cells"]], dtype=np.int64)
             cells[row["lang"], pairs[:, 0]] = pairs[:, 1]
     smooth = cells + smoothing
