@@ -27,7 +27,7 @@ from lumenframe.llm.common import worker_cache
 from lumenframe.session import settle
 
 #: Pieces of one length and hash bucket, roughly; they are numbered in one task.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 2_000
 #: Words that a worker remembers with their ids.
 REMEMBERED = 200_000
 
