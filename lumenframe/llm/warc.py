@@ -277,7 +277,8 @@ def summarize(chunks: DataFrame, id_type: str = "long", id_column: str = "page_i
     responses = ends.where("refers_to_record is null")
     lengths = responses.groupBy(F.col("record_id").alias("refers_to_record")).agg(F.max("bytes_so_far").alias("full_bytes"))
     found = responses.withColumn("full_bytes", F.col("bytes_so_far")).unionByName(
-        ends.where("refers_to_record is not null").join(lengths, "refers_to_record", "left")
+        # Sizes are estimated from the list of files, far too low: no broadcast on that ground.
+        ends.where("refers_to_record is not null").join(lengths.hint("merge"), "refers_to_record", "left")
     )
     return found.select(
         record_key(F.col("record_id"), id_type).alias(id_column),
