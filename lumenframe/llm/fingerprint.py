@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import ascii_lower
-from lumenframe.session import settle
 
 SKETCH = 128
 WIDTH = 5
 BITS = 48
-#: Rows that are put in order in one task, roughly.
-RANGE_ROWS = 20_000
+#: Rows that are put in order in one task, roughly, and coarse ranges of their keys.
+RANGE_ROWS, COARSE = 5_000, 64
 
 
 def sketch(text: Column, size: int = SKETCH, width: int = WIDTH) -> Column:
@@ -90,31 +89,37 @@ def from_text(text: Column) -> Column:
 
 
 def with_next(rows: DataFrame, key: str, columns: list[str], prefix: str = "next_") -> DataFrame:
-    """``rows`` with the ``columns`` of the next row in descending order of ``key``; after the last comes the first.
+    """``rows`` with the ``columns`` of the next row in descending order of the numeric ``key``; after the last comes the first.
 
-    Null keys come last; rows of equal keys are ordered by their columns. Rows are sorted in ranges of the key; only
-    the first row of each range crosses to another one.
+    Null keys come last; rows of equal keys are ordered by their columns. Rows are sorted in ranges of the key, of about
+    ``RANGE_ROWS`` rows: quantiles cut the keys coarsely, equal steps cut each coarse range. Only the first row of each range
+    crosses to another one.
     """
-    spark = rows.sparkSession
     order = [F.desc_nulls_last(key), *[F.col(c) for c in columns if c != key]]
-    ranges = max(1, -(-rows.count() // RANGE_ROWS))
-    thin = rows.select(key)
-    # Cut points from the keys alone: quantiles of a numeric key, one per range.
-    cuts = thin.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10_000).alias("cuts")).first()["cuts"] if ranges > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    literal = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{dict(rows.dtypes)[key]}>")
-    number = F.size(F.filter(literal, lambda c: F.col(key) < c)) if cuts else F.lit(0)
-    ranged = rows.withColumn("__range", F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(number))
+    value = F.col(key).cast("double")
+    marks = F.percentile_approx(value, [i / COARSE for i in range(COARSE + 1)], 10_000)
+    size = rows.select(key).agg(F.count(key).alias("n"), marks.alias("marks")).first()
+    marks = sorted(set(size["marks"] or [0.0]))
+    steps = -(-size["n"] // (RANGE_ROWS * COARSE)) or 1
+    literal = F.array(*[F.lit(m) for m in marks])
+    coarse = F.greatest(F.size(F.filter(literal, lambda m: m <= value)), F.lit(1))  # from 1 on
+    low = F.element_at(literal, coarse)
+    wide = F.element_at(literal, F.least(coarse + 1, F.lit(len(marks)))) - low
+    fine = F.when(wide > 0, F.least(F.floor((value - low) / wide * steps), F.lit(steps - 1))).otherwise(0)
+    number = F.when(value.isNull(), F.lit(-1)).otherwise(coarse.cast("long") * steps + fine)
+    ranged = rows.withColumn("__range", number.cast("long"))
     inside = Window.partitionBy("__range").orderBy(*order)
     led = ranged.withColumn("__nth", F.row_number().over(inside)).withColumns(
         {f"{prefix}{c}": F.lead(c).over(inside) for c in columns} | {"__more": F.lead(F.lit(True)).over(inside)}
     )
-    # The first row of each range follows the last row of the range before.
+    # The first row of each range follows the last row of the range before; one thin row per range says which that is.
     firsts = ranged.withColumn("__nth", F.row_number().over(inside)).where("__nth = 1")
-    starts = [r["__range"] for r in ranged.select("__range").distinct().collect()]  # one row per range
-    starts.sort()
-    follow = spark.createDataFrame([(a, b) for a, b in zip(starts[-1:] + starts[:-1], starts)] or [], "__before int, __range int")
-    firsts = firsts.join(F.broadcast(follow), "__range").select(
+    thin = ranged.groupBy("__range").agg(F.lit(1).alias("__one"))
+    downward = Window.orderBy(F.desc("__range"))
+    wrap = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("__range").over(downward), F.last("__range").over(wrap))
+    follow = thin.select("__range", before.alias("__before"))
+    firsts = firsts.join(follow, "__range").select(
         F.col("__before").alias("__range"), *[F.col(c).alias(f"__first_{c}") for c in columns]
     )
     ends = led.where("__more is null").drop(*[f"{prefix}{c}" for c in columns]).join(firsts, "__range")

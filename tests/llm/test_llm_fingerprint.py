@@ -41,6 +41,7 @@ def test_edges(spark):
 
 def test_next_row_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fp, "RANGE_ROWS", 7)
+    monkeypatch.setattr(fp, "COARSE", 3)
     ids = [*range(0, 90, 3), None, 5000, 41, 41]
     df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(ids)], "doc_id long, text string").repartition(5)
     got = fp.with_next(df, "doc_id", ["text"]).collect()
