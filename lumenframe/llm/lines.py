@@ -62,7 +62,10 @@ def recurring_lines(
     rare = F.sum(F.when(F.col("docs") < min_docs, F.col("docs")).otherwise(0))
     varied = by_line.groupBy("leaf").agg(rare.alias("rare")).where(F.col("rare") >= min_docs).select("leaf")
     wanted = by_line.join(varied, "leaf")
-    lines = full.select("leaf", "content", "tokens", "masked").join(wanted.select("leaf", "content").distinct(), ["leaf", "content"])
+    # Texts are joined by sorting at every size, so that small tables show the plan of large ones.
+    lines = full.select("leaf", "content", "tokens", "masked").join(
+        wanted.select("leaf", "content").distinct().hint("merge"), ["leaf", "content"]
+    )
     lines = lines.groupBy("leaf", "content").agg(F.first("tokens").alias("tokens"), F.first("masked").alias("masked"))
     lines = lines.join(wanted, ["leaf", "content"])
     placed = settle(
@@ -106,7 +109,7 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str =
     )
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = docs.select(*kept).withColumn("__hash", F.xxhash64(text))
-    joined = rows.join(drops, F.col(id_column).eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__text_hash")), "left")
+    joined = rows.join(drops.hint("merge"), F.col(id_column).eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__text_hash")), "left")
     lines: Column = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drops"))
     joined = joined.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
