@@ -24,6 +24,8 @@ from lumenframe.session import settle
 #: Documents in which a template must occur to be dropped, tokens a line must have, tokens that lead to a leaf, and the share of
 #: its tokens that must be constant.
 MIN_DOCS, MIN_TOKENS, DEPTH, CONSTANT = 3, 4, 3, 0.8
+#: Lines of fewer tokens are compared as they are: their digits are no fields.
+FIELD_TOKENS = 4
 FIELD = "<*>"
 
 
@@ -33,7 +35,7 @@ def _lines(rows: DataFrame, min_tokens: int, depth: int) -> DataFrame:
     each = each.withColumn("tokens", F.regexp_count("line", F.lit(WORD))).where(F.col("tokens") >= min_tokens)
     single = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
     digits = F.regexp_replace(single, "[^ ]*[0-9][^ ]*", FIELD)
-    each = each.withColumn("masked", F.when(F.col("line").rlike("[0-9]"), digits).otherwise(single))
+    each = each.withColumn("masked", F.when((F.col("tokens") >= FIELD_TOKENS) & F.col("line").rlike("[0-9]"), digits).otherwise(single))
     return each.select(
         "doc", "hash", "pos", "tokens", "masked",
         F.xxhash64("tokens", F.substring_index("masked", " ", depth)).alias("leaf"),
@@ -45,7 +47,10 @@ def recurring_lines(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
     depth: int = DEPTH, constant: float = CONSTANT,
 ) -> DataFrame:
-    """``doc, hash, drops``: for each document (id and hash of its text) the sorted numbers of the lines to drop, from 0."""
+    """``doc, hash, drops``: for each document (id and hash of its text) the sorted numbers of the lines to drop, from 0.
+
+    With ``min_tokens`` 1 every line that is not blank counts.
+    """
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text")).where("text is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
     full = _lines(rows, min_tokens, depth)

@@ -1,5 +1,6 @@
 """Line templates: what recurs goes but for its first occurrence, variable fields included."""
 
+import corpus_pipeline as cp
 from lumenframe.llm import lines
 
 LEGAL = "Copyright held by {} and others, all rights are reserved worldwide today"
@@ -43,3 +44,15 @@ def test_repeats_inside_nulls_and_long(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_pipeline_drops_short_lines(spark):
+    """Lines below four tokens count, as they are: a number in them is no field."""
+    own = ["alpha beta gamma delta", "one red house stood", "nobody came at noon", "so it went on"]
+    rows = [(i, f"{w}\nAll rights reserved.\n\nLes.\nPage {i}\n{i}", "en", "s", 1) for i, w in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.drop_lines(spark, docs, "").collect()}
+    assert got[0] == (rows[0][1], 1)
+    for i in (1, 2, 3):
+        text = f"{own[i]}\n\nPage {i}\n{i}"
+        assert got[i] == (text, len(text))
