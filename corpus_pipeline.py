@@ -31,8 +31,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines, short ones too, that recur across documents; ``n_chars`` follows the text. Every row stays."""
-    cleaned = lines.drop_recurring_lines(docs.select(*COLUMNS), min_tokens=1)
+    """Documents without lines, short ones too, that recur across documents; ``n_chars`` follows the text. Every row stays.
+
+    A line of 50 tokens or more recurs from two documents on.
+    """
+    cleaned = lines.drop_recurring_lines(docs.select(*COLUMNS), min_tokens=1, long_tokens=50)
     length = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", length).select(*COLUMNS)
 

@@ -10,7 +10,8 @@ The tree is built by grouping, so the result does not depend on the order of lin
 2. Leaves seen in fewer than ``min_docs`` documents can't hold a recurring template and go at once.
 3. Lines recurring as they are are templates. Leaves whose other lines reach enough documents are generalised: only their distinct
    lines are split into tokens, and token supports are summed per (leaf, place, token).
-4. Recurring templates give the line numbers to drop per document; texts are rebuilt in one join.
+4. Where asked for, long lines that are equal word for word recur from two documents on.
+5. Recurring templates give the line numbers to drop per document; texts are rebuilt in one join.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ from lumenframe.session import settle
 MIN_DOCS, MIN_TOKENS, DEPTH, CONSTANT = 3, 4, 3, 0.8
 #: Lines of fewer tokens are compared as they are: their digits are no fields.
 FIELD_TOKENS = 4
+#: Documents from which on a long line recurs word for word.
+LONG_DOCS = 2
 FIELD = "<*>"
 
 
-def _lines(rows: DataFrame, min_tokens: int, depth: int) -> DataFrame:
-    """Lines of at least ``min_tokens`` tokens with their leaf and masked text."""
+def _lines(rows: DataFrame, min_tokens: int, depth: int, long_tokens: int | None) -> DataFrame:
+    """Lines of at least ``min_tokens`` tokens with their leaf and masked text; ``own`` is the hash of a long line's words, or null."""
     each = rows.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = each.withColumn("tokens", F.regexp_count("line", F.lit(WORD))).where(F.col("tokens") >= min_tokens)
     single = F.trim(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " "))
@@ -40,25 +43,27 @@ def _lines(rows: DataFrame, min_tokens: int, depth: int) -> DataFrame:
         "doc", "hash", "pos", "tokens", "masked",
         F.xxhash64("tokens", F.substring_index("masked", " ", depth)).alias("leaf"),
         F.xxhash64("masked").alias("content"),
+        F.when(F.lit(False) if long_tokens is None else F.col("tokens") >= long_tokens, F.xxhash64(single)).alias("own"),
     )
 
 
 def recurring_lines(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
-    depth: int = DEPTH, constant: float = CONSTANT,
+    depth: int = DEPTH, constant: float = CONSTANT, long_tokens: int | None = None,
 ) -> DataFrame:
     """``doc, hash, drops``: for each document (id and hash of its text) the sorted numbers of the lines to drop, from 0.
 
-    With ``min_tokens`` 1 every line that is not blank counts.
+    With ``min_tokens`` 1 every line that is not blank counts. Lines of ``long_tokens`` tokens or more, if given, recur from two
+    documents on where they are equal but for white space.
     """
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text")).where("text is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
-    full = _lines(rows, min_tokens, depth)
+    full = _lines(rows, min_tokens, depth, long_tokens)
     thin = settle(full.drop("masked").withColumn("document", F.xxhash64("doc", "hash")))
 
     # Leaves that enough documents reach, then how many documents have each of their lines.
     reached = thin.select("leaf", "document").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    kept = settle(thin.join(reached, "leaf"))
+    kept = settle(thin.drop("own").join(reached, "leaf"))
     by_line = kept.select("leaf", "content", "document").distinct().groupBy("leaf", "content").agg(F.count(F.lit(1)).alias("docs"))
     by_line = settle(by_line)
     exact = by_line.where(F.col("docs") >= min_docs).select("leaf", "content", F.xxhash64("leaf", "content").alias("template"))
@@ -93,8 +98,18 @@ def recurring_lines(
 
     # Occurrences of templates; those of recurring ones are dropped but for the first.
     templates = exact.unionByName(general)
-    occurring = settle(kept.join(templates, ["leaf", "content"]).select("template", "doc", "hash", "pos", "document"))
-    number = occurring.select("template", "document").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
+    columns = ["template", "doc", "hash", "pos", "document", "needed"]
+    occurring = kept.join(templates, ["leaf", "content"]).withColumn("needed", F.lit(min_docs)).select(*columns)
+    if long_tokens is not None:
+        # Long lines that fewer documents share word for word; such a group lies inside one template above, so first occurrences agree.
+        long = thin.where("own is not null")
+        few = long.select("leaf", "own", "document").distinct().groupBy("leaf", "own").count()
+        few = few.where(F.col("count").between(LONG_DOCS, min_docs - 1)).select("leaf", "own")
+        shared = long.join(few, ["leaf", "own"]).withColumn("template", F.xxhash64("leaf", "own", F.lit("long")))
+        occurring = occurring.unionByName(shared.withColumn("needed", F.lit(LONG_DOCS)).select(*columns))
+    occurring = settle(occurring)
+    number = occurring.select("template", "document", "needed").distinct().groupBy("template", "needed").count()
+    number = number.where(F.col("count") >= F.col("needed")).select("template")
     place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "hash", "pos")
     firsts = occurring.groupBy("template").agg(F.min(place).alias("first")).join(number, "template").select("template", "first")
     dropped = occurring.join(firsts, "template").where(place != F.col("first"))
