@@ -116,11 +116,12 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near-duplicates, and all without words.
 
-    Of a group's rows with its smallest id the one with the smallest text hash stays, once. Columns pass through.
+    Of a group's rows with its smallest id the one with the smallest text hash stays, once. Groups of null ids, or several under
+    one id, are groups of their own. Columns pass through.
     """
     found = near_duplicates(docs, id_column, text, width, percent, with_hash=True).where("kept")
-    own = found.where("n_shingles > 0").groupBy("component_id").agg(F.min("text_hash").alias("__hash"))
-    own = own.withColumnRenamed("component_id", "__id")
+    own = found.where("n_shingles > 0").groupBy("component").agg(F.first("component_id").alias("__id"), F.min("text_hash").alias("__hash"))
+    own = own.drop("component")
     hashed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
     some = hashed.where(~wordless).join(own, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash")))
@@ -131,12 +132,13 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", wid
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, with_hash: bool = False,
 ) -> DataFrame:
-    """Per row: ``id_column, n_shingles, component_id, kept``, and ``text_hash`` where asked for.
+    """Per row: ``id_column, n_shingles, component_id, kept``, and where asked for ``text_hash`` and ``component``.
 
     ``component_id`` is the smallest id among the rows reachable over links, ``kept`` whether the row has that id. Rows without
     words (or text) have an empty set, link with nothing and are kept. Rows that repeat an id are members of one component where
     their sets are similar, and each is kept if its component has its id. A row with a null id takes part; as null sorts last, a
-    component of null ids only has component_id null, and such rows are kept. An empty table gives an empty result; other columns are ignored.
+    component of null ids only has component_id null, and such rows are kept. ``component`` is the component's own number, null without
+    words; ids can be those of several components. An empty table gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("row_key", F.struct("doc", F.xxhash64("text").alias("hash")))
@@ -202,17 +204,19 @@ def near_duplicates(
     component = classes.select("class", "least").join(final.withColumnRenamed("node", "class"), "class", "left")
     component = component.withColumn("component", F.coalesce("component", "class"))
     lowest = component.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = component.join(lowest, "component").select("class", "component_id")
+    of_class = component.join(lowest, "component").select("class", "component_id", "component")
     out = (
-        found.select("row_key", "n", "class").join(of_class, "class").select("row_key.doc", "row_key.hash", "n", "component_id")
+        found.select("row_key", "n", "class").join(of_class, "class").select("row_key.doc", "row_key.hash", "n", "component_id", "component")
+    )
+    empty = signed.where("n = 0").select(
+        "row_key.doc", "row_key.hash", "n", F.col("row_key.doc").alias("component_id"), F.lit(None).cast("long").alias("component")
     )
-    empty = signed.where("n = 0").select("row_key.doc", "row_key.hash", "n", F.col("row_key.doc").alias("component_id"))
     return out.unionByName(empty).select(
         F.col("doc").alias(id_column),
         F.col("n").alias("n_shingles"),
         "component_id",
         F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"),
-        *([F.col("hash").alias("text_hash")] if with_hash else []),
+        *([F.col("hash").alias("text_hash"), F.col("component")] if with_hash else []),
     )
 
 

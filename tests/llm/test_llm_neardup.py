@@ -81,6 +81,14 @@ def test_one_of_each_group_stays(spark):
     assert got == sorted([(1, text, "x"), (3, "", "w"), (3, "", "w"), (4, None, "v"), (5, "else entirely", "u")], key=str)
 
 
+def test_groups_under_null_ids_or_one_id_are_apart(spark):
+    one, two = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(None, one), (None, two), (None, two), (None, "third text here"), (7, one.upper() + " y z"), (7, "quite another text"), (7, "quite another text"), (8, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, neardup.keep_one(df).collect()), key=str)
+    assert got == sorted([(None, two), (None, "third text here"), (7, rows[4][1]), (7, "quite another text")], key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (200, 200)]
     rnd = random.Random(0)
