@@ -9,7 +9,8 @@
    repeats as little as it can, and repeats evenly.
 4. Whole passes go to every document of a pattern. The rest of a pattern's words goes to documents
    in seeded hash order, found through sums by hash bucket; only the bucket in which the rest ends is
-   ordered document by document. A few more documents of fitting size close the gap.
+   ordered document by document. The gap to the document that overshoots is closed in the same way, from the unused documents that
+   fit in it, until none does.
 
 Documents are never collected; a source that holds a third of all rows is cut by hash buckets.
 """
@@ -28,8 +29,8 @@ from lumenframe.session import settle
 
 #: Hash buckets of a pattern; the last, partial pass is settled inside one of them.
 BUCKETS = 4096
-#: How many documents more are picked per pattern to close the gap that whole documents leave.
-FILL_ROUNDS = 4
+#: The seeded order of documents, with types.
+CUT = {"bucket": "int", "hash": "long", "size": "long", "tie": "long", "row": "long"}
 
 
 class Mix(NamedTuple):
@@ -164,8 +165,8 @@ def mix(
 
     * ``members`` is an array of source names; a null array or null name counts as the source null.
     * ``size`` is a count of words, null counting as 0. A document of size 0 is never taken.
-    * Whole documents are taken in the partial pass of a pattern: those inside the rest in seeded order, then, a few
-      times, the document whose size is nearest to the gap that is left, while that narrows the gap.
+    * Whole documents are taken in the partial pass of a pattern: those inside the rest in seeded order, then
+      unused ones that fit into the gap that is left, in seeded order until none fits, then the one nearest in size if that narrows the gap.
     * Order is by a seeded hash of the id, then id, size and kept columns. Rows equal in all of them are alike, so a
       rerun gives the same rows. Repeated rows are documents of their own.
     * An empty table gives an empty result. Columns not named are ignored, whatever they are called.
@@ -229,35 +230,20 @@ def mix(
         r["__pattern"]: r["gap"]
         for r in at_edge.groupBy("__pattern").agg((F.first("edge_rest") - taken_there).alias("gap")).collect()
     }
-    # What the whole documents left open is filled with the nearest sizes among the documents not taken.
-    thin = ["__pattern", "__row", "__size", "__hash", "__tie"]
-    spare = (
+    # What the whole documents left open is filled from the documents not taken.
+    key = F.struct(*[F.col(f"__{c}").cast(t).alias(c) for c, t in CUT.items()])
+    thin = ["__pattern", "__bucket", "__row", "__size", "__hash", "__tie"]
+    spare = settle(
         placed.where(F.col("__bucket") > F.col("edge")).select(*thin)
         .unionByName(at_edge.where(~F.col("__in")).select(*thin))
-        .where("__size > 0")
+        .join(F.broadcast(spark.createDataFrame(list(gaps.items()), "__pattern int, gap long")), "__pattern")
+        .where((F.col("__size") > 0) & (F.col("__size") < 2 * F.col("gap"))).select(*thin)
     )
-    fillers: list[int] = []
-    for _ in range(FILL_ROUNDS):
-        open_gaps = [(p, int(g)) for p, g in gaps.items() if g > 0]
-        if not open_gaps:
-            break
-        wanted_gaps = F.broadcast(spark.createDataFrame(open_gaps, "__pattern int, gap long"))
-        off = F.abs(F.col("gap") - F.col("__size"))
-        best = (
-            spare.where(~F.col("__row").isin(fillers))
-            .join(wanted_gaps, "__pattern")
-            .where(off < F.col("gap"))
-            .groupBy("__pattern")
-            .agg(F.min(F.struct(off.alias("off"), "__hash", "__size", "__tie", "__row")).alias("best"))
-            .collect()
-        )
-        if not best:
-            break
-        for r in best:
-            fillers.append(r["best"]["__row"])
-            gaps[r["__pattern"]] -= r["best"]["__size"]
+    fills = _fill(spare, key, gaps)
+    filled = F.exists("fills", lambda f: (F.col("__size") <= f["limit"]) & (key < f["cut"])) | F.col("__row").eqNullSafe(F.col("last"))
+    filled = F.coalesce(filled, F.lit(False))
+    at_edge, placed = at_edge.join(fills, "__pattern", "left"), placed.join(fills, "__pattern", "left")
     columns = ["__id", *[f"__keep_{i}" for i in range(len(keep))], "__members", "__size", "whole"]
-    filled = F.col("__row").isin(fillers)
     settled = at_edge.select(*columns, (F.col("__in") | filled).cast("int").alias("extra"))
     others = placed.where(F.col("__bucket") != F.col("edge")).select(
         *columns, ((F.col("__bucket") < F.col("edge")) | filled).cast("int").alias("extra")
@@ -274,6 +260,57 @@ def mix(
     return Mix(out, sizes, wanted)
 
 
+def _fill(spare: DataFrame, key: Column, gaps: dict) -> DataFrame:
+    """One row per pattern, to broadcast: ``__pattern``, ``fills``, ``last``. Documents of ``spare`` close the gaps.
+
+    A fill is the seeded order over again, over unused documents no longer than the gap and up to the first that overshoots it
+    (``cut``). It takes one document at least and leaves a gap below the size of the one at its cut, so the number of fills grows
+    with the logarithm of the gap. When no unused document fits, ``last`` is the one nearest in size if it narrows the gap.
+    The driver gets one row per pattern and fill.
+    """
+    spark, schema = spare.sparkSession, "__pattern int, fills array<struct<limit:long,cut:struct<" + ",".join(f"{c}:{t}" for c, t in CUT.items()) + ">>>"
+    gaps = {p: int(g) for p, g in gaps.items()}
+    fills: dict = {p: [] for p in gaps}
+
+    def unused(patterns: set) -> DataFrame:
+        known = F.broadcast(spark.createDataFrame([(p, fills[p], gaps[p]) for p in patterns], schema + ", gap long"))
+        taken = F.exists("fills", lambda f: (F.col("__size") <= f["limit"]) & (key < f["cut"]))
+        return spare.join(known, "__pattern").where(~taken).drop("fills")
+
+    going = {p for p, g in gaps.items() if g > 0}
+    while going:
+        fitting = unused(going).where(F.col("__size") <= F.col("gap"))
+        order = Window.partitionBy("__pattern").orderBy("__bucket")
+        sums = fitting.groupBy("__pattern", "__bucket", "gap").agg(F.sum("__size").alias("words"))
+        sums = sums.withColumn("before", F.sum("words").over(order) - F.col("words")).where(F.col("before") <= F.col("gap"))
+        # The last bucket that begins inside the gap; where it ends inside too, all fitting documents are taken.
+        ends = sums.groupBy("__pattern").agg(F.max(F.struct("__bucket", "before", "words")).alias("end"))
+        ends = {r["__pattern"]: r["end"] for r in ends.collect()}
+        open_ends = [(p, e["__bucket"], e["before"]) for p, e in ends.items() if e["before"] + e["words"] > gaps[p]]
+        cuts = {}
+        if open_ends:
+            edges = F.broadcast(spark.createDataFrame(open_ends, "__pattern int, __bucket int, before long"))
+            inside = Window.partitionBy("__pattern").orderBy("__hash", "__size", "__tie", "__row")
+            until = F.col("before") + F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+            over = fitting.join(edges, ["__pattern", "__bucket"]).withColumn("until", until).where(F.col("until") > F.col("gap"))
+            first = over.groupBy("__pattern").agg(F.min(F.struct(key.alias("cut"), (F.col("until") - F.col("__size")).alias("taken"))).alias("first"))
+            cuts = {r["__pattern"]: r["first"] for r in first.collect()}
+        for p, e in ends.items():
+            cut, taken = (cuts[p]["cut"], cuts[p]["taken"]) if p in cuts else ((BUCKETS, 0, 0, 0, 0), e["before"] + e["words"])
+            fills[p].append((gaps[p], tuple(cut)))
+            gaps[p] -= taken
+        going = {p for p in cuts if gaps[p] > 0}
+
+    last = {}
+    going = {p for p, g in gaps.items() if g > 0}
+    if going:
+        off = F.abs(F.col("gap") - F.col("__size"))
+        best = unused(going).where(off < F.col("gap")).groupBy("__pattern")
+        best = best.agg(F.min(F.struct(off.alias("off"), "__hash", "__size", "__tie", "__row")).alias("best"))
+        last = {r["__pattern"]: r["best"]["__row"] for r in best.collect()}
+    return F.broadcast(spark.createDataFrame([(p, fills[p], last.get(p)) for p in gaps], schema + ", last long"))
+
+
 def _same_members(left: DataFrame, right: DataFrame) -> Column:
     """Arrays as text: null names have no equality, so they get a mark of their own."""
     text = lambda c: F.to_json(c)

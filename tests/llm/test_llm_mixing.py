@@ -71,6 +71,16 @@ def test_nulls_ties_repeats_and_clashing_names(spark):
     assert mixing.mix(docs.limit(0), F.array("source"), mixing.count_words(F.col("text"))).rows.count() == 0
 
 
+def test_short_documents_fill_the_gap_before_a_giant(spark):
+    for seed in (1, 2, 17):
+        rows = [(0, "a", 20_000)] + [(i, "a", 100) for i in range(1, 501)] + [(1000, "b", 70_000)]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, words long")
+        # 21000 words of source a are wanted: the giant is the first to overshoot for some of the seeds.
+        mix = mixing.mix(docs, F.array("source"), F.col("words"), weights=lambda names: {"a": 0.15, "b": 0.85}, seed=seed)
+        taken = sum(r["taken"] for r in mix.rows.where("members[0] = 'a'").collect())
+        assert abs(taken - mix.targets["a"]) <= 50, seed
+
+
 def test_query_meets_targets(spark, sf):
     rows = QUERIES["op1_source_mixing"](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
