@@ -174,3 +174,14 @@ def test_no_unbounded_patterns_in_the_library():
     banned = re.compile(r"crossJoin|localCheckpoint|F\.udf\(|\.rdd\b|toLocalIterator")
     hits = [str(p) for p in (ROOT / "lumenframe").rglob("*.py") if banned.search(p.read_text())]
     assert hits == []
+
+
+def test_report_sections_are_computed(spark, sf, monkeypatch):
+    """The query says what the sections hold, not what their names promise."""
+    from __spark_entry__ import queries
+    from lumenframe.plans import eda
+
+    nothing = spark.createDataFrame([], "column string")
+    monkeypatch.setattr(eda.correlation, "pair_report", lambda *a, **b: nothing)
+    got = {r["profile"]: (r["has_correlation"], r["has_distribution"]) for r in queries()["eda7_report_sections"](spark, sf).collect()}
+    assert got["full"] == got["technical"] == (False, True) and got["quick"] == (False, False)
