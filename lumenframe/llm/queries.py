@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm import chat, fingerprint, hmm, langid, lines, mixing, neardup, packing, topk, warc
+from lumenframe.llm import chat, collocation, fingerprint, hmm, langid, lines, manifest, mixing, neardup, packing, pieces, topk, warc
 from lumenframe.llm.common import ORACLE, QUERIES, fold, query, table
 from lumenframe.session import settle, shared_folder
 
@@ -206,3 +206,73 @@ def op9_tensored_minhash(spark, sf_dir) -> DataFrame:
 def op6_line_templates(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_recurring_lines(docs)
+
+
+@query("op11_merkle_manifest")
+def op11_merkle_manifest(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = manifest.leaf([F.col(c) for c in manifest.FIELDS])
+    presented = F.when(fold("doc_id", 3) == 0, manifest.lowered()).otherwise(own)
+    rows = manifest.manifest(docs, presented=presented)
+    proof = F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", "verified")
+
+
+@query("op12_piece_codec")
+def op12_piece_codec(spark, sf_dir) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = pieces.decode(encoded, model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query(
+    "op13_suffix_collocations",
+    """
+    with piece as (
+        select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+        from documents
+    ), split as (
+        select lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') as w from piece
+    ), suffix as (
+        select lang, w[i] as w1, w[i + 1] as w2, w[i + 2] as w3 from (select lang, w, unnest(range(1, len(w) + 1)) as i from split)
+    ), f1 as (
+        select lang, w1, cast(count(*) as hugeint) as f from suffix group by all
+    ), f2 as (
+        select lang, w1, w2, cast(count(*) as hugeint) as f from suffix where w2 is not null group by all
+    ), f3 as (
+        select lang, w1, w2, w3, cast(count(*) as hugeint) as f from suffix where w3 is not null group by all having count(*) >= 10
+    ), inside as (
+        select lang, w1, w2, max(f) as most from (select lang, w1, w2, f from f3 union all select lang, w2, w3, f from f3) group by all
+    ), short as (
+        select p.lang, p.w1 || ' ' || p.w2 as phrase, p.f as a, x.f as l, y.f as r, 1000000 * p.f * p.f // (x.f * y.f) as score
+        from f2 p join f1 x on x.lang = p.lang and x.w1 = p.w1 join f1 y on y.lang = p.lang and y.w1 = p.w2
+        left join inside i on i.lang = p.lang and i.w1 = p.w1 and i.w2 = p.w2
+        where p.f >= 10 and (most is null or 100 * most < 50 * p.f)
+    ), cuts as (
+        select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 as phrase, t.f as a, x.f as l1, yz.f as r1, xy.f as l2, z.f as r2,
+               1000000 * t.f * t.f // (x.f * yz.f) as s1, 1000000 * t.f * t.f // (xy.f * z.f) as s2
+        from f3 t join f1 x on x.lang = t.lang and x.w1 = t.w1 join f2 yz on yz.lang = t.lang and yz.w1 = t.w2 and yz.w2 = t.w3
+        join f2 xy on xy.lang = t.lang and xy.w1 = t.w1 and xy.w2 = t.w2 join f1 z on z.lang = t.lang and z.w1 = t.w3
+    ), scored as (
+        select * from short
+        union all
+        select lang, phrase, a, if(s1 <= s2, l1, l2), if(s1 <= s2, r1, r2), least(s1, s2) from cuts
+    ), ranked as (
+        select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from scored
+    ), sizes as (
+        select lang, sum(f) as n from f1 group by lang
+    )
+    select lang, rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n,
+           cast(score as bigint) as score
+    from ranked join sizes using (lang) where rank <= 2000
+    """,
+)
+def op13_suffix_collocations(spark, sf_dir) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))

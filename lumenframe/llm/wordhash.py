@@ -55,8 +55,8 @@ def groups(texts: list, limit: int = GROUP_BYTES):
         yield first, held
 
 
-def words(texts: list[bytes]) -> Words:
-    """All words of the texts."""
+def words(texts: list[bytes], salt: int = 0) -> Words:
+    """All words of the texts. Another ``salt`` gives other hashes."""
     data = np.frombuffer(b"".join(t.lower() + b" " for t in texts), dtype=np.uint8)
     space = _SPACE[data]
     before = np.empty_like(space)
@@ -72,7 +72,7 @@ def words(texts: list[bytes]) -> Words:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(len(body), dtype=np.int32) - np.repeat(first.astype(np.int32), lengths)
-    factors = seeds(int(lengths.max()), 11) | np.uint64(1)
+    factors = seeds(int(lengths.max()), 11 + 1000 * salt) | np.uint64(1)
     terms = (body.astype(np.uint64) + np.uint64(1)) * factors[place]
     hashes = mix(np.add.reduceat(terms, first) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return Words(hashes, offsets, starts, ends, data)

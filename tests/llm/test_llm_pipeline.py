@@ -6,7 +6,7 @@ from lumenframe.session import settle
 
 
 def test_registered_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in (1, 2, 4, 5, 3, 7, 8, 10, 9, 6)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in (1, 2, 4, 5, 3, 7, 8, 10, 9, 6, 11, 12, 13)]
     assert set(ORACLE) <= set(QUERIES) and cp.QUERIES["pipeline"] is cp.run
 
 
