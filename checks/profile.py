@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.base import (
@@ -19,6 +22,7 @@ from checks.base import (
 )
 from lumenframe.operators import catalog, describe, filters, frequency, select
 from lumenframe.sources import readers, writers
+from lumenframe.sources.delimited import read_records
 from lumenframe.streaming.ingest import ingest_delimited
 
 CUSTOMER = "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, round(c_acctbal, 2) as c_acctbal, c_mktsegment from customer"
@@ -50,6 +54,50 @@ def _(spark, sf):
     return _customer(readers.read_delimited(spark, _as_csv(spark, sf, "\t"), sep="\t"))
 
 
+_NOTES = """case when c_custkey % 3 = 0 then concat('line one of ', c_name, chr(10), 'and "two", ', c_mktsegment)
+  when c_custkey % 3 = 1 then concat('"', c_mktsegment, '"', chr(10), chr(10), 'end') else c_mktsegment end as note"""
+NOTES = f"select c_custkey, case when c_custkey % 10 = 7 then null else round(c_acctbal, 2) end as c_acctbal, {_NOTES} from customer where c_custkey % 10 <> 0"
+
+
+def _notes_file(spark, sf):
+    """Customers with quoted line breaks; every tenth record has too many fields, every tenth a balance that is no number."""
+    path = scratch(spark)
+    rows = table(spark, sf, "customer").selectExpr("c_custkey", "c_acctbal", _NOTES)
+    cell = F.concat(F.lit('"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"'))
+    balance = F.when(F.col("c_custkey") % 10 == 7, F.lit("unknown")).otherwise(F.round("c_acctbal", 2).cast("string"))
+    extra = F.when(F.col("c_custkey") % 10 == 0, F.lit(",more,fields")).otherwise(F.lit(""))
+    rows.select(F.concat(F.col("c_custkey").cast("string"), F.lit(","), balance, F.lit(","), cell, extra).alias("value")).write.text(path)
+    return path
+
+
+_NOTES_SCHEMA = "c_custkey bigint, c_acctbal double, note string"
+
+
+@query("src1_csv_quoted_line_breaks", NOTES)
+def _(spark, sf):
+    return tidy(readers.read_delimited(spark, _notes_file(spark, sf), ",", _NOTES_SCHEMA, header=False), 2)
+
+
+@query("src1_csv_rows_of_any_projection", union_all(
+    [("n_rows", "count(*)"), ("n_keys", "count(c_custkey)"), ("keys", "sum(c_custkey)"), ("n_balances", "count(c_acctbal)"), ("characters", "sum(length(note))")],
+    lambda f: f"select '{f[0]}' as figure, cast({f[1]} as bigint) as n from ({NOTES})",
+))
+def _(spark, sf):
+    """Each figure comes from a reading of its own column alone."""
+    df = readers.read_delimited(spark, _notes_file(spark, sf), ",", _NOTES_SCHEMA, header=False)
+    figures = {"n_rows": F.count(F.lit(1)), "n_keys": F.count("c_custkey"), "keys": F.sum("c_custkey"), "n_balances": F.count("c_acctbal"),
+               "characters": F.sum(F.length("note"))}
+    return reduce(DataFrame.unionByName, [df.agg(f.cast("long").alias("n")).withColumn("figure", F.lit(k)) for k, f in figures.items()])
+
+
+@query("src8_rejected_records", """select 'too many fields' as reason, cast(5 as bigint) as fields, count(*) as records, cast(sum(c_custkey) as bigint) as keys
+  from customer where c_custkey % 10 = 0 having count(*) > 0""")
+def _(spark, sf):
+    found = read_records(spark, _notes_file(spark, sf), ",", "UTF-8", _NOTES_SCHEMA, header=False)
+    key = F.regexp_extract("record", "^[0-9]+", 0).cast("bigint")
+    return tidy(found.rejects.groupBy("reason", "fields").agg(F.count(F.lit(1)).alias("records"), F.sum(key).alias("keys")))
+
+
 def _json_lines(spark, sf, build):
     """Documents of at most 500 customers each, one per line."""
     path = scratch(spark)

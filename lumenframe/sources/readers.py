@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.numbers import quoted
 from lumenframe.operators.catalog import missing_as_null
+from lumenframe.sources.delimited import read_records
 
 DELIMITERS = [",", "\t", ";", "|"]
 WRAPPER_KEYS = ["data", "records", "rows", "results"]
@@ -24,17 +27,22 @@ def require_rows(df: DataFrame) -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The candidate that splits the header most often and the next lines as often; comma otherwise."""
-    lines = [r["value"] for r in spark.read.text(path).where(F.length("value") > 0).limit(5).collect()]
-    best, score = ",", 0
-    for d in DELIMITERS:
-        counts = [line.count(d) for line in lines]
-        if counts and counts[0] > score and all(c == counts[0] for c in counts):
-            best, score = d, counts[0]
-    if score == 0 and lines:
-        most = max(DELIMITERS, key=lines[0].count)
-        best = most if lines[0].count(most) else ","
-    return best
+    """The candidate that most lines have as often as the first one, confirmed over all lines in one aggregate; comma otherwise.
+
+    Quoted parts don't count. Candidates that agree equally often are told apart by their number in the first line.
+    """
+    lines = spark.read.text(path).where(F.length("value") > 0)
+    head = lines.limit(1).collect()
+    if not head:
+        return ","
+    bare = re.sub('"[^"]*"', "", head[0]["value"])
+    counts = {d: bare.count(d) for d in DELIMITERS if d in bare}
+    if not counts:
+        return ","
+    rest = F.regexp_replace("value", '"[^"]*+"', "")
+    agree = lines.agg(*[F.avg((F.regexp_count(rest, F.lit(re.escape(d))) == n).cast("double")).alias(f"d{i}") for i, (d, n) in enumerate(counts.items())])
+    shares = dict(zip(counts, agree.first()))
+    return max(counts, key=lambda d: (shares[d], counts[d]))
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -52,21 +60,20 @@ def read_delimited(
     encoding: str | None = None,
     skip_bad_lines: bool = True,
     header: bool = True,
+    rejects_to: str | None = None,
 ) -> DataFrame:
-    """Delimited text, with a header unless stated, read in splits of any number of rows.
+    """Delimited text, with a header unless stated, read in splits of any number of rows; see ``delimited.read_records``.
 
-    Without ``schema`` the types are inferred from the data; a line with too many fields
-    is dropped (or kept with NULLs when ``skip_bad_lines`` is off).
+    Line breaks inside quotes belong to their field. Without ``schema`` the types are inferred from all cells. A record
+    with too many fields is left out (or cut off when ``skip_bad_lines`` is off); a cell that is not of its type is null. What is left out
+    goes as a table of ``file, reason, fields, record`` to the folder ``rejects_to``, if given.
     """
-    reader = (
-        spark.read.option("header", header)
-        .option("sep", sep or sniff_delimiter(spark, path))
-        .option("encoding", encoding or detect_encoding(spark, path))
-        .option("mode", "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE")
-        .option("escape", '"')
+    found = read_records(
+        spark, path, sep or sniff_delimiter(spark, path), encoding or detect_encoding(spark, path), schema, header, keep_long=not skip_bad_lines
     )
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return missing_as_null(reader.csv(path))
+    if rejects_to is not None:
+        found.rejects.write.mode("append").parquet(rejects_to)
+    return missing_as_null(found.rows)
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False, shape: str | None = None) -> DataFrame:

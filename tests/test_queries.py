@@ -10,6 +10,9 @@ from checks import load
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 SAMPLE = [
+    "src1_csv_quoted_line_breaks",
+    "src1_csv_rows_of_any_projection",
+    "src8_rejected_records",
     "src8_incremental_ingest",
     "flt9_composite_rows",
     "prf1_profile_columns",
