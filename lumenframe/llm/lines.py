@@ -10,7 +10,7 @@ The tree is built by grouping, so the result does not depend on the order of lin
 2. Leaves seen in fewer than ``min_docs`` documents can't hold a recurring template and go at once.
 3. Lines recurring as they are are templates. Leaves whose other lines reach enough documents are generalised: only their distinct
    lines are split into tokens, and token supports are summed per (leaf, place, token).
-4. Where asked for, long lines that are equal word for word recur from two documents on.
+4. Long lines that are equal word for word recur from two documents on.
 5. Recurring templates give the line numbers to drop per document; texts are rebuilt in one join.
 """
 
@@ -24,11 +24,11 @@ from lumenframe.session import settle
 
 #: Documents in which a template must occur to be dropped, tokens a line must have, tokens that lead to a leaf, and the share of
 #: its tokens that must be constant.
-MIN_DOCS, MIN_TOKENS, DEPTH, CONSTANT = 3, 4, 3, 0.8
+MIN_DOCS, MIN_TOKENS, DEPTH, CONSTANT = 3, 1, 3, 0.8
 #: Lines of fewer tokens are compared as they are: their digits are no fields.
 FIELD_TOKENS = 4
-#: Documents from which on a long line recurs word for word.
-LONG_DOCS = 2
+#: Documents from which on a long line recurs word for word, and its tokens.
+LONG_DOCS, LONG_TOKENS = 2, 50
 FIELD = "<*>"
 
 
@@ -49,17 +49,23 @@ def _lines(rows: DataFrame, min_tokens: int, depth: int, long_tokens: int | None
 
 def recurring_lines(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS,
-    depth: int = DEPTH, constant: float = CONSTANT, long_tokens: int | None = None,
+    depth: int = DEPTH, constant: float = CONSTANT, long_tokens: int | None = LONG_TOKENS, copies: DataFrame | None = None,
 ) -> DataFrame:
     """``doc, hash, drops``: for each document (id and hash of its text) the sorted numbers of the lines to drop, from 0.
 
     With ``min_tokens`` 1 every line that is not blank counts. Lines of ``long_tokens`` tokens or more, if given, recur from two
-    documents on where they are equal but for white space.
+    documents on where they are equal but for white space. ``copies``, if given, has ``doc, hash, component`` of documents that are copies
+    of each other (one row each, or a null component): they count as one document, and all of them keep what the first one keeps.
     """
     rows = docs.select(F.col(id_column).alias("doc"), F.col(text).alias("text")).where("text is not null")
     rows = rows.withColumn("hash", F.xxhash64("text"))
     full = _lines(rows, min_tokens, depth, long_tokens)
-    thin = settle(full.drop("masked").withColumn("document", F.xxhash64("doc", "hash")))
+    thin = full.drop("masked").withColumn("document", F.xxhash64("doc", "hash"))
+    if copies is not None:
+        own = copies.select(F.col("doc").alias("__doc"), F.col("hash").alias("__hash"), "component").where("component is not null")
+        thin = thin.join(own, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("hash") == F.col("__hash")), "left")
+        thin = thin.withColumn("document", F.coalesce("component", "document")).drop("__doc", "__hash", "component")
+    thin = settle(thin)
 
     # Leaves that enough documents reach, then how many documents have each of their lines.
     reached = thin.select("leaf", "document").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
@@ -107,20 +113,23 @@ def recurring_lines(
         few = few.where(F.col("count").between(LONG_DOCS, min_docs - 1)).select("leaf", "own")
         shared = long.join(few, ["leaf", "own"]).withColumn("template", F.xxhash64("leaf", "own", F.lit("long")))
         occurring = occurring.unionByName(shared.withColumn("needed", F.lit(LONG_DOCS)).select(*columns))
-    occurring = settle(occurring)
-    number = occurring.select("template", "document", "needed").distinct().groupBy("template", "needed").count()
+    # One row per template and document.
+    each = settle(occurring.groupBy("template", "needed", "document", "doc", "hash").agg(F.collect_set("pos").alias("places")))
+    number = each.select("template", "document", "needed").distinct().groupBy("template", "needed").count()
     number = number.where(F.col("count") >= F.col("needed")).select("template")
-    place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "hash", "pos")
-    firsts = occurring.groupBy("template").agg(F.min(place).alias("first")).join(number, "template").select("template", "first")
-    dropped = occurring.join(firsts, "template").where(place != F.col("first"))
-    return dropped.groupBy("doc", "hash").agg(F.sort_array(F.collect_set("pos")).alias("drops"))
+    place = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "hash", F.array_min("places").alias("pos"), "document")
+    firsts = each.groupBy("template").agg(F.min(place)["document"].alias("first")).join(number, "template")
+    own = F.array_remove("places", F.array_min("places"))
+    dropped = each.join(firsts, "template").withColumn("places", F.when(F.col("document") == F.col("first"), own).otherwise(F.col("places")))
+    dropped = dropped.where(F.size("places") > 0)
+    return dropped.groupBy("doc", "hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("drops"))
 
 
 def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_lines`` and ``n_dropped``.
 
-    Every row stays. A null text stays null (no lines); a text all of whose lines go becomes empty. Lines of fewer than ``min_tokens``
-    tokens always stay. Rows equal in id and text count as one document and lose the same lines; the first occurrence is that
+    Every row stays. A null text stays null (no lines); a text all of whose lines go becomes empty. Blank lines and lines of fewer than
+    ``min_tokens`` tokens always stay. Rows equal in id and text count as one document and lose the same lines; the first occurrence is that
     in the smallest id (null last), then hash of the text, then line. Columns named ``n_lines`` or ``n_dropped`` are
     replaced, others pass through; an empty table gives an empty result.
     """

@@ -162,14 +162,17 @@ def op9_tensored_minhash(spark, sf_dir) -> DataFrame:
     ), split as (
         select doc_id, text, string_split(text, chr(10)) as lines from rows
     ), each as (
-        select doc_id, text, i as pos, list_filter(regexp_split_to_array(lines[i + 1], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words
+        select doc_id, text, i as pos, list_filter(regexp_split_to_array(lines[i + 1], '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as plain
         from (select *, unnest(range(len(lines))) as i from split)
     ), masked as (
-        select doc_id, text, pos, len(words) as n,
-               list_transform(words, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) as words
-        from each where len(words) >= 4
+        select doc_id, text, pos, len(plain) as n, plain,
+               case when len(plain) < 4 then plain
+                    else list_transform(plain, lambda x: case when regexp_matches(x, '[0-9]') then '<*>' else x end) end as words
+        from each where len(plain) >= 1
     ), thin as (
-        select doc_id, text, pos, n, words, n || ' ' || array_to_string(words[1:3], ' ') as leaf, array_to_string(words, ' ') as content from masked
+        select doc_id, text, pos, n, words, n || ' ' || array_to_string(words[1:3], ' ') as leaf, array_to_string(words, ' ') as content,
+               case when n >= 50 then array_to_string(plain, ' ') end as own
+        from masked
     ), by_line as (
         select leaf, content, any_value(n) as n, any_value(words) as words, count(distinct (doc_id, text)) as docs from thin group by leaf, content
     ), varied as (
@@ -187,14 +190,18 @@ def op9_tensored_minhash(spark, sf_dir) -> DataFrame:
         select leaf, content, 'line ' || content as template from by_line where docs >= 3
         union all
         select leaf, content, 'general ' || leaf || ' ' || template from general where docs < 3 and constants >= 0.8 * n
+    ), pairs as (
+        select leaf, own from thin where own is not null group by leaf, own having count(distinct (doc_id, text)) = 2
     ), occurring as (
-        select template, doc_id, text, pos from thin join templates using (leaf, content)
+        select template, doc_id, text, pos, 3 as needed from thin join templates using (leaf, content)
+        union all
+        select 'long ' || own, doc_id, text, pos, 2 from thin join pairs using (leaf, own)
     ), recurring as (
-        select template from occurring group by template having count(distinct (doc_id, text)) >= 3
+        select template from occurring group by template, needed having count(distinct (doc_id, text)) >= needed
     ), numbered as (
         select *, row_number() over (partition by template order by doc_id nulls last, pos) as nth from occurring where template in (from recurring)
     ), drops as (
-        select doc_id, text, list(pos) as drops from numbered where nth > 1 group by doc_id, text
+        select doc_id, text, list(distinct pos) as drops from numbered where nth > 1 group by doc_id, text
     )
     select d.doc_id, cast(coalesce(len(string_split(d.text, chr(10))), 0) as bigint) as n_lines,
            cast(coalesce(len(drops), 0) as bigint) as n_dropped,

@@ -1,6 +1,11 @@
 """Language identification: held-out accuracy, pieces of long texts, edge cases."""
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm import langid
@@ -40,15 +45,57 @@ def test_no_training_rows(spark):
     assert langid.identify(docs, m).collect()[0]["lang_pred"] == "und"
 
 
-def test_slices_count_every_gram_once(monkeypatch):
-    text = "Ein Satz, mit 3 Zahlen; und noch einer! " * 30
-    whole = np.zeros(64, dtype=int)
-    for points, _, later in langid._slices([text]):
-        for h in langid._grams(points, later, 64):
-            whole += np.bincount(h, minlength=64)
-    monkeypatch.setattr(langid, "SLICE", 50)
-    parts = np.zeros(64, dtype=int)
-    for points, _, later in langid._slices([text]):
-        for h in langid._grams(points, later, 64):
-            parts += np.bincount(h, minlength=64)
-    assert (whole == parts).all()
+def plain_grams(text):
+    """Buckets of a text's n-grams, one by one."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    while "  " in letters:
+        letters = letters.replace("  ", " ")
+    points = np.array([ord(c) for c in " " + (letters[1:] if letters.startswith(" ") else letters) + ("" if letters.endswith(" ") else " ")], dtype=np.uint32)
+    return [int(langid._gram_hashes(points[i : i + n], n, langid.BUCKETS)[0]) for n in range(1, langid.MAX_N + 1) for i in range(len(points) - n + 1)]
+
+
+def plain_bayes(training, texts):
+    """Naive Bayes with dictionaries: log odds per language."""
+    grams, docs = {}, Counter()
+    for text, lang in training:
+        grams.setdefault(lang, Counter()).update(plain_grams(text))
+        docs[lang] += 1
+    out = []
+    for text in texts:
+        odds = {}
+        for lang in sorted(grams):
+            size = sum(grams[lang].values()) + 0.5 * langid.BUCKETS
+            odds[lang] = math.log(docs[lang] / len(training)) + sum(math.log((grams[lang][g] + 0.5) / size) for g in plain_grams(text))
+        out.append(odds)
+    return out
+
+
+@pytest.mark.parametrize("labels, per_slice", [(3, 128), (7, 2), (300, 128)])
+def test_like_plain_bayes_in_any_slices(spark, labels, per_slice):
+    """Any number of labels, null ones left out, in slices of any size; labels that sort oddly among them."""
+    rng = random.Random(labels)
+    alphabets = ["abcde fgh", "nopq rstéü", "αβγδ ε", "a-1 b.c", "xyz"]
+    names = ["", "Z", "a", "é", "zz", "日本", "𐀀"] + [f"l{i}" for i in range(labels)]
+    training = [("".join(rng.choice(alphabets[i % 5]) for _ in range(40)) + names[i], names[i]) for i in range(labels) for _ in range(2)]
+    docs = spark.createDataFrame([*training, (None, "a"), ("abc", None)], "text string, lang string")
+    models = langid.train(docs, F.col("text"), F.col("lang"), per_slice=per_slice)
+    assert models.languages == sorted({n for _, n in training}) and len(models.slices) == -(-labels // per_slice)
+    texts = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(30)) + "q" for _ in range(12)] + ["a", "B -- b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    found = [(r["lang_pred"], r["score"]) for r in langid.identify(rows, models).orderBy("id").collect()]
+    for (name, score), odds in zip(found, plain_bayes(training, texts), strict=True):
+        best = max(odds.values())
+        assert odds[name] > best - 1e-3  # the table has single precision
+        assert score == pytest.approx(1 / sum(math.exp(x - best) for x in odds.values()), abs=1e-3)
+
+
+def test_pieces_hold_every_gram_once(monkeypatch):
+    texts = ["Ein Satz, mit 3 Zahlen; und noch einer! " * 30, "a", "kurz " * 9, "ab" * 200]
+    for size in (1 << 18, 50, 7):
+        monkeypatch.setattr(langid, "SLICE", size)
+        found = [[] for _ in texts]
+        for points, text, starts, owned in langid._batches(texts):
+            for h, sizes in langid._grams(points, starts, owned, langid.BUCKETS):
+                for i, g in zip(np.repeat(text, sizes).tolist(), h.tolist(), strict=True):
+                    found[i].append(g)
+        assert [sorted(f) for f in found] == [sorted(plain_grams(t)) for t in texts]

@@ -34,3 +34,37 @@ def test_odd_rows(spark, sf):
             docs = settle(stage(spark, docs, sf))
         packed = cp.STAGES[-1][1](spark, docs, sf).collect()
         assert not {2, 3, 4} & {r["doc_id"] for r in packed}
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_near_duplicates_are_found_after_line_dedup(spark):
+    """What the rule finds in the raw texts, by brute force, goes; and copies don't empty each other."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*cp.COLUMNS)
+    raw = {r["doc_id"]: shingles(r["text"].lower()) for r in rows.collect()}
+    group = {i: i for i in raw}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    posted = {}
+    for i, own in raw.items():
+        for s in own:
+            posted.setdefault(s, []).append(i)
+    pairs = {(a, b) for ids in posted.values() for x, a in enumerate(ids) for b in ids[x + 1 :]}
+    for a, b in pairs:
+        if 100 * len(raw[a] & raw[b]) >= 80 * len(raw[a] | raw[b]):
+            group[max(root(a), root(b))] = min(root(a), root(b))
+    redundant = sum(group[i] != i for i in raw)
+    cleaned = settle(cp.drop_lines(spark, rows, ""))
+    left = cp.drop_near_duplicates(spark, cleaned, "")
+    kept = [root(r["doc_id"]) for r in left.collect()]
+    again = len(kept) - len(set(kept))
+    assert redundant > 50 and again <= 0.1 * redundant
+    assert len({root(i) for i in raw} - set(kept)) <= 0.005 * len(raw)  # texts that were alike but for a shared line
+    assert cleaned.where("trim(text) = ''").count() <= rows.where("trim(text) = ''").count()
