@@ -1,10 +1,15 @@
-"""Exact quantiles with linear interpolation, by narrowing brackets.
+"""Exact quantiles with linear interpolation, in two scans.
 
 The built-in exact ``percentile`` holds a key's distinct values in one task, so it is
-used only for keys whose checked row count is small. Larger keys are solved in a few
-scans: a quantile sketch proposes a bracket around each wanted rank, an exact count
-confirms or corrects it, and the values left in the bracket are sorted once they are few.
-The result does not depend on the sketch's accuracy.
+used only for keys whose checked row count is small. For larger keys:
+
+1. One scan counts the rows of every key and sketches its distribution, once for all wanted quantiles. The sketch is mergeable and its
+   error is bounded, so it gives a bracket of values around each wanted rank.
+2. One scan counts, per bracket, the values below it and each value inside it. What lies inside is a small share of the rows; it
+   is laid out in ranges, and prefix sums over the ranges find the value of each rank.
+
+The counts also tell whether a bracket holds its rank; if one does not, it is widened and counted again. So the result does not
+depend on the sketch's accuracy.
 """
 
 from __future__ import annotations
@@ -12,13 +17,16 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenframe.operators.frequency import SMALL_ROWS, numeric_long
+from lumenframe.operators.order import rank_values
+from lumenframe.session import settle
 
 INLINE_ROWS = SMALL_ROWS
 SKETCH = 10_000
+#: Half the width of a bracket, as a share of the rows: twice the sketch's error. Keys of fewer rows than this has room for ranks are one bracket.
+MARGIN = 2 / SKETCH
 
 
 def quantile_frame(
@@ -39,101 +47,59 @@ def quantile_frame(
     exact = F.percentile("value", F.array(*[F.lit(p) for p in probs])).alias("q")
     if rows is not None and rows <= inline_rows:
         return long.groupBy(key).agg(exact)
-    counts = {r[key]: r["n"] for r in long.groupBy(key).agg(F.count("value").alias("n")).collect()}
-    if not counts or max(counts.values()) <= inline_rows:
+    ends = [e for p in probs for e in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
+    sketch = F.percentile_approx("value", ends, SKETCH).alias("ends")
+    found = long.groupBy(key).agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), sketch).collect()
+    found = [r for r in found if r["n"]]
+    if not found or max(r["n"] for r in found) <= inline_rows:
         return long.groupBy(key).agg(exact)
-    return _selected(long, probs, key, counts, inline_rows)
+    return _selected(long, probs, key, found)
 
 
-def _selected(long, probs, key, counts, inline_rows) -> DataFrame:
+def _selected(long: DataFrame, probs: list[float], key: str, found: list) -> DataFrame:
     spark = long.sparkSession
-    wanted = {}
-    for k, n in counts.items():
-        for p in probs:
-            h = p * (n - 1)
-            for r in {math.floor(h), math.ceil(h)}:
-                wanted[(k, r)] = None
-    ends = long.groupBy(key).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    limits = {r[key]: (r["lo"], r["hi"]) for r in ends}
-    state = {(k, r): [*limits[k], 0, counts[k]] for k, r in wanted}
     key_type = long.schema[key].dataType.simpleString()
-    while True:
-        open_ = {t: s for t, s in state.items() if s[3] > inline_rows and s[0] != s[1]}
-        if not open_:
-            break
-        rows = [(k, r, s[0], s[1], (r - s[2] + 0.5) / s[3]) for (k, r), s in open_.items()]
-        box = spark.createDataFrame(rows, f"_k {key_type}, _r long, _lo double, _hi double, _p double")
-        inside = long.join(
-            F.broadcast(box), (F.col(key) == F.col("_k")) & F.col("value").between(F.col("_lo"), F.col("_hi"))
-        )
-        grid = [i / 200 for i in range(201)]
-        sketch = inside.groupBy("_k", "_r").agg(F.percentile_approx("value", grid, SKETCH).alias("g")).collect()
-        narrow = []
-        for row in sketch:
-            p = (row["_r"] - state[(row["_k"], row["_r"])][2] + 0.5) / state[(row["_k"], row["_r"])][3]
-            i = min(199, int(p * 200))
-            lo, hi = row["g"][max(0, i - 1)], row["g"][min(200, i + 2)]
-            narrow.append((row["_k"], row["_r"], lo, hi))
-        nb = spark.createDataFrame(narrow, f"_k2 {key_type}, _r2 long, _a double, _b double")
-        tally = (
-            inside.join(F.broadcast(nb), (F.col("_k") == F.col("_k2")) & (F.col("_r") == F.col("_r2")))
-            .groupBy("_k", "_r", "_a", "_b")
-            .agg(
-                F.count_if(F.col("value") < F.col("_a")).alias("less"),
-                F.count_if(F.col("value").between(F.col("_a"), F.col("_b"))).alias("mid"),
-                F.count_if(F.col("value") == F.col("_a")).alias("at_a"),
-                F.max(F.when(F.col("value") < F.col("_a"), F.col("value"))).alias("under"),
-                F.min(F.when(F.col("value") > F.col("_b"), F.col("value"))).alias("over"),
-                F.min(F.when(F.col("value") > F.col("_a"), F.col("value"))).alias("next"),
-            )
-            .collect()
-        )
-        for row in tally:
-            t = (row["_k"], row["_r"])
-            lo, hi, below, count = state[t]
-            r = t[1]
-            if r < below + row["less"]:
-                new = [lo, row["under"], below, row["less"]]
-            elif r >= below + row["less"] + row["mid"]:
-                used = row["less"] + row["mid"]
-                new = [row["over"], hi, below + used, count - used]
-            else:
-                new = [row["_a"], row["_b"], below + row["less"], row["mid"]]
-            if new[3] == count:
-                # Nothing was cut away: peel off the smallest value, which must be heavy.
-                if r < below + row["at_a"]:
-                    new = [row["_a"], row["_a"], below, row["at_a"]]
-                else:
-                    new = [row["next"], hi, below + row["at_a"], count - row["at_a"]]
-            state[t] = new
-    values = {t: s[0] for t, s in state.items() if s[0] == s[1]}
-    rest = [(k, r, s[0], s[1], r - s[2]) for (k, r), s in state.items() if s[0] != s[1]]
-    if rest:
-        box = spark.createDataFrame(rest, f"_k {key_type}, _r long, _lo double, _hi double, _at long")
-        few = (
-            long.join(
-                F.broadcast(box), (F.col(key) == F.col("_k")) & F.col("value").between(F.col("_lo"), F.col("_hi"))
-            )
-            .groupBy("_k", "_r", "_at", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        upto = F.sum("n").over(W.partitionBy("_k", "_r").orderBy("value"))
-        hit = few.withColumn("upto", upto).where(
-            (F.col("_at") < F.col("upto")) & (F.col("_at") >= F.col("upto") - F.col("n"))
-        )
-        for row in hit.collect():
-            values[(row["_k"], row["_r"])] = row["value"]
+    wanted = {(r[key], rank): i for r in found for i, p in enumerate(probs) for rank in _ranks(p, r["n"])}
+    values: dict = {}
+    widen = False
+    while wanted:
+        brackets: dict = {}  # (key, lo, hi) -> ranks in it
+        for r in found:
+            whole = widen or MARGIN * r["n"] < 2
+            for (k, rank), i in wanted.items():
+                if k == r[key]:
+                    lo, hi = (r["lo"], r["hi"]) if whole else (r["ends"][2 * i], r["ends"][2 * i + 1])
+                    brackets.setdefault((k, float(lo), float(hi)), []).append(rank)
+        box = spark.createDataFrame([(k, lo, hi, i) for i, (k, lo, hi) in enumerate(brackets)], f"_k {key_type}, _lo double, _hi double, _box int")
+        inside = long.join(F.broadcast(box), (F.col(key) == F.col("_k")) & (F.col("value") <= F.col("_hi")))  # one row per key and quantile
+        counted = inside.groupBy("_box", F.when(F.col("value") >= F.col("_lo"), F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        counted = settle(counted)
+        below = {r["_box"]: r["n"] for r in counted.where("value is null").collect()}
+        places = [(i, rank - below.get(i, 0)) for i, ranks in enumerate(brackets.values()) for rank in ranks]
+        at = spark.createDataFrame(places, "_b int, _at long")
+        ranked = rank_values(counted.where("value is not null"), "_box")
+        hit = ranked.join(F.broadcast(at), (F.col("_box") == F.col("_b")) & (F.col("_at") >= F.col("before")) & (F.col("_at") < F.col("before") + F.col("n")))
+        names = list(brackets)
+        for r in hit.select("_b", "_at", "value").collect():
+            values[names[r["_b"]][0], r["_at"] + below.get(r["_b"], 0)] = r["value"]
+        wanted = {t: i for t, i in wanted.items() if t not in values}
+        widen = True
     out = []
-    for k, n in counts.items():
+    for r in found:
         q = []
         for p in probs:
-            h = p * (n - 1)
-            lo, hi = values[(k, math.floor(h))], values[(k, math.ceil(h))]
+            h = p * (r["n"] - 1)
+            lo, hi = (values[r[key], rank] for rank in (math.floor(h), math.ceil(h)))
             q.append(float(lo + (h - math.floor(h)) * (hi - lo)))
-        out.append((k, q))
+        out.append((r[key], q))
     return spark.createDataFrame(out, f"{key} {key_type}, q array<double>")
 
 
+def _ranks(p: float, n: int) -> set[int]:
+    h = p * (n - 1)
+    return {math.floor(h), math.ceil(h)}
+
+
 def fit_quantiles(df: DataFrame, cols: list[str], probs: list[float], approx: bool = False) -> dict[str, list[float]]:
     """Quantiles per numeric column as driver scalars, for fitted parameters."""
     rows = None if approx else df.count()

@@ -31,7 +31,8 @@ from lumenframe.session import settle
 
 #: Inside of a quoted field: anything but a quote, and pairs of quotes.
 _INNER = r'[^"]*+(?:""[^"]*+)*+'
-_WHOLE, _HEAD, _TAIL, _MIDDLE = 0, 1, 2, 3
+#: Part of a record that a task has: all of it, or its end, beginning or middle, where it crosses the border of a split.
+WHOLE, HEAD, TAIL, MIDDLE = 0, 1, 2, 3
 #: Characters of a record that crosses the border of a split, at most; a quote that is never closed would make one of the whole file.
 LONGEST = 1 << 26
 
@@ -80,11 +81,11 @@ class _Rules:
         return F.when(F.contains(record, F.lit('"')), F.transform(F.regexp_extract_all(led, F.lit(self.field), F.lit(0)), unquoted)).otherwise(plain)
 
 
-def text_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """``value, file, block, pos`` of every line; ``file, block`` name the split, ``pos`` ascends within it."""
+def text_lines(spark: SparkSession, path: str, encoding: str, end: str = "\n") -> DataFrame:
+    """``value, file, block, pos`` of every line, or of what another character ends; ``file, block`` name the split, ``pos`` ascends within it."""
     value = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
     return (
-        spark.read.option("lineSep", "\n")
+        spark.read.option("lineSep", end)
         .text(path)
         .select(
             value.alias("value"),
@@ -149,7 +150,7 @@ def _assemble(lines: DataFrame, inside: set[tuple[str, int]]) -> DataFrame:
 
         def rest():
             """What is held when a split ends."""
-            return [("\n".join(held), *key, first, _MIDDLE if head else _TAIL)] if held else []
+            return [("\n".join(held), *key, first, MIDDLE if head else TAIL)] if held else []
 
         for batch in batches:
             value, file, block, pos, out, within = (batch.column(i) for i in range(6))
@@ -168,7 +169,7 @@ def _assemble(lines: DataFrame, inside: set[tuple[str, int]]) -> DataFrame:
                 held.append(v)
                 state = w if state else o
                 if not state:
-                    found.append(("\n".join(held), f, b, first, _HEAD if head else _WHOLE))
+                    found.append(("\n".join(held), f, b, first, HEAD if head else WHOLE))
                     held, head = [], False
                 size += len(v)
                 if size > 4 << 20 and found:
@@ -183,21 +184,23 @@ def _assemble(lines: DataFrame, inside: set[tuple[str, int]]) -> DataFrame:
     return wanted.mapInArrow(run, "value string, file string, block long, pos long, role int")
 
 
-def _stitched(parts: DataFrame, longest: int) -> DataFrame:
+def stitched(parts: DataFrame, longest: int, glue: str) -> DataFrame:
     """``value, file, block, pos, reason`` of records that cross borders. One that never ends, or is longer than ``longest``, is not
     stitched: its parts are bad, each by itself."""
     parts = settle(parts)  # about two a split
     order = Window.partitionBy("file").orderBy("block", "role")
     runs = parts.select("file", "block", "role", F.length("value").alias("size"))
-    runs = runs.withColumn("run", F.sum((F.col("role") == _TAIL).cast("int")).over(order))
-    totals = runs.groupBy("file", "run").agg(F.max((F.col("role") == _HEAD).cast("int")).alias("closed"), F.sum("size").alias("total"))
+    runs = runs.withColumn("run", F.sum((F.col("role") == TAIL).cast("int")).over(order))
+    totals = runs.groupBy("file", "run").agg(F.max((F.col("role") == HEAD).cast("int")).alias("closed"), F.sum("size").alias("total"))
     why = F.when(F.col("closed") == 0, "open quote").when(F.col("total") > longest, "too long")
     judged = runs.join(totals, ["file", "run"]).select("file", "block", "role", "run", why.alias("reason"))
     known = parts.join(judged, ["file", "block", "role"])
-    whole = known.where("reason is null").groupBy("file", "run").agg(F.sort_array(F.collect_list(F.struct("block", "role", "value", "pos"))).alias("p"))
-    first = F.col("p")[0]
-    good = whole.select(F.array_join("p.value", "\n").alias("value"), "file", first["block"].alias("block"), first["pos"].alias("pos"), F.lit(None).cast("string").alias("reason"))
-    return good.unionByName(known.where("reason is not null").select("value", "file", "block", "pos", "reason"))
+    extra = [c for c in parts.columns if c not in ("value", "file", "block", "pos", "role")]  # taken from the first part
+    part = F.struct("block", "role", "value", "pos", *extra)
+    whole = known.where("reason is null").groupBy("file", "run").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    first = [F.col("p")[0][c].alias(c) for c in ("block", "pos", *extra)]
+    good = whole.select(F.array_join("p.value", glue).alias("value"), "file", *first, F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(known.where("reason is not null").select("value", "file", "block", "pos", *extra, "reason"))
 
 
 def records(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8", longest: int = LONGEST) -> DataFrame:
@@ -209,16 +212,16 @@ def records(spark: SparkSession, path: str, sep: str, encoding: str = "UTF-8", l
     lines = text_lines(spark, path, encoding)
     stated = lines.withColumns({"out": rules.after_outside(F.col("value")), "inside": rules.after_inside(F.col("value"))})
     states = split_states(_split_functions(stated)).collect()
-    whole, stitched = lines, None
+    whole, crossing = lines, None
     if any(r["opened"] for r in states):
         inside = _inside_splits(lines, states)
         assembled = _assemble(stated, inside)
-        whole = assembled.where(F.col("role") == _WHOLE).drop("role")
+        whole = assembled.where(F.col("role") == WHOLE).drop("role")
         if inside or any(r["end"] for r in states):
-            stitched = _stitched(assembled.where(F.col("role") != _WHOLE), longest)
+            crossing = stitched(assembled.where(F.col("role") != WHOLE), longest, "\n")
     out = whole.withColumn("reason", F.lit(None).cast("string"))
-    if stitched is not None:
-        out = out.unionByName(stitched)
+    if crossing is not None:
+        out = out.unionByName(crossing)
     return out.withColumn("value", F.regexp_replace("value", "\r\\z", "")).where(F.trim("value") != "")
 
 

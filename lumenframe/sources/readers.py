@@ -11,9 +11,9 @@ from pyspark.sql import types as T
 from lumenframe.functions.numbers import quoted
 from lumenframe.operators.catalog import missing_as_null
 from lumenframe.sources.delimited import read_records
+from lumenframe.sources.json_documents import WRAPPER_KEYS, read_document
 
 DELIMITERS = [",", "\t", ";", "|"]
-WRAPPER_KEYS = ["data", "records", "rows", "results"]
 
 
 class EmptyDataError(ValueError):
@@ -85,7 +85,9 @@ def read_json(spark: SparkSession, path: str, lines: bool = False, shape: str |
     ``wrapper``, ``columns``) states it instead. With ``lines`` every line is a document of
     its own, which lets Spark split the input; lines are taken as records unless stated.
     """
-    df = spark.read.json(path, multiLine=not lines)
+    if not lines:
+        return read_document(spark, path, shape)
+    df = spark.read.json(path)
     shape = shape or ("records" if lines else None)
     types = {f.name: f.dataType for f in df.schema.fields}
     if shape in (None, "wrapper"):
