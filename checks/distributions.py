@@ -138,9 +138,9 @@ def _(spark, sf):
     return tidy(distribution.box_summary(numeric_long(EV.df(spark, sf), EVC)))
 
 
-@query("dst16_violin_compare", union_all(LI_NUM[2:], lambda c: _kde(c, "lineitem")))
+@query("dst16_violin_compare", union_all(LI_NUM, lambda c: _kde(c, "lineitem")))
 def _(spark, sf):
-    return _density(distribution.kde(numeric_long(table(spark, sf, "lineitem"), LI_NUM[2:])))
+    return _density(distribution.kde(numeric_long(table(spark, sf, "lineitem"), LI_NUM)))
 
 
 # --- transforms ----------------------------------------------------------------------------------------

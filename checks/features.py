@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import LI_GAPS, Fixture, query, table, tidy
+from lumenframe.functions.collections import inline_elements, inline_members
 from lumenframe.functions.dates import calendar_parts, iso_text
 from lumenframe.functions.numbers import safe_round
 from lumenframe.operators import features
@@ -152,6 +153,9 @@ def _(spark, sf):
 
 @query("scl13_json_arrays_inlined", "select e.vec_id, u.i::bigint as i, round(u.v::double, 4) + 0.0 as v from embeddings e, (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) u where u.vec_id = e.vec_id")
 def _(spark, sf):
-    em = table(spark, sf, "embeddings")
-    pairs = F.arrays_zip(F.sequence(F.lit(0), F.size("embedding") - 1).alias("i"), F.col("embedding").alias("v"))
-    return tidy(em.select("vec_id", F.inline(pairs)).toDF("vec_id", "i", "v"))
+    return tidy(inline_elements(table(spark, sf, "embeddings"), "embedding", ["vec_id"]))
+
+
+@query("scl13_json_members_inlined", "select event_id, key, cast(json_extract_string(props, '$.' || key) as bigint) as value from (select event_id, props, unnest(json_keys(props)) as key from events)")
+def _(spark, sf):
+    return inline_members(table(spark, sf, "events"), "props", ["event_id"], "bigint")

@@ -59,9 +59,9 @@ def _ranked(src, cols):
     return f"(select {ranks} from {src})"
 
 
-@query("cor2_spearman", _report(_pairs_sql(_ranked(_filled, COLS[:5]), COLS[:5])))
+@query("cor2_spearman", _report(_pairs_sql(_ranked(_filled, COLS), COLS)))
 def _(spark, sf):
-    return tidy(correlation.pair_report(COR.df(spark, sf), "spearman", COLS[:5]))
+    return tidy(correlation.pair_report(COR.df(spark, sf), "spearman", COLS))
 
 
 def _tau(a, b, src):
@@ -77,7 +77,19 @@ def _(spark, sf):
     return tidy(correlation.pair_report(PART.df(spark, sf), "kendall"))
 
 
-@query("cor3_kendall_lineitem")
+# Discordant pairs: for every quantity, rows of a smaller one with a higher price.
+_LINEITEM_TAU = """with c as (select l_quantity as x, l_extendedprice as y, cast(count(*) as double) as w from lineitem group by all),
+  above as (select c.x, t.x as q, c.w, sum(case when c.x < t.x then c.w else 0 end) over (
+      partition by t.x order by c.y desc range between unbounded preceding and current row exclude group) as before
+    from c join (select distinct x from c) t on true),
+  parts as (select (select sum(w * before) from above where x = q) as d, (select sum(w) from c) as n, (select sum(w * (w - 1) / 2) from c) as txy,
+    (select sum(w * (w - 1) / 2) from (select sum(w) as w from c group by x)) as tx, (select sum(w * (w - 1) / 2) from (select sum(w) as w from c group by y)) as ty),
+  counted as (select *, n * (n - 1) / 2 as every from parts)
+  select round((every - tx - ty + txy - 2 * d) / sqrt((every - tx) * (every - ty)), 6) + 0.0 as tau, cast(n as bigint) as n,
+    every - tx - ty + txy - d as concordant, d as discordant from counted"""
+
+
+@query("cor3_kendall_lineitem", _LINEITEM_TAU)
 def _(spark, sf):
     return tidy(correlation.kendall_tau(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice"), 6)
 
@@ -279,11 +291,18 @@ for _how in MERGED:
     _merge(_how)
 
 
-@query("joi4_merge_suffixes", "select a.l_orderkey, a.l_linenumber, a.l_quantity as l_quantity_old, b.l_quantity as l_quantity_new from (select l_orderkey, l_linenumber, l_quantity from lineitem where l_orderkey % 2 = 0) a join (select l_orderkey, l_linenumber, l_quantity + 1 as l_quantity from lineitem) b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber")
+# Every other order number is one that the left table lacks.
+_SHIFTED = "case when l_orderkey % 2 = 0 then l_orderkey else -l_orderkey end"
+
+
+@query("joi4_merge_suffixes", f"""select b.l_orderkey, b.l_linenumber, a.l_quantity as l_quantity_old, b.l_quantity as l_quantity_new
+  from (select l_orderkey, l_linenumber, l_quantity from lineitem) a
+  right join (select {_SHIFTED} as l_orderkey, l_linenumber, l_quantity + 1 as l_quantity from lineitem) b
+    on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber""")
 def _(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    other = li.withColumn("l_quantity", F.col("l_quantity") + 1)
-    out = joins.merge_datasets(li.where("l_orderkey % 2 = 0"), other, ["l_orderkey", "l_linenumber"], "inner", ("_old", "_new"))
+    other = li.selectExpr(f"{_SHIFTED} as l_orderkey", "l_linenumber", "l_quantity + 1 as l_quantity")
+    out = joins.merge_datasets(li, other, ["l_orderkey", "l_linenumber"], "right", ("_old", "_new"))
     return out.withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
 
 

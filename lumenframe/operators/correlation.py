@@ -14,9 +14,9 @@ from lumenframe.functions.numbers import band, number, quoted, ratio
 from lumenframe.operators import catalog
 from lumenframe.operators.frequency import numeric_frequencies
 from lumenframe.operators.joins import lookup
-from lumenframe.operators.order import rank_values, value_ranges
+from lumenframe.operators.order import rank_values
 from lumenframe.plans.rules import emit, first_names, fixed, pinned
-from lumenframe.session import checkpoint, settle
+from lumenframe.session import settle
 
 
 def strength(r: Column) -> Column:
@@ -35,6 +35,8 @@ def zero_filled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 PAIRS_PER_JOB = 300
+#: Rows of a counting problem that one task takes, and ranges into which a larger one is cut.
+LEAF_ROWS, FAN = 200_000, 64
 
 
 def _per_pair(df: DataFrame, cols: list[str], aggregate) -> DataFrame:
@@ -94,64 +96,70 @@ def _inversions(y: np.ndarray, w: np.ndarray) -> float:
     return total
 
 
-def kendall_tau(df: DataFrame, a: str, b: str, rows_per_bucket: int | None = None) -> DataFrame:
-    """Exact tau-b of two columns: ``tau, n, concordant, discordant``.
+def _inverted(rows: pd.DataFrame) -> pd.DataFrame:
+    """Weight of the pairs of rows with x ascending and y descending, of one problem."""
+    rows = rows.sort_values(["x", "y"], kind="stable")
+    return pd.DataFrame({"pair": [int(rows["pair"].iloc[0])], "d": [_inversions(rows["y"].to_numpy(), rows["w"].to_numpy())]})
+
 
-    Discordant pairs are counted without forming pairs. Both columns are cut into ranges;
-    pairs in different ranges of both are counted on the small range-by-range table, pairs
-    that share a range of ``a`` inside that range, and pairs that share only a range of
-    ``b`` inside that one. Equal rows are merged first, and a range that holds a single
-    value has no pair to count, so one heavy value is never gathered.
+def _discordant(cells: DataFrame, leaf: int, fan: int) -> DataFrame:
+    """``pair, d``: weight of discordant pairs among ``pair, x, y, w``, in parts.
+
+    Dominance counting by a tree with ``fan`` branches. A problem of more than ``leaf`` rows is cut into ranges of x and of y. Its pairs of
+    rows lie in different ranges of both, which the small range-by-range table tells; or in one range of x, which is a
+    smaller problem; or in one range of y only, which is another one with ranges for x. All problems of a level, of all pairs of
+    columns, are handled by the same jobs, and no problem that one task gets has more than ``leaf`` or ``fan ** 2`` rows. A problem with one x or
+    one y has no such pairs, so copies of a value are never gathered.
     """
-    pairs = df.select(number(df, a).alias("x"), number(df, b).alias("y")).dropna()
-    # Read about ten times below, so it is written once to the shared folder.
-    freq = checkpoint(pairs.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
-    xs, ys = freq.groupBy("x").agg(F.sum("w").alias("w")), freq.groupBy("y").agg(F.sum("w").alias("w"))
-    binned = settle(value_ranges(value_ranges(freq, "x", "bx", rows_per_bucket), "y", "by", rows_per_bucket))
-
-    # One cell per pair of ranges: as many ranges as partitions, whatever the rows.
-    grid = binned.groupBy("bx", "by").agg(F.sum("w").alias("w")).toPandas()
-    across = 0.0
-    if len(grid) > 1:
-        at_x, at_y = (np.unique(grid[c], return_inverse=True)[1] for c in ("bx", "by"))
-        m = np.zeros((at_x.max() + 1, at_y.max() + 1))
-        m[at_x, at_y] = grid["w"]
-        earlier = np.cumsum(m, axis=0) - m
-        above = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier
-        across = float((m * above).sum())
-
-    def within(order_first: str, rank: str):
-        def count(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values([order_first, rank], kind="stable")
-            return pd.DataFrame({"d": [_inversions(pdf[rank].to_numpy(), pdf["w"].to_numpy())]})
-
-        return count
-
-    def spread(bucket: str, value: str) -> DataFrame:
-        mixed = binned.groupBy(bucket).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-        return binned.join(F.broadcast(mixed.where("lo < hi").select(bucket)), bucket, "left_semi")
-
-    same_x = spread("bx", "x").groupBy("bx").applyInPandas(within("x", "y"), "d double")
-    crossing = spread("by", "y").groupBy("by", "bx", "y").agg(F.sum("w").alias("w"))
-    same_y = crossing.groupBy("by").applyInPandas(within("bx", "y"), "d double")
-    inner = same_x.unionByName(same_y).agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("d"))
-
-    def ties(frame: DataFrame, name: str) -> DataFrame:
-        return frame.agg(F.coalesce(F.sum(F.col("w") * (F.col("w") - 1) / 2), F.lit(0.0)).alias(name))
-
-    total = F.coalesce(F.sum("w"), F.lit(0.0)).alias("n")
-    both = F.coalesce(F.sum(F.col("w") * (F.col("w") - 1) / 2), F.lit(0.0)).alias("txy")
-    parts = [freq.agg(total, both), ties(xs, "tx"), ties(ys, "ty"), inner]
-    scalars = {k: v for p in parts for k, v in p.first().asDict().items()}
-    n, tx, ty, txy = (scalars[k] for k in ("n", "tx", "ty", "txy"))
-    discordant = scalars["d"] + across
-    all_pairs = n * (n - 1) / 2
-    concordant = all_pairs - tx - ty + txy - discordant
-    scale = ((all_pairs - tx) * (all_pairs - ty)) ** 0.5
-    tau = (concordant - discordant) / scale if scale else None
-    return df.sparkSession.createDataFrame(
-        [(tau, int(n), concordant, discordant)], "tau double, n bigint, concordant double, discordant double"
-    )
+    probs = [i / fan for i in range(1, fan)]
+    todo, parts = cells.withColumn("id", F.col("pair").cast("string")), []
+    while True:
+        todo = settle(todo.groupBy("id", "pair", "x", "y").agg(F.sum("w").alias("w")))
+        sizes = todo.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+        sizes = settle(sizes.where("lox < hix and loy < hiy").select("id", "rows"))
+        few = todo.join(sizes.where(F.col("rows") <= leaf).select("id"), "id", "left_semi")
+        parts.append(few.groupBy("id").applyInPandas(_inverted, "pair int, d double"))
+        large = sizes.where(F.col("rows") > leaf).select("id")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        many = todo.join(large, "id", "left_semi")
+        cuts = many.groupBy("id").agg(*[F.percentile_approx(c, probs, 4 * fan).alias(f"cut_{c}") for c in "xy"])
+        at = [F.size(F.filter(f"cut_{c}", lambda cut, c=c: cut < F.col(c))).alias(f"b{c}") for c in "xy"]
+        placed = settle(many.join(cuts, "id").select("id", "pair", "x", "y", "w", *at))
+        grid = placed.groupBy("id", "pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")).agg(F.sum("w").alias("w"))
+        parts.append(grid.groupBy("id").applyInPandas(_inverted, "pair int, d double"))
+        same_x = placed.select(F.concat_ws("x", "id", "bx").alias("id"), "pair", "x", "y", "w")
+        same_y = placed.select(F.concat_ws("y", "id", "by").alias("id"), "pair", F.col("bx").cast("double").alias("x"), "y", "w")
+        todo = same_x.unionByName(same_y)
+
+
+def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], leaf: int = LEAF_ROWS, fan: int = FAN) -> DataFrame:
+    """Exact tau-b of pairs of columns, all in the same jobs: ``feature_a, feature_b, tau, n, concordant, discordant``.
+
+    Rows where either value is missing don't count for a pair. Equal rows are merged first; discordant pairs are counted without forming pairs.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), number(df, a).alias("x"), number(df, b).alias("y")) for i, (a, b) in enumerate(pairs)])
+    long = df.select(F.inline(cells)).where("x is not null and y is not null")
+    freq = settle(long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
+    tied = F.sum(F.col("w") * (F.col("w") - 1) / 2)
+    both = freq.groupBy("pair").agg(F.sum("w").alias("n"), tied.alias("txy"))
+    ties = [freq.groupBy("pair", c).agg(F.sum("w").alias("w")).groupBy("pair").agg(tied.alias(f"t{c}")) for c in "xy"]
+    inverted = _discordant(freq, leaf, fan).groupBy("pair").agg(F.sum("d").alias("d"))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, feature_a string, feature_b string")
+    out = reduce(lambda left, right: left.join(right, "pair", "left"), [names, both, *ties, inverted])
+    n, d = F.coalesce("n", F.lit(0.0)), F.coalesce("d", F.lit(0.0))
+    out = out.withColumns({"n": n, "d": d, **{c: F.coalesce(c, F.lit(0.0)) for c in ("tx", "ty", "txy")}})
+    every = F.col("n") * (F.col("n") - 1) / 2
+    concordant = every - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d")
+    scale = F.sqrt((every - F.col("tx")) * (every - F.col("ty")))
+    out = out.withColumn("concordant", concordant)
+    tau = (F.col("concordant") - F.col("d")) / F.nullif(scale, F.lit(0.0))
+    return out.select("feature_a", "feature_b", tau.alias("tau"), F.col("n").cast("long").alias("n"), "concordant", F.col("d").alias("discordant"))
+
+
+def kendall_tau(df: DataFrame, a: str, b: str, rows_per_bucket: int | None = None) -> DataFrame:
+    """Exact tau-b of two columns: ``tau, n, concordant, discordant``."""
+    return kendall_pairs(df, [(a, b)], rows_per_bucket or LEAF_ROWS).drop("feature_a", "feature_b")
 
 
 def correlations(df: DataFrame, method: str = "pearson", cols: list[str] | None = None) -> DataFrame:
@@ -165,8 +173,8 @@ def correlations(df: DataFrame, method: str = "pearson", cols: list[str] | None
     if method == "spearman":
         return pairwise_pearson(average_ranks(ready, cols), cols)
     if method == "kendall":
-        rows = [(a, b, kendall_tau(ready, a, b).first()["tau"]) for a, b in combinations(cols, 2)]
-        return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, r double")
+        found = kendall_pairs(ready, list(combinations(cols, 2)))
+        return found.select("feature_a", "feature_b", F.col("tau").alias("r"))
     raise ValueError(f"unknown method {method!r}")
 
 

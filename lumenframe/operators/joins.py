@@ -5,17 +5,18 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenframe.functions.numbers import quoted
-from lumenframe.session import settle
 
 #: Bytes of a table (measured, not estimated) up to which it is broadcast.
 BROADCAST_BYTES = 64 << 20
 #: Rows of one key that one task should meet; a key with more is spread.
 ROWS_PER_TASK = 1_000_000
+#: Hot keys of a side at most, and items that the sketch follows.
+MOST_HOT, TRACKED = 1_000, 20_000
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -33,13 +34,33 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
-def spread_counts(df: DataFrame, on: list[str], name: str, rows_per_task: int) -> DataFrame:
-    """Non-null keys with more rows than a task should meet, and into how many parts to spread them.
+def _key_hash(df: DataFrame, on: list[str]) -> Column:
+    """A number that equal keys share, integers and fractions of any width."""
+    cells = []
+    for c in on:
+        kind = df.schema[c].dataType
+        wide = "long" if isinstance(kind, T.IntegralType) else "double" if isinstance(kind, T.FractionalType) else None
+        cells.append(F.col(quoted(c)).cast(wide) if wide else F.col(quoted(c)))
+    return F.xxhash64(*cells)
+
+
+def _same_kinds(left: DataFrame, right: DataFrame, on: list[str]) -> bool:
+    def kind(df: DataFrame, c: str):
+        t = df.schema[c].dataType
+        return T.IntegralType if isinstance(t, T.IntegralType) else T.FractionalType if isinstance(t, T.FractionalType) else t
+
+    return all(kind(left, c) == kind(right, c) for c in on)
 
-    At most ``rows / rows_per_task`` keys.
+
+def hot_hashes(df: DataFrame, on: list[str], rows_per_task: int) -> dict[int, int]:
+    """Hash of each key with more rows than a task should meet, and into how many parts to spread them.
+
+    One pass with a mergeable sketch of ``TRACKED`` items finds at most ``MOST_HOT`` keys: all with a share of the rows that is well above
+    1 / TRACKED. Keys that it misses are hot by number but not by share; they are many, and no task meets more than a few.
     """
-    counts = df.dropna(subset=on).groupBy(*[F.col(quoted(c)) for c in on]).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > rows_per_task).select(*[F.col(quoted(c)) for c in on], F.ceil(F.col("_n") / rows_per_task).alias(name))
+    sketch = F.expr(f"approx_top_k(_h, {MOST_HOT}, {TRACKED})")
+    found = df.dropna(subset=on).select(_key_hash(df, on).alias("_h")).agg(sketch.alias("top")).first()["top"]
+    return {r["item"]: -(-r["count"] // rows_per_task) for r in found or [] if r["count"] > rows_per_task}
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -48,7 +69,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     Rows of keys hot on either side are split off. The left rows of such a key are dealt to as many parts as its left count asks for,
     the right rows to as many as theirs; every left part meets every right part once. Parts are dealt by position, not content,
     so equal rows are spread too. Rows with a missing key match nothing and are not shuffled. For inner, left, semi and anti; a left join is
-    the inner one and the left rows without a match, a semi or anti join needs each right key once.
+    the inner one and the left rows without a match, a semi or anti join needs each right key once. The table of hot keys that is
+    broadcast has at most ``2 * MOST_HOT`` rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"skew_join does not support {how!r}")
@@ -57,24 +79,29 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     if how in ("left_semi", "left_anti"):
         right = right.select([F.col(quoted(c)) for c in on]).distinct()  # one row of a key says as much as all
     keys = [F.col(quoted(c)) for c in on]
-    hot = spread_counts(left, on, "_l", rows_per_task).join(spread_counts(right, on, "_r", rows_per_task), on, "full")
-    hot = settle(hot.select(*keys, F.coalesce("_l", F.lit(1)).alias("_l"), F.coalesce("_r", F.lit(1)).alias("_r")))
-    if hot.isEmpty():
+    lefts, rights = (hot_hashes(d, on, rows_per_task) if _same_kinds(left, right, on) else {} for d in (left, right))
+    hot = left.sparkSession.createDataFrame([(h, lefts.get(h, 1), rights.get(h, 1)) for h in {**lefts, **rights}], "_h long, _l long, _r long")
+    if not lefts and not rights:
         parts = [whole.join(right, on, how)]
     else:
+        def hashed(df: DataFrame) -> DataFrame:
+            return df.withColumn("_h", _key_hash(df, on))
+
         def deal(df: DataFrame, own: str, other: str) -> DataFrame:
             """Rows of hot keys with their own part, once for each part of the other side."""
-            dealt = df.join(F.broadcast(hot), on)
+            dealt = hashed(df).join(F.broadcast(hot), "_h")
             dealt = dealt.withColumn(f"_p{own}", F.pmod(F.monotonically_increasing_id(), F.col(own)).cast("int"))
             dealt = dealt.withColumn(f"_p{other}", F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1)))
-            return dealt.drop("_l", "_r")
+            return dealt.drop("_l", "_r", "_h")
 
         marks = [*on, "_p_l", "_p_r"]
         matched = deal(whole, "_l", "_r").join(deal(right, "_r", "_l"), marks, "inner" if how == "left" else how)
-        hot_keys = F.broadcast(hot.select(*keys))
-        parts = [matched.drop("_p_l", "_p_r"), whole.join(hot_keys, on, "left_anti").join(right, on, how)]
+        hot_keys = F.broadcast(hot.select("_h"))
+        rest = hashed(whole).join(hot_keys, "_h", "left_anti").drop("_h")
+        parts = [matched.drop("_p_l", "_p_r"), rest.join(right, on, how)]
         if how == "left":
-            parts.append(whole.join(hot_keys, on, "left_semi").join(right.select(*keys).distinct(), on, "left_anti"))
+            split_off = hashed(whole).join(hot_keys, "_h", "left_semi").drop("_h")
+            parts.append(split_off.join(right.select(*keys).distinct(), on, "left_anti"))
     if how in ("left", "left_anti"):
         missing = reduce(or_, [F.col(quoted(c)).isNull() for c in on])
         parts.append(left.where(missing))
