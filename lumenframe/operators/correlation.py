@@ -102,6 +102,10 @@ def _inverted(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pair": [int(rows["pair"].iloc[0])], "d": [_inversions(rows["y"].to_numpy(), rows["w"].to_numpy())]})
 
 
+def _below(column: str):
+    return lambda cut: cut < F.col(column)
+
+
 def _discordant(cells: DataFrame, leaf: int, fan: int) -> DataFrame:
     """``pair, d``: weight of discordant pairs among ``pair, x, y, w``, in parts.
 
@@ -124,7 +128,7 @@ def _discordant(cells: DataFrame, leaf: int, fan: int) -> DataFrame:
             return reduce(DataFrame.unionByName, parts)
         many = todo.join(large, "id", "left_semi")
         cuts = many.groupBy("id").agg(*[F.percentile_approx(c, probs, 4 * fan).alias(f"cut_{c}") for c in "xy"])
-        at = [F.size(F.filter(f"cut_{c}", lambda cut, c=c: cut < F.col(c))).alias(f"b{c}") for c in "xy"]
+        at = [F.size(F.filter(f"cut_{c}", _below(c))).alias(f"b{c}") for c in "xy"]
         placed = settle(many.join(cuts, "id").select("id", "pair", "x", "y", "w", *at))
         grid = placed.groupBy("id", "pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")).agg(F.sum("w").alias("w"))
         parts.append(grid.groupBy("id").applyInPandas(_inverted, "pair int, d double"))
