@@ -35,6 +35,8 @@ def zero_filled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 PAIRS_PER_JOB = 300
+#: A value and its rank, with what a row has besides.
+RANK_BYTES = 32
 #: Rows of a counting problem that one task takes, and ranges into which a larger one is cut.
 LEAF_ROWS, FAN = 200_000, 64
 
@@ -72,11 +74,12 @@ def pairwise_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, cols: list[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Replace numbers by their average rank, through one frequency table for all columns."""
     ranked = rank_values(numeric_frequencies(df, cols), "column", rows_per_bucket=rows_per_bucket)
-    # Written once; every column then looks its ranks up in the same table.
+    # Written once; every column then looks its ranks up in the same table. One job measures the ranks of all columns.
     ranked = settle(ranked.select("column", "value", (F.col("before") + (F.col("n") + 1) / 2).alias("rank")))
+    sizes = {r["column"]: r["count"] * RANK_BYTES for r in ranked.groupBy("column").count().collect()}
     out = df
     for c in cols:
-        out = lookup(out, ranked.where(F.col("column") == c), c, "value", "rank", c)
+        out = lookup(out, ranked.where(F.col("column") == c), c, "value", "rank", c, sizes.get(c, 0))
     return out
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +53,24 @@ def _carry(laid: DataFrame, order_by: list[str], columns: list[str], forward: bo
     return filled.drop("_b", *[f"_c{i}" for i in range(len(columns))])
 
 
+def _thin(df: DataFrame, order_by: list[str], columns: list[str]) -> tuple[DataFrame, Column]:
+    """What has to be put in order, and which rows have a gap: rows without one are laid out with their keys and ``columns`` alone.
+
+    They only lend their values and go to the result as they are, without being shuffled.
+    """
+    gap = reduce(or_, [F.col(quoted(c)).isNull() for c in columns])
+    rest = [c for c in df.columns if c not in columns and c not in order_by]
+    return df.withColumns({c: F.when(gap, F.col(quoted(c))) for c in rest} | {"_gap": gap}), gap
+
+
 def _fill(df: DataFrame, order_by: list[str], columns: list[str], forward: bool, rows_per_bucket: int | None) -> DataFrame:
-    laid = lay_out(catalog.missing_as_null(df), order_by, rows_per_bucket)
-    return _carry(laid, order_by, columns, forward).select([F.col(quoted(c)) for c in df.columns])
+    names = [F.col(quoted(c)) for c in df.columns]
+    if not columns:
+        return df
+    plain = catalog.missing_as_null(df)
+    thin, gap = _thin(plain, order_by, columns)
+    filled = _carry(lay_out(thin, order_by, rows_per_bucket), order_by, columns, forward)
+    return filled.where("_gap").select(names).unionByName(plain.where(~gap).select(names))
 
 
 def forward_fill(
@@ -78,7 +95,10 @@ def interpolate(
     """Linear interpolation by position; values beyond the ends repeat the nearest one."""
     columns = columns or [c for c in catalog.numeric_columns(df) if c not in order_by]
     plain = df.withColumns({c: number(df, c) for c in columns})
-    numbered = number_rows(plain, order_by, "_i", rows_per_bucket, keep_layout=True)
+    if not columns:
+        return plain
+    thin, gap = _thin(plain, order_by, columns)
+    numbered = number_rows(thin, order_by, "_i", rows_per_bucket, keep_layout=True)
     points = {}
     for i, c in enumerate(columns):
         point = F.when(F.col(quoted(c)).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(quoted(c)).alias("v")))
@@ -92,7 +112,8 @@ def interpolate(
         p, n = F.col(f"_p{i}"), F.col(f"_n{i}")
         blend = p["v"] + (n["v"] - p["v"]) * (F.col("_i") - p["i"]) / F.nullif(n["i"] - p["i"], F.lit(0))
         out[c] = F.coalesce(F.col(quoted(c)), blend, p["v"], n["v"])
-    return marked.withColumns(out).select([F.col(quoted(c)) for c in df.columns])
+    names = [F.col(quoted(c)) for c in df.columns]
+    return marked.where("_gap").withColumns(out).select(names).unionByName(plain.where(~gap).select(names))
 
 
 # --- nearest neighbours -----------------------------------------------------------------

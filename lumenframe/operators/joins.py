@@ -109,13 +109,13 @@ def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inne
     return out.select([F.col(quoted(c)) for c in out_columns])
 
 
-def lookup(df: DataFrame, table: DataFrame, col: str, key: str, value: str, out: str) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, col: str, key: str, value: str, out: str, size: int | None = None) -> DataFrame:
     """Map a column through a ``key -> value`` table; values absent from it become NULL.
 
-    ``table`` has one row per key. It is broadcast only when its checked size is small.
+    ``table`` has one row per key. It is broadcast only when its checked size is small; ``size``, in bytes, saves the measurement where known.
     """
     small = table.select(F.col(quoted(key)).alias("_key"), F.col(quoted(value)).alias("_value"))
-    if measured_bytes(small) <= BROADCAST_BYTES:
+    if (measured_bytes(small) if size is None else size) <= BROADCAST_BYTES:
         joined = df.join(F.broadcast(small), F.col(quoted(col)) == F.col("_key"), "left")
     else:
         joined = skew_join(df.withColumn("_key", F.col(quoted(col))), small, ["_key"], "left")
