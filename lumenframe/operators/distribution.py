@@ -97,9 +97,10 @@ def kde(long: DataFrame, points: int = GRID, key: str = "column") -> DataFrame:
     box = F.floor((v - lo) / (2 * HALF_BOX * h))
     centre = lo + (F.col("box") + 0.5) * (2 * HALF_BOX * h)
     placed = long.select(key, "value").join(F.broadcast(frame), F.col(key) == F.col("_k")).withColumn("box", box)
+    placed = placed.withColumn("u", (v - centre) / h)
     powers = [F.lit(1.0)]
     for _ in range(1, TERMS):
-        powers.append(powers[-1] * ((v - centre) / h))
+        powers.append(powers[-1] * F.col("u"))
     boxes = placed.groupBy("_k", "h", "lo", "hi", "box").agg(*[F.sum(p).alias(f"p{k}") for k, p in enumerate(powers)])
     gap = (F.col("hi") - lo) / (points - 1)
     first = F.greatest(F.ceil((centre - REACH * h - lo) / gap), F.lit(0))
