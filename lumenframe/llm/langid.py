@@ -58,6 +58,8 @@ def _letters(text: str) -> np.ndarray:
     points = np.where(letter, points, 32)
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of others stays, as a space
+    if len(keep) and not letter[-1]:
+        keep[np.flatnonzero(letter)[-1:] + 1] = False  # that of the last run is the space at the end
     return np.concatenate(([np.uint32(32)], points[keep], [np.uint32(32)])).astype(np.uint32)
 
 
