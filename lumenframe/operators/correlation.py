@@ -129,10 +129,11 @@ def _discordant(cells: DataFrame, leaf: int, fan: int) -> DataFrame:
         large = sizes.where(F.col("rows") > leaf).select("id")
         if large.isEmpty():
             return reduce(DataFrame.unionByName, parts)
-        many = todo.join(large, "id", "left_semi")
-        cuts = many.groupBy("id").agg(*[F.percentile_approx(c, probs, 4 * fan).alias(f"cut_{c}") for c in "xy"])
+        # There are at most rows / leaf large problems, so their cuts are few; rows never meet them by a shuffle, which would bring a problem to one task.
+        many = todo.join(F.broadcast(large), "id", "left_semi")
+        cuts = settle(many.groupBy("id").agg(*[F.percentile_approx(c, probs, 4 * fan).alias(f"cut_{c}") for c in "xy"]))
         at = [F.size(F.filter(f"cut_{c}", _below(c))).alias(f"b{c}") for c in "xy"]
-        placed = settle(many.join(cuts, "id").select("id", "pair", "x", "y", "w", *at))
+        placed = settle(many.join(F.broadcast(cuts), "id").select("id", "pair", "x", "y", "w", *at))
         grid = placed.groupBy("id", "pair", F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")).agg(F.sum("w").alias("w"))
         parts.append(grid.groupBy("id").applyInPandas(_inverted, "pair int, d double"))
         same_x = placed.select(F.concat_ws("x", "id", "bx").alias("id"), "pair", "x", "y", "w")

@@ -218,3 +218,23 @@ def test_qq_points_write_out_every_copy(spark, monkeypatch):
     assert [r["sample"] for r in rows] == [1.0] + [2.0] * 10 + [3.0]
     assert rows[0]["theoretical"] == pytest.approx(-rows[-1]["theoretical"])
     assert df.agg(F.count("*")).first()[0] == 12
+
+
+def test_kendall_places_rows_without_a_shuffle(spark, monkeypatch):
+    """However many rows a problem has, they don't meet their cuts in one task."""
+    plans, settle = [], correlation.settle
+
+    def kept(frame):
+        if "bx" in frame.columns:
+            plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return settle(frame)
+
+    monkeypatch.setattr(correlation, "settle", kept)
+    df = spark.range(400).select((F.col("id") * 7 % 400).cast("double").alias("x"), (F.col("id") * 11 % 397).cast("double").alias("y"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        correlation.kendall_tau(df, "x", "y", rows_per_bucket=300)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plans and not any("Exchange hashpartitioning" in p or "SortMergeJoin" in p for p in plans)
