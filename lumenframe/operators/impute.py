@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,8 @@ MAX_CELLS = 1024
 MAX_DIRECTORY = 16_384
 CELL_ROWS = 512
 BLOCK_ROWS = 4096
+#: Distances of rows to cells that are bounded at once.
+ROUTED = 1 << 19
 
 
 def _carry(laid: DataFrame, order_by: list[str], columns: list[str], forward: bool) -> DataFrame:
@@ -133,27 +135,32 @@ def _gap_bounds(x: np.ndarray, present: np.ndarray, lo: np.ndarray, hi: np.ndarr
 
 
 def _block_nearest(q: np.ndarray, donors: np.ndarray, targets: np.ndarray, weights: np.ndarray, k: int):
-    """Per query row: donor positions of the k nearest (by weight), nearest first.
+    """Per query row: donor positions of the k nearest (by weight), nearest first, and all distances.
 
     Ties in distance go to the smaller target value.
     """
     d = q.shape[1]
+    by_target = np.argsort(targets, kind="stable")
     total = np.zeros((len(q), len(donors)))
     count = np.zeros((len(q), len(donors)))
     for j in range(d):
-        diff = q[:, j][:, None] - donors[:, j][None, :]
+        diff = q[:, j][:, None] - donors[by_target, j][None, :]
         ok = ~np.isnan(diff)
         total += np.where(ok, diff * diff, 0.0)
         count += ok
     with np.errstate(invalid="ignore", divide="ignore"):
         dist = (d / count) * total
     dist[count == 0] = np.nan
+    # A weight is 1 or more, so that k donors are enough; those as far as the k-th one are sorted.
+    reach = np.full(len(q), np.inf)
+    if len(donors) > k:
+        reach = np.partition(dist, k - 1, axis=1)[:, k - 1]  # NaN comes last
+        reach[np.isnan(reach)] = np.inf
     for i in range(len(q)):
-        order = np.lexsort((targets, dist[i]))
-        order = order[~np.isnan(dist[i][order])]
-        upto = np.cumsum(weights[order])
-        stop = int(np.searchsorted(upto, k)) + 1
-        yield i, order[:stop], dist[i]
+        near = np.flatnonzero(dist[i] <= reach[i])
+        near = near[np.argsort(dist[i, near], kind="stable")][:k]
+        stop = int(np.searchsorted(np.cumsum(weights[by_target[near]]), k)) + 1
+        yield by_target[near[:stop]], dist[i, near[:stop]]
 
 
 def impute_knn(
@@ -162,11 +169,12 @@ def impute_knn(
     """Fill numbers with the mean of the nearest rows that have them. Exact.
 
     Distances are nan-Euclidean: squared differences over shared features, scaled up to
-    all of them. Donors are first collapsed to distinct vectors with a weight, so copies
-    cost nothing. A directory of at most ``max_cells`` cells per missing pattern (with a
-    box and a weight each) bounds every row's distance to every cell; only cells that can
-    still hold one of the k nearest are visited, in blocks of bounded size. ``id_columns``
-    identify a row.
+    all of them. Donors are first collapsed to distinct vectors with a weight, and rows with
+    gaps to distinct vectors, so copies cost nothing. A directory of at most ``max_cells`` cells
+    per missing pattern (with a box and a weight each) bounds every row's distance to every cell.
+    The cells that surely hold k donors are visited first; the k-th distance found there tells which
+    other cells can still hold one of the k nearest. Cells are visited in blocks of bounded
+    size. ``id_columns`` are no features.
     """
     spark = df.sparkSession
     columns = columns or [c for c in catalog.numeric_columns(df) if c not in id_columns]
@@ -182,7 +190,7 @@ def impute_knn(
             {c: F.coalesce(F.col(quoted(c)), F.lit(means[f"m{j}"])) for j, c in enumerate(columns)}
         )
     xs = [f"x{j}" for j in range(d)]
-    donors = vec.dropna("all").groupBy(*xs).agg(F.count(F.lit(1)).alias("w"))
+    donors = settle(vec.dropna("all").groupBy(*xs).agg(F.count(F.lit(1)).alias("w")))
     # Equi-depth cuts of the features that vary most, as many as can be cut in two at least: they weigh most in the
     # distance, and with all features cut none would be. Patterns of presence split cells further.
     cells = max(1, min(max_cells, donors.count() // CELL_ROWS))
@@ -219,51 +227,49 @@ def impute_knn(
     lo = directory[[f"lo{j}" for j in range(d)]].to_numpy(dtype=float)
     hi = directory[[f"hi{j}" for j in range(d)]].to_numpy(dtype=float)
     names, cell_w = directory["cell"].tolist(), directory["w"].to_numpy(dtype=float)
-    blocks = [max(1, -(-int(n) // BLOCK_ROWS)) for n in directory["n"]]
+    blocks = np.array([max(1, -(-int(n) // BLOCK_ROWS)) for n in directory["n"]])
 
-    rows = base.where(F.greatest(*[F.col(quoted(c)).isNull().cast("int") for c in columns]) == 1)
-    queries = rows.select(
-        F.to_json(F.struct(*[F.col(quoted(c)) for c in id_columns])).alias("id"),
-        *[F.col(quoted(c)).alias(x) for c, x in zip(columns, xs)],
-    ).distinct()
-    n_slices = max(1, -(-queries.count() // (4 * BLOCK_ROWS)))
-    visit_schema = "id string, " + ", ".join(f"{x} double" for x in xs) + ", target int, cell string, block int, slice int"
+    gaps = F.array_compact(F.array(*[F.when(F.col(x).isNull(), F.lit(j)) for j, x in enumerate(xs)]))
+    queries = settle(vec.where(F.size(gaps) > 0).distinct().withColumn("id", F.monotonically_increasing_id()))
+    n_queries = queries.count()
+    n_slices = max(1, -(-n_queries // (4 * BLOCK_ROWS)))
+    wanted = queries.repartition(max(1, -(-n_queries // BLOCK_ROWS))).select("id", *xs, F.explode(gaps).alias("target"))
+    visit_schema = "id long, " + ", ".join(f"{x} double" for x in xs) + ", target int, cell int, block int, slice int"
+    step = max(1, ROUTED // max(1, len(names)))
 
     def route(batches):
         for pdf in batches:
-            x = pdf[xs].to_numpy(dtype=float)
-            parts = [
-                _gap_bounds(x[s : s + 256], ~np.isnan(x[s : s + 256]), lo, hi, d) for s in range(0, len(x), 256)
-            ]
-            near = np.concatenate([p[0] for p in parts] or [np.empty((0, len(lo)))])
-            far = np.concatenate([p[1] for p in parts] or [np.empty((0, len(lo)))])
-            if loose:
-                near, far = np.zeros_like(near), np.full_like(far, np.inf)
-            slices = pd.util.hash_array(pdf["id"].to_numpy(dtype=object)) % n_slices
-            out = []
-            for i in range(len(pdf)):
-                for t in np.flatnonzero(np.isnan(x[i])):
-                    usable = ~np.isnan(far[i]) & ~np.isnan(lo[:, t])
-                    idx = np.flatnonzero(usable)
-                    if not len(idx):
-                        continue
-                    by_far = idx[np.argsort(far[i][idx])]
-                    reach = np.cumsum(cell_w[by_far])
-                    stop = min(int(np.searchsorted(reach, k)), len(by_far) - 1)
-                    limit = far[i][by_far[stop]] if reach[-1] >= k else np.inf
-                    for c in idx[near[i][idx] <= limit * (1 + 1e-9)]:
-                        for b in range(blocks[c]):
-                            out.append((pdf["id"].iloc[i], *x[i], int(t), names[c], b, int(slices[i])))
-            yield pd.DataFrame(out, columns=["id", *xs, "target", "cell", "block", "slice"])
-
-    visits = queries.mapInPandas(route, visit_schema)
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
+                x = part[xs].to_numpy(dtype=float)
+                near, far = _gap_bounds(x, ~np.isnan(x), lo, hi, d)
+                if loose:
+                    near, far = np.zeros_like(near), np.full_like(far, np.inf)
+                usable = ~np.isnan(far) & ~np.isnan(lo[:, part["target"].to_numpy()]).T
+                by_far = np.argsort(np.where(usable, far, np.inf), axis=1, kind="stable")
+                weight = np.take_along_axis(usable * cell_w, by_far, axis=1)
+                first = np.empty_like(usable)
+                np.put_along_axis(first, by_far, np.cumsum(weight, axis=1) - weight < k, axis=1)
+                if "reach" in part:
+                    reach = part["reach"].fillna(np.inf).to_numpy(dtype=float)[:, None]
+                    row, cell = np.nonzero(usable & ~first & (near <= reach * (1 + 1e-9)))
+                else:
+                    row, cell = np.nonzero(usable & first)
+                times = blocks[cell]
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                out = part.iloc[row][["id", *xs, "target"]].reset_index(drop=True)
+                out["cell"] = cell
+                out["block"] = np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+                out["slice"] = pd.util.hash_array(out["id"].to_numpy()) % n_slices
+                yield out
+
     block_of = spark.createDataFrame(
-        [(n, b) for n, b in zip(names, blocks)], "cell string, blocks int"
+        [(n, i, int(b)) for i, (n, b) in enumerate(zip(names, blocks))], "cell string, d_cell int, blocks int"
     )
-    placed = donors.join(F.broadcast(block_of), "cell").withColumn(
-        "block", F.pmod(F.xxhash64(*xs), F.col("blocks")).cast("int")
+    placed = donors.join(F.broadcast(block_of), "cell").drop("cell").withColumn(
+        "d_block", F.pmod(F.xxhash64(*xs), F.col("blocks")).cast("int")
     )
-    hit_schema = "id string, target int, dist double, value double, w long"
+    hit_schema = "id long, target int, dist double, value double, w long"
 
     def search(q: pd.DataFrame, don: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -272,30 +278,37 @@ def impute_knn(
             for t, part in q.groupby("target"):
                 has = ~np.isnan(dx[:, t])
                 pool, pw = dx[has], w[has]
-                qx = part[xs].to_numpy(dtype=float)
+                qx, ids = part[xs].to_numpy(dtype=float), part["id"].tolist()
                 for start in range(0, len(qx), 256):
-                    chunk = qx[start : start + 256]
-                    for i, order, dist in _block_nearest(chunk, pool, pool[:, t], pw, k):
-                        key = part["id"].iloc[start + i]
-                        out += [(key, int(t), float(dist[o]), float(pool[o, t]), int(pw[o])) for o in order]
+                    found = _block_nearest(qx[start : start + 256], pool, pool[:, t], pw, k)
+                    for key, (order, dist) in zip(ids[start:], found):
+                        out += [(key, int(t), float(e), float(pool[o, t]), int(pw[o])) for o, e in zip(order, dist)]
         return pd.DataFrame(out, columns=["id", "target", "dist", "value", "w"])
 
-    # A donor block is copied once per query slice that visits it, so both sides of a group
-    # stay bounded.
-    slices = visits.select("cell", "block", "slice").distinct()
-    pool = placed.join(slices, ["cell", "block"]).select(
-        *xs, "w", *[F.col(c).alias(f"d_{c}") for c in ("cell", "block", "slice")]
-    )
-    hits = (
-        visits.groupBy("cell", "block", "slice")
-        .cogroup(pool.groupBy("d_cell", "d_block", "d_slice"))
-        .applyInPandas(search, hit_schema)
-    )
-    nearest_first = W.partitionBy("id", "target").orderBy("dist", "value")
+    def hits(rows: DataFrame) -> DataFrame:
+        visits = settle(rows.mapInPandas(route, visit_schema))
+        # A donor block is copied once per query slice that visits it, so both sides of a group
+        # stay bounded.
+        slices = visits.select(F.col("cell").alias("d_cell"), F.col("block").alias("d_block"), F.col("slice").alias("d_slice")).distinct()
+        pool = placed.join(slices, ["d_cell", "d_block"]).select(*xs, "w", "d_cell", "d_block", "d_slice")
+        return settle(
+            visits.groupBy("cell", "block", "slice")
+            .cogroup(pool.groupBy("d_cell", "d_block", "d_slice"))
+            .applyInPandas(search, hit_schema)
+        )
+
+    nearest_first = W.partitionBy("id", "target").orderBy("dist", "value").rowsBetween(W.unboundedPreceding, 0)
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        merged = rows.groupBy("id", "target", "dist", "value").agg(F.sum("w").alias("w"))
+        return merged.withColumn("upto", F.sum("w").over(nearest_first))
+
+    close = hits(wanted)
+    reach = ranked(close).where(F.col("upto") >= k).groupBy("id", "target").agg(F.min("dist").alias("reach"))
+    other = hits(wanted.join(reach, ["id", "target"], "left"))
     used = (
-        hits.groupBy("id", "target", "dist", "value")
-        .agg(F.sum("w").alias("w"))
-        .withColumn("before", F.coalesce(F.sum("w").over(nearest_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        ranked(close.unionByName(other))
+        .withColumn("before", F.col("upto") - F.col("w"))
         .where(F.col("before") < k)
         .withColumn("take", F.least(F.col("w"), F.lit(k) - F.col("before")))
     )
@@ -308,12 +321,14 @@ def impute_knn(
             for j in range(d)
         ]
     )
-    joined = base.withColumn("_id", F.to_json(F.struct(*[F.col(quoted(c)) for c in id_columns]))).join(
-        filled.withColumnRenamed("id", "_id"), "_id", "left"
-    )
-    return joined.withColumns(
+    fills = queries.join(filled, "id").drop("id")
+    gap = reduce(or_, [F.col(quoted(c)).isNull() for c in columns])
+    same = reduce(and_, [F.col(quoted(c)).eqNullSafe(F.col(x)) for c, x in zip(columns, xs)])
+    joined = base.where(gap).join(fills, same, "left").withColumns(
         {
             c: F.coalesce(F.col(quoted(c)), F.col(f"f{j}"), F.lit(means[f"m{j}"]).cast(T.DoubleType()))
             for j, c in enumerate(columns)
         }
-    ).select([F.col(quoted(c)) for c in df.columns])
+    )
+    out = [F.col(quoted(c)) for c in df.columns]
+    return joined.select(out).unionByName(base.where(~gap).select(out))

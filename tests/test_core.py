@@ -238,3 +238,23 @@ def test_kendall_places_rows_without_a_shuffle(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert plans and not any("Exchange hashpartitioning" in p or "SortMergeJoin" in p for p in plans)
+
+
+def test_knn_searches_for_distinct_rows_and_few_cells(spark, monkeypatch):
+    """Copies of a row with gaps are searched for once, and only in cells within reach of the k-th donor found."""
+    visited, settle = [], impute.settle
+
+    def kept(frame):
+        out = settle(frame)
+        if "slice" in frame.columns:
+            visited.append(out.count())
+        return out
+
+    monkeypatch.setattr(impute, "settle", kept)
+    monkeypatch.setattr(impute, "CELL_ROWS", 5)
+    rows = [(float(i % 40), float(i // 40), float(i)) for i in range(1600)] + [(7.0, 7.0, None)] * 50 + [(33.0, 4.0, None)] * 50
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, a double, b double, c double")
+    out = impute.impute_knn(df, ["id"], ["a", "b", "c"], 5).orderBy("id").collect()
+    want = brute_knn([*rows[:1600], rows[1600], rows[1650]], 3, 5)
+    assert [r["c"] for r in out[1600:]] == pytest.approx([want[1600][2]] * 50 + [want[1601][2]] * 50)
+    assert visited and sum(visited) < 100  # of 320 cells for each of 100 rows
