@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from lumenframe.operators import catalog, correlation, distribution
 from lumenframe.operators.describe import Facts, compact_numeric_stats, compact_text_stats, date_ranges, shapes
 from lumenframe.plans.recommend import boolean_like, kpi_candidates, target_candidates
 from lumenframe.plans.rules import emit, fixed, pinned
+from lumenframe.plans.sections import Sections
 
 FIELDS = ["id", "category", "title", "detail", "priority", "impact_score", "evidence", "action"]
 EXPORT = ["category", "title", "priority", "impact", "detail", "evidence", "action"]
@@ -33,28 +36,36 @@ def totals(facts: Facts) -> DataFrame:
     return n.withColumn("status", band(F.col("score"), (90, "excellent"), (70, "good"), (50, "fair"), otherwise="poor"))
 
 
-def dataset_statistics(df: DataFrame, max_numeric: int | None = None, max_text: int | None = None) -> dict[str, DataFrame]:
-    """All compact statistics as pinned frames. Column caps are optional arguments."""
+def dataset_statistics(df: DataFrame, max_numeric: int | None = None, max_text: int | None = None) -> Sections:
+    """All compact statistics as pinned frames, each computed when it is asked for. Column caps are optional arguments."""
     df = catalog.missing_as_null(df)
     numeric = catalog.numeric_columns(df)[:max_numeric]
     texts = catalog.text_columns(df)[:max_text]
     dates = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))]
     facts = Facts(df)
-    missing = facts.nulls.where("null_count > 0").select("column", "null_count", "null_pct")
-    out = {"totals": pinned(totals(facts)), "missing": missing, "kpis": pinned(kpi_candidates(df, facts.nulls))}
-    out["booleans"] = pinned(boolean_like(df))
-    out["dates"] = pinned(date_ranges(df, dates))
+
+    def stats() -> DataFrame:
+        return facts.summary.where(F.col("column").isin(numeric))
+
+    def placed_shapes() -> DataFrame:
+        places = df.sparkSession.createDataFrame(list(enumerate(numeric)), "position int, column string")
+        return pinned(shapes(df, numeric, stats()).join(F.broadcast(places), "column"))
+
+    out = Sections()
+    out.add("totals", lambda: pinned(totals(facts)))
+    out.add("missing", lambda: facts.nulls.where("null_count > 0").select("column", "null_count", "null_pct"))
+    out.add("kpis", lambda: pinned(kpi_candidates(df, facts.nulls)))
+    out.add("booleans", lambda: pinned(boolean_like(df)))
+    out.add("dates", lambda: pinned(date_ranges(df, dates)))
     if texts:
-        out["text"] = pinned(compact_text_stats(df, texts))
+        out.add("text", lambda: pinned(compact_text_stats(df, texts)))
     if numeric:
-        stats = facts.summary.where(F.col("column").isin(numeric))
-        out["numeric"] = pinned(compact_numeric_stats(df, numeric, stats))
-        places = df.sparkSession.createDataFrame(list(enumerate(numeric)), "position int, column string")
-        out["shapes"] = pinned(shapes(df, numeric, stats).join(F.broadcast(places), "column"))
-        out["targets"] = pinned(target_candidates(df, numeric, facts.uniques))
+        out.add("numeric", lambda: pinned(compact_numeric_stats(df, numeric, stats())))
+        out.add("shapes", placed_shapes)
+        out.add("targets", lambda: pinned(target_candidates(df, numeric, facts.uniques)))
     if len(numeric) >= 2:
-        out["pairs"] = pinned(correlation.pair_report(df, "pearson", numeric))
-        out["collinear"] = correlation.multicollinear(out["pairs"])
+        out.add("pairs", lambda: pinned(correlation.pair_report(df, "pearson", numeric)))
+        out.add("collinear", lambda: correlation.multicollinear(out["pairs"]))
     return out
 
 
@@ -74,7 +85,7 @@ def _join(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def statistical_insights(stats: dict[str, DataFrame]) -> DataFrame:
+def statistical_insights(stats: Mapping[str, DataFrame]) -> DataFrame:
     """Insights from thresholds on missing data, duplicates, outliers, correlation, skew and KPIs.
 
     Skew is looked at in the first five columns of the distribution summary, which holds numeric columns only.
@@ -143,7 +154,7 @@ def statistical_insights(stats: dict[str, DataFrame]) -> DataFrame:
     return frame.select(*FIELDS)
 
 
-def risks(stats: dict[str, DataFrame]) -> DataFrame:
+def risks(stats: Mapping[str, DataFrame]) -> DataFrame:
     """``title, severity, description, impact, mitigation``: missing data above 5 percent."""
     m = F.col("total_missing_pct")
     rule = (m > 5, {
@@ -156,7 +167,7 @@ def risks(stats: dict[str, DataFrame]) -> DataFrame:
     return emit(stats["totals"], [rule]).drop("rule")
 
 
-def kpi_rows(stats: dict[str, DataFrame]) -> DataFrame:
+def kpi_rows(stats: Mapping[str, DataFrame]) -> DataFrame:
     """``name, value, kind, trend, status`` of the first five key figures."""
     top = stats["kpis"].orderBy("position").limit(5)
     if "numeric" in stats:

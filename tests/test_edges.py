@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions import text
 from lumenframe.operators import catalog, charts, clean, correlation, describe, distribution, features, filters, hypothesis, quality
 from lumenframe.plans import eda, insights
+from lumenframe.plans.rules import pinned
 from lumenframe.sources import readers, writers
 from lumenframe.streaming.ingest import ingest_delimited
 
@@ -52,6 +53,40 @@ def test_reports_survive_degenerate_tables(spark, odd):
     assert distribution.column_report(odd.select("one")).first()["shape"] is not None
 
 
+def test_statistics_are_computed_when_asked_for(spark, odd, monkeypatch):
+    stats = insights.dataset_statistics(odd)
+    assert all(stats[name] is not None for name in stats)
+
+    def unwanted(*args, **kwargs):
+        raise AssertionError("not asked for")
+
+    for name in ("boolean_like", "compact_numeric_stats", "compact_text_stats", "kpi_candidates", "target_candidates", "totals"):
+        monkeypatch.setattr(insights, name, unwanted)
+    assert insights.dataset_statistics(odd)["pairs"].count() >= 0
+
+
+def test_reports_of_all_types_share_sections(spark, monkeypatch):
+    made, column_report = [], distribution.column_report
+    monkeypatch.setattr(distribution, "column_report", lambda *a, **k: made.append(1) or column_report(*a, **k))
+    df = spark.createDataFrame([(float(i), float(i * i % 7)) for i in range(30)], "a double, b double")
+    reports = eda.eda_reports(df)
+    assert [n for n, r in reports.items() if "distribution" in r] == ["full", "technical"] and list(reports) == list(eda.PROFILES)
+    assert all(r["distribution"].count() == 2 for r in reports.values() if "distribution" in r) and len(made) == 1
+    assert 3 in [r["rule"] for r in reports["full"]["insights"].collect()]
+    assert 3 not in [r["rule"] for r in reports["quick"]["insights"].collect()]
+    assert "distribution" in eda.eda_report(df.select("a")) and "correlation" not in eda.eda_report(df.select("a"))
+
+
+def test_outlier_counts_in_one_aggregate(spark):
+    rows = [(float(i), 5.0, float("inf") if i == 3 else float(i), None) for i in range(40)] + [(1000.0, 5.0, float("nan"), None)]
+    df = spark.createDataFrame(rows, "a double, flat double, wild double, gone double")
+    stats = pinned(describe.numeric_summary(df))
+    found = describe.outlier_counts(df, stats, df.columns)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["column"]: (r["iqr_outliers"], r["zscore_outliers"]) for r in found.collect()}
+    assert got["a"] == (1, 1) and got["flat"] == (0, 0) and got["wild"][0] == 1 and "gone" not in got
+
+
 def test_scalers_keep_flat_columns_finite(spark, odd):
     for fn in (features.scale_standard, features.scale_minmax, features.scale_robust):
         assert all(math.isfinite(r["one"]) for r in fn(odd, ["one"]).select("one").collect())
