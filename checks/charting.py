@@ -410,8 +410,7 @@ def _(spark, sf):
 @query("eda7_report_sections", """select * from (values ('full', true, true), ('quick', false, false), ('technical', true, true), ('business', false, false), ('executive', false, false)) t(profile, has_correlation, has_distribution) where (select count(*) from events) > 0""")
 def _(spark, sf):
     rows = []
-    for name in eda.PROFILES:
-        report = _events_report(spark, sf, name)
+    for name, report in eda.eda_reports(EV_GAPS.df(spark, sf)).items():
         rows.append((name, *(s in report and report[s].count() > 0 for s in ("correlation", "distribution"))))
     return spark.createDataFrame(rows, "profile string, has_correlation boolean, has_distribution boolean")
 

@@ -264,7 +264,29 @@ def eda_report(df: DataFrame, report_type: str = "full") -> Sections:
 
     Correlation and distribution exist only where the report type has them.
     """
+    return _narrowed(_sections(df), report_type)
+
+
+def eda_reports(df: DataFrame) -> dict[str, Sections]:
+    """Reports of all types by type. A section that several have is computed once."""
+    every = _sections(df)
+    return {report_type: _narrowed(every, report_type) for report_type in PROFILES}
+
+
+def _narrowed(every: Sections, report_type: str) -> Sections:
+    """The sections that a report type has; sentences follow from its own sections."""
     wanted = PROFILES.get(report_type, PROFILES["full"])
+    needs = {"correlation": "correlation", "distribution": "distribution", "percentiles": "distribution"}
+    report = Sections()
+    for name in every:
+        if wanted == "all" or name not in needs or needs[name] in wanted:
+            report.add(name, lambda name=name: every[name])
+    report.add("insights", lambda: report_insights(report))
+    report.add("business", lambda: business_summary(report))
+    return report
+
+
+def _sections(df: DataFrame) -> Sections:
     shared = Facts(df)
     df, numeric = shared.df, shared.numeric
     shared_parts = Sections()
@@ -278,9 +300,9 @@ def eda_report(df: DataFrame, report_type: str = "full") -> Sections:
     if numeric:
         report.add("statistics", lambda: report_stats(df, numeric, shared.summary))
         report.add("outliers", lambda: pinned(outlier_analysis(df, numeric, shared.summary)))
-    if len(numeric) >= 2 and (wanted == "all" or "correlation" in wanted):
+    if len(numeric) >= 2:
         report.add("correlation", lambda: pinned(correlation.pair_report(df, "pearson", numeric)))
-    if numeric and (wanted == "all" or "distribution" in wanted):
+    if numeric:
         report.add("distribution", lambda: pinned(distribution.column_report(df, numeric, shared.summary)))
         report.add("percentiles", lambda: pinned(percentiles(df, numeric)))
     report.add("intelligence", lambda: pinned(column_intelligence(df, facts=shared)))
