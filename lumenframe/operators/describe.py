@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions.dates import iso_text, to_moment
 from lumenframe.functions.numbers import (
+    number,
     percent,
     quoted,
     ratio,
@@ -29,6 +30,8 @@ from lumenframe.operators.frequency import (
 from lumenframe.operators.quantiles import INLINE_ROWS, fences, quantile_frame
 from lumenframe.plans.rules import pinned
 
+#: Columns that one aggregate counts.
+COLUMNS_PER_JOB = 300
 PERCENTILES = [1, 5, 10, 25, 50, 75, 90, 95, 99]
 
 
@@ -134,9 +137,13 @@ class Facts:
 
     def __init__(self, df: DataFrame, kinds: dict[str, str] | None = None, approx: bool = False):
         self.df = catalog.missing_as_null(df)
-        self.kinds = kinds or catalog.column_kinds(self.df)
+        self._kinds = kinds
         self.approx = approx
 
+    @cached_property
+    def kinds(self) -> dict[str, str]:
+        return self._kinds or catalog.column_kinds(self.df)
+
     @property
     def numeric(self) -> list[str]:
         return catalog.columns_of(self.df, "numeric", self.kinds)
@@ -169,7 +176,10 @@ class Profile:
 
     def __init__(self, df: DataFrame, approx: bool = False):
         self.facts = Facts(df, approx=approx)
-        self.kinds = self.facts.kinds
+
+    @property
+    def kinds(self) -> dict[str, str]:
+        return self.facts.kinds
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -352,21 +362,24 @@ def shapes(df: DataFrame, cols: list[str] | None = None, stats: DataFrame | None
 def outlier_counts(df: DataFrame, stats: DataFrame, cols: list[str], std: str = "std") -> DataFrame:
     """Join IQR and z-score outlier counts to a stats frame with ``q1, q3, mean`` and a spread.
 
-    The stats frame has one row per column, so it is broadcast to the second pass.
+    The stats frame has one row per column; its limits are literals of the second pass, one aggregate over the columns as they stand.
     """
     lower, upper = fences(F.col("q1"), F.col("q3"))
-    limits = stats.select("column", lower.alias("lower_fence"), upper.alias("upper_fence"), F.col("mean").alias("_m"), F.col(std).alias("_s"))
-    v = F.col("value")
-    z = F.abs((v - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)))
-    counts = (
-        numeric_long(df, cols)
-        .join(F.broadcast(limits), "column")
-        .groupBy("column", "lower_fence", "upper_fence")
-        .agg(
-            F.count_if((v < F.col("lower_fence")) | (v > F.col("upper_fence"))).alias("iqr_outliers"),
-            F.count_if(z > 3).alias("zscore_outliers"),
-        )
-    )
+    limits = stats.select("column", lower.alias("lower_fence"), upper.alias("upper_fence"), F.col("mean").alias("m"), F.col(std).alias("s"))
+    found = {r["column"]: r for r in limits.collect()}
+    kept = [c for c in cols if c in found]
+    schema = "column string, lower_fence double, upper_fence double, iqr_outliers bigint, zscore_outliers bigint"
+    parts = [df.sparkSession.createDataFrame([], schema)]
+    for start in range(0, len(kept), COLUMNS_PER_JOB):
+        aggs, cells = [], []
+        for i, c in enumerate(kept[start : start + COLUMNS_PER_JOB]):
+            v, (lo, hi, m, s) = number(df, c), (F.lit(x).cast("double") for x in found[c][1:])
+            z = F.abs((v - m) / F.nullif(s, F.lit(0.0)))
+            aggs += [F.count_if((v < lo) | (v > hi)).alias(f"o{i}"), F.count_if(z > 3).alias(f"z{i}")]
+            named = {"column": F.lit(c), "lower_fence": lo, "upper_fence": hi, "iqr_outliers": F.col(f"o{i}"), "zscore_outliers": F.col(f"z{i}")}
+            cells.append(F.struct(*[x.alias(name) for name, x in named.items()]))
+        parts.append(df.agg(*aggs).select(F.inline(F.array(*cells))))
+    counts = reduce(DataFrame.unionByName, parts)
     return stats.join(F.broadcast(counts), "column")
 
 
