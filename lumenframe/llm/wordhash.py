@@ -12,7 +12,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Bytes of text handled at once; a longer text is handled alone.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

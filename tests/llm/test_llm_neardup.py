@@ -101,3 +101,30 @@ def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = QUERIES["op9_tensored_minhash"](spark, sf).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(docs, 4, 80)
+
+
+def test_signatures_hold_little_memory(spark):
+    """Arrays of a worker are for a group of texts at a time, far below a batch of texts."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:
+        dtypes = [("doc_id", "bigint")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 50021}" for k in range(1000)) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    run = neardup.signatures(Rows(), "doc_id", "text", 5)
+    tracemalloc.start()
+    try:
+        assert sum(out.num_rows for out in run(iter([batch]))) == 400
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 20 << 20
