@@ -1,5 +1,9 @@
 """Line templates: what recurs goes but for its first occurrence, variable fields included."""
 
+import re
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from lumenframe.llm import lines
 
@@ -86,3 +90,21 @@ def test_pipeline_drops_long_lines_of_two_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in cp.drop_lines(spark, docs, "").collect()}
     assert got == {0: rows[0][1], 1: f"second text of its own\na line of two documents\n{almost}", 2: rows[2][1]}
+
+
+def test_lines_are_parsed_once(spark):
+    """Tokens are counted without a list of them and white space is replaced in one place; white space of all kinds is single in the end."""
+    texts = ["a b", " a b", "a b ", "a  b", "a\tb", "a\r", "\x0b", " ", "", "a\u00a0b c\u2028", "x \u2028", "é 1 b\x0cc 22", "w " * 60, "w\t" * 60, "a b c d", "a b c 4d"]
+    rows = spark.createDataFrame([(i, t, i) for i, t in enumerate([*texts, "\n".join(texts)])], "doc long, text string, hash long")
+    parsed = lines._lines(rows, 1, 3, 50)
+    want = []
+    for i, t in enumerate([*texts, "\n".join(texts)]):
+        for pos, line in enumerate(t.split("\n")):
+            words = re.findall(r"[^\x20\x09-\x0D]+", line)
+            masked = [lines.FIELD if len(words) >= lines.FIELD_TOKENS and re.search("[0-9]", w) else w for w in words]
+            want += [(i, pos, len(words), " ".join(masked), len(words) >= 50)] * bool(words)
+    got = parsed.select("doc", "pos", "tokens", "masked", F.col("own").isNotNull()).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert parsed.where("tokens = 60").select("own").distinct().count() == 1
+    plan = parsed._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan and plan.count("regexp_replace(line") == 1
