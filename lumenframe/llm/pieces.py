@@ -30,9 +30,9 @@ from lumenframe.llm.common import worker_cache
 
 SPACE = "▁"
 #: Words that a worker remembers with their ids, and characters from which on a word is not remembered.
-REMEMBERED, LONG_WORD = 200_000, 40
+REMEMBERED, LONG_WORD = 400_000, 40
 #: Characters of text handled at once; a longer text is handled alone.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 21
 #: Symbols from which on a part of a word that needs single merges is finished with a heap.
 LONG_PART = 64
 #: Rank of a pair that is no piece.
@@ -123,6 +123,17 @@ class Merger:
         self.pair_keys = np.append(keys, np.iinfo(np.int64).max)
         self.pair_merged = np.array([pairs[k] for k in keys.tolist()] + [0], dtype=np.int32)
         self.pair_rank = np.append(rank[self.pair_merged[:-1]], NONE).astype(np.int32)
+        # The same pairs by a hash of their key, the next free slot where two share one; NONE's place is an empty slot's pair.
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.slots = np.full((1 << int(64 - int(self.shift))) + len(keys) + 1, -1, dtype=np.int64)
+        slot, pending = self._slot(keys), np.arange(len(keys))
+        while len(pending):
+            own = pending[self.slots[slot[pending]] < 0]
+            self.slots[slot[own]] = own
+            pending = pending[self.slots[slot[pending]] != pending]
+            slot[pending] += 1
+        self.slots = np.where(self.slots < 0, len(keys), self.slots).astype(np.int32)
+        self.slot_keys = self.pair_keys[self.slots]
         # Ranks whose unions can be part of a pair that ranks no later.
         careful = np.zeros(int(rank.max(initial=0)) + 2, dtype=bool)
         made = np.zeros(self.size, dtype=bool)
@@ -136,6 +147,8 @@ class Merger:
         inside = {a + b for p in mergeable for a, b in zip(p, p[1:])}
         self.inside = np.array(sorted((ord(x[0]) << 21) | ord(x[1]) for x in inside), dtype=np.int64)
         self.cut_at_space = not any(x[1] == SPACE and x[0] != SPACE for x in inside)
+        # A line end belongs to no piece, so that what follows it is a word of its own.
+        self.cut_at_line = v.byte_fallback and not any("\n" in x for x in inside)
         points = sorted((ord(c), i) for c, i in symbols.items() if len(c) == 1)
         self.points = np.array([p for p, _ in points] or [-1], dtype=np.int64)
         self.point_symbol = np.array([i for _, i in points] or [0], dtype=np.int64)
@@ -143,6 +156,8 @@ class Merger:
         self.byte_ids = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(v.pieces, v.kinds)) if k == BYTE}
         self.extra = {i: c for c, i in symbols.items() if i >= len(v.pieces)}
         self.surface = [self._surface(i) for i in range(len(v.pieces))]
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else s for p, k, s in zip(v.pieces, v.kinds, self.surface)]
+        self.raw, self.kinds = pa.array(raw, pa.binary()), np.array(v.kinds)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -172,27 +187,62 @@ class Merger:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; none for null."""
         split = [self.words(t or "") for t in texts]
-        now, fresh = {}, []
-        for w in dict.fromkeys(w for words in split for w in words):
-            ids = self.known.get(w) or self.older.get(w)
-            if ids is None:
-                fresh.append(w)
-            else:
-                now[w] = ids
-        now.update(zip(fresh, self.merge(fresh)))
+        distinct = list(dict.fromkeys(w for words in split for w in words))
+        now = dict(zip(distinct, self._look_up(distinct)))
+        return [b"".join(map(now.__getitem__, words)) for words in split]
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of different words, remembered or merged now."""
+        out = list(map(self.known.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        for i in missing:
+            out[i] = self.older.get(words[i])
+        fresh = [i for i in missing if out[i] is None]
+        for i, ids in zip(fresh, self.merge([words[i] for i in fresh])):
+            out[i] = ids
         # Two generations: words in use stay when the older one goes.
-        self.known.update((w, ids) for w, ids in now.items() if len(w) < LONG_WORD)
+        self.known.update((words[i], out[i]) for i in missing if len(words[i]) < LONG_WORD)
         if len(self.known) > REMEMBERED // 2:
             self.known, self.older = {}, self.known
-        return [b"".join(map(now.__getitem__, words)) for words in split]
+        return out
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """As ``encode``; texts without runs of spaces are cut, and their different words found, by Arrow."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SPACE)), pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")))
+        odd = odd.to_numpy(zero_copy_only=False) | (not (self.cut_at_space and self.vocabulary.dummy_prefix))
+        out: list[bytes] = [b""] * len(texts)
+        apart = np.flatnonzero(odd)
+        for i, ids in zip(apart.tolist(), self.encode(texts.take(pa.array(apart)).to_pylist())):
+            out[i] = ids
+        whole = np.flatnonzero(~odd)
+        if len(whole):
+            own = texts.take(pa.array(whole))
+            # What begins with a line end has no space in front, all other words have one.
+            parts = pc.split_pattern(pc.replace_substring(own, "\n", " \n") if self.cut_at_line else own, " ")
+            coded = parts.flatten().dictionary_encode()
+            words = [w if self.cut_at_line and w[:1] == "\n" else SPACE + w for w in coded.dictionary.to_pylist()]
+            data, limits = _joined(pa.array(self._look_up(words), pa.binary()), coded.indices, parts.offsets.to_numpy())
+            for i, a, b in zip(whole.tolist(), limits, limits[1:]):
+                out[i] = data[a:b]
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def _ranks(self, symbols: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and union of each symbol with its right neighbour; ``inner`` is False at the end of a word."""
         left, right = symbols[:-1], symbols[1:]
         usable = np.flatnonzero(inner[:-1] & (left < self.size) & (right < self.size))
         keys = left[usable] * self.size + right[usable]
-        at = np.searchsorted(self.pair_keys, keys)
-        hit = self.pair_keys[at] == keys
+        slot = self._slot(keys)
+        there = self.slot_keys[slot]
+        todo = np.flatnonzero((there != keys) & (there != self.pair_keys[-1]))
+        while len(todo):
+            slot[todo] += 1
+            there = self.slot_keys[slot[todo]]
+            todo = todo[(there != keys[todo]) & (there != self.pair_keys[-1])]
+        hit, at = self.slot_keys[slot] == keys, self.slots[slot]
         rank, merged = np.full(len(symbols), NONE, dtype=np.int32), np.zeros(len(symbols), dtype=np.int32)
         rank[usable[hit]], merged[usable[hit]] = self.pair_rank[at[hit]], self.pair_merged[at[hit]]
         return rank, merged
@@ -303,6 +353,31 @@ class Merger:
 
     # --- decoding ---
 
+    def decode_column(self, ids: pa.ListArray) -> list[str]:
+        """As ``decode``, for all rows; null has no ids. The bytes of all pieces are laid out by Arrow.
+
+        Bytes that make up a valid text are valid run by run, as all other pieces are whole characters; other rows, and those with control
+        pieces, which may stand between bytes, are decoded one by one.
+        """
+        flat = ids.flatten()
+        limits = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_pylist()])
+        numbers = flat.to_numpy()
+        data, ends = _joined(self.raw, flat, limits)
+        kinds = self.kinds[numbers]
+        control = np.append(0, np.cumsum(kinds == CONTROL))[limits]
+        out = []
+        for i, (a, b) in enumerate(zip(ends, ends[1:])):
+            try:
+                text = None if control[i] < control[i + 1] else data[a:b].decode()
+            except UnicodeDecodeError:
+                text = None
+            if text is None:
+                text = self.decode(numbers[limits[i] : limits[i + 1]].tolist())
+            elif text.startswith(" ") and self.vocabulary.dummy_prefix and kinds[limits[i]] == NORMAL:
+                text = text[1:]
+            out.append(text)
+        return out
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: spaces for U+2581, without the space in front; bytes that are no character become U+FFFD, each by itself."""
         surface, strip = self.surface, self.vocabulary.dummy_prefix
@@ -352,6 +427,14 @@ def _characters(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def _joined(values: pa.Array, numbers: pa.Array, limits: np.ndarray) -> tuple[bytes, list[int]]:
+    """The numbered binary values one after another, and the bytes that lie before each of ``limits`` numbers."""
+    taken = values.take(numbers)
+    offsets, data = taken.buffers()[1:]
+    ends = np.frombuffer(offsets, dtype="<i4", count=len(taken) + 1) if len(taken) else np.zeros(1, dtype="<i4")
+    return (data.to_pybytes() if data else b""), ends[limits].tolist()
+
+
 def _merger(path: str) -> Merger:
     """The worker's own, made once."""
     cache = worker_cache()
@@ -386,7 +469,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids") ->
             column = batch.column(batch.schema.get_field_index("__text"))
             sizes = [s or 0 for s in pc.binary_length(column).to_pylist()]
             for a, b in _groups(sizes, GROUP_CHARS):
-                ids = merger.encode(column.slice(a, b - a).to_pylist())
+                ids = merger.encode_column(column.slice(a, b - a))
                 limits = np.cumsum([0, *[len(x) // 4 for x in ids]]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"), pa.int32())
                 rows = batch.slice(a, b - a).select(kept)
@@ -409,7 +492,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", to: str = "decoded") -
             column = batch.column(batch.schema.get_field_index("__ids"))
             sizes = [s or 0 for s in pc.list_value_length(column).to_pylist()]
             for a, b in _groups(sizes, GROUP_CHARS // 4):
-                texts = [merger.decode(x or []) for x in column.slice(a, b - a).to_pylist()]
+                texts = merger.decode_column(column.slice(a, b - a))
                 rows = batch.slice(a, b - a).select(kept)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*kept, to])
 
