@@ -36,6 +36,8 @@ PASSES = 6
 BLOCK_TOKENS = 1_000_000
 #: In training, sequences are cut into windows of so many tokens; scoring never cuts.
 WINDOW = 64
+#: Windows whose expected counts are computed side by side.
+WINDOWS = 2048
 #: The end of a text as a token.
 END_HASH = 0x5EED0F7E47A11D0E
 
@@ -214,36 +216,41 @@ def _sequences(row: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _expect(model: Model, seen: np.ndarray, lengths: np.ndarray):
-    """Expected counts over windows of equal width, of which the first ``lengths`` tokens are real."""
-    n, width = seen.shape
+    """Expected counts over windows of equal width, of which the first ``lengths`` tokens are real.
+
+    Only real tokens are laid out, step by step, windows from the longest to the shortest, so that a step's windows come first among those
+    of the step before. States are rows: sums over them add up whole rows.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    seen, lengths = seen[order], lengths[order]
+    active = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left").tolist()  # windows longer than t
+    at = np.cumsum([0, *active]).tolist()
+    flat = np.concatenate([seen[:k, t] for t, k in enumerate(active)])
+    chance = model.emit.take(flat, axis=1)  # states x tokens
+    weight = np.empty_like(chance)  # forward chances, then those of the states
+    back = np.ascontiguousarray(model.move.T)
+    for t, k in enumerate(active):
+        own = slice(at[t], at[t] + k)
+        alpha = (back @ weight[:, at[t - 1] : at[t - 1] + k] if t else model.start[:, None]) * chance[:, own]
+        scale = 1 / alpha.sum(0)
+        np.multiply(alpha, scale, out=weight[:, own])
+        chance[:, own] *= scale
     states = len(model.start)
-    emit = np.ascontiguousarray(model.emit.T)
-    chance = emit[seen]  # n x width x states
-    real = np.arange(width)[None] < lengths[:, None]
-    forward = np.empty((width, n, states))
-    scale = np.ones((width, n))
-    alpha = model.start[None] * chance[:, 0]
-    for t in range(width):
-        if t:
-            alpha = (forward[t - 1] @ model.move) * chance[:, t]
-            alpha = np.where(real[:, t, None], alpha, forward[t - 1])
-        total = alpha.sum(1)
-        scale[t] = np.where(real[:, t], total, 1.0)
-        forward[t] = alpha / total[:, None]
-    beta = np.ones((n, states))
     moves = np.zeros((states, states))
-    weight = np.empty((n, width, states))
-    for t in range(width - 1, -1, -1):
-        gamma = forward[t] * beta
-        weight[:, t] = np.where(real[:, t, None], gamma / gamma.sum(1, keepdims=True), 0.0)
-        if t:
-            ahead = chance[:, t] * beta / scale[t][:, None]
-            ahead = np.where(real[:, t, None], ahead, 0.0)
-            moves += forward[t - 1].T @ ahead
-            beta = np.where(real[:, t, None], ahead @ model.move.T, beta)
-    flat = seen.ravel()
-    emitted = np.stack([np.bincount(flat, weight[:, :, s].ravel(), minlength=CLASSES) for s in range(states)])
-    return weight[:, 0].sum(0), moves * model.move, emitted
+    ahead = None
+    for t in range(len(active) - 1, -1, -1):
+        own = slice(at[t], at[t + 1])
+        if ahead is not None:
+            going = slice(at[t], at[t] + active[t + 1])  # windows that go on, all others end here
+            moves += weight[:, going] @ ahead.T
+            beta = model.move @ ahead
+            weight[:, going] *= beta
+            ahead = chance[:, own].copy()
+            ahead[:, : active[t + 1]] *= beta
+        else:
+            ahead = chance[:, own]
+    emitted = np.stack([np.bincount(flat, own, minlength=CLASSES) for own in weight])
+    return weight[:, : at[1]].sum(1), moves * model.move, emitted
 
 
 def train(counted: Counted, states: int = STATES, passes: int = PASSES, seed: int = 5) -> Model:
@@ -278,8 +285,8 @@ def train(counted: Counted, states: int = STATES, passes: int = PASSES, seed: in
                     first = np.concatenate(cuts)
                     ends = np.repeat(offsets[1:][learned], [len(c) for c in cuts])
                     lengths = np.minimum(WINDOW, ends - first)
-                    for at in range(0, len(first), 2048):
-                        f, n = first[at : at + 2048], lengths[at : at + 2048]
+                    for at in range(0, len(first), WINDOWS):
+                        f, n = first[at : at + WINDOWS], lengths[at : at + WINDOWS]
                         index = np.minimum(f[:, None] + np.arange(WINDOW)[None], len(classes) - 1)
                         a, b, c = _expect(own, classes[index], n)
                         start, move, emitted = start + a, move + b, emitted + c

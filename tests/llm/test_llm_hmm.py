@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -55,6 +56,24 @@ def test_expected_counts_equal_all_paths(monkeypatch):
         assert np.allclose(got, expected)
 
 
+def test_expected_counts_lay_out_real_tokens_only(monkeypatch):
+    """Short windows among long ones, in any order: the same sums as window by window, and no array over their padding."""
+    monkeypatch.setattr(hmm, "CLASSES", 50)
+    rnd = np.random.default_rng(2)
+    model = hmm.Model(*(x / x.sum(-1, keepdims=True) for x in (rnd.random(8), rnd.random((8, 8)), rnd.random((8, 50)))))
+    lengths = rnd.permutation(np.append(rnd.integers(1, 4, 3000), [64, 64, 1]))
+    seen = rnd.integers(0, 50, (len(lengths), 64))
+    tracemalloc.start()
+    got = hmm._expect(model, seen, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    single = [hmm._expect(model, seen[i : i + 1, :n], lengths[i : i + 1]) for i, n in enumerate(lengths)]
+    for part, sums in zip(got, zip(*single), strict=True):
+        assert np.allclose(part, sum(sums))
+    assert got[0].sum() == pytest.approx(len(lengths)) and got[2].sum() == pytest.approx(lengths.sum())
+    assert peak < 2 * seen.nbytes  # one state's chances of padded windows are as many bytes
+
+
 def tokens(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split() + ["\n"]
 
