@@ -199,7 +199,7 @@ def near_duplicates(
     unsettled = labelled.join(open_buckets, "bucket").select("class", "component").distinct()
     rest = settle(_through_rare_shingles(unsettled, texts, width, percent))
     more = settle(verify(rest, texts, width, percent))
-    final = components(links.unionByName(more))
+    final = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     component = classes.select("class", "least").join(final.withColumnRenamed("node", "class"), "class", "left")
     component = component.withColumn("component", F.coalesce("component", "class"))

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Spark's setting for queries whose shuffle files nothing reads again.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: str = "8", app: str = "lumenframe") -> SparkSession:
     """A local session with UTC time, AQE and as many shuffle partitions as cores."""
@@ -56,7 +59,14 @@ def settle(df):
 
     Lineage is cut, columns and row groups can be pruned when it is read again, and
     losing an executor loses nothing. The folder's owner clears it, as with checkpoints.
+    Shuffle files of the write go when it has ended, not when the driver happens to collect its garbage.
     """
-    path = f"{shared_folder(df.sparkSession)}/lumenframe-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/lumenframe-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)

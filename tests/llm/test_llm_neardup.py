@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lumenframe.llm import components as stars
 from lumenframe.llm import neardup
 from lumenframe.llm.components import components
 from lumenframe.llm.queries import QUERIES
@@ -96,6 +97,22 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Links that are stars around their smallest nodes take no round, others none more than they need."""
+    written, settle = [], stars.settle
+    monkeypatch.setattr(stars, "settle", lambda frame: written.append(settle(frame)) or written[-1])
+    cases = [
+        ([(9, 1), (1, 5), (4, 2), (2, 2)], {9: 1, 5: 1, 1: 1, 4: 2, 2: 2}, 2),
+        ([], {}, 2),
+        ([(5, 1), (5, 2), (5, 3), (7, 6)], {5: 1, 1: 1, 2: 1, 3: 1, 7: 6, 6: 6}, 4),
+    ]
+    for edges, group, most in cases:
+        written.clear()
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert sorted((r["node"], r["component"]) for r in got) == sorted(group.items())
+        assert len(written) <= most
+
+
 
 def test_query(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]

@@ -3,7 +3,9 @@
 import gzip
 import json
 import math
+import os
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -13,6 +15,7 @@ from lumenframe.functions import text
 from lumenframe.operators import catalog, charts, clean, correlation, describe, distribution, features, filters, hypothesis, quality
 from lumenframe.plans import eda, insights
 from lumenframe.plans.rules import pinned
+from lumenframe.session import FREE_SHUFFLES, settle
 from lumenframe.sources import readers, writers
 from lumenframe.streaming.ingest import ingest_delimited
 
@@ -220,3 +223,25 @@ def test_report_sections_are_computed(spark, sf, monkeypatch):
     monkeypatch.setattr(eda.correlation, "pair_report", lambda *a, **b: nothing)
     got = {r["profile"]: (r["has_correlation"], r["has_distribution"]) for r in queries()["eda7_report_sections"](spark, sf).collect()}
     assert got["full"] == got["technical"] == (False, True) and got["quick"] == (False, False)
+
+
+def test_settle_leaves_no_shuffle_files(spark):
+    """What a settled table was shuffled through is gone with its write, and later queries have the session's own setting."""
+
+    def shuffles():
+        folder = Path(os.environ.get("SPARK_LOCAL_DIRS") or spark.conf.get("spark.local.dir", "/tmp"))
+        return set(folder.glob("blockmgr-*/*/shuffle_*"))
+
+    keyed = spark.range(1000).selectExpr("id % 10 AS k", "id")
+    keyed.groupBy("k").count().collect()
+    before, own = shuffles(), spark.conf.get(FREE_SHUFFLES)
+    assert before
+    settled = settle(keyed.groupBy("k").count().groupBy("count").agg(F.count(F.lit(1)).alias("n")))
+    until = time.time() + 3  # files are removed in the background
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(FREE_SHUFFLES) == own and [tuple(r) for r in settled.collect()] == [(100, 10)]
+    with pytest.raises(Exception, match="[Dd]ivi"):
+        settle(spark.range(1).select(F.expr("raise_error('division')")))
+    assert spark.conf.get(FREE_SHUFFLES) == own
